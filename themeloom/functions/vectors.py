@@ -8,7 +8,7 @@ most a small matrix (the topic vectors) and is narrow. A null vector gives a nul
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,15 @@ _CELLS = 4_000_000  # numbers held at once while a batch is worked through
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def vector_function(returns: str) -> Callable:
+    """An Arrow function that is computed once, where it is written.
+
+    Marked as non-deterministic, since the optimizer otherwise repeats it in the filters it
+    derives from a result (and cannot run those when the arguments hold lambdas).
+    """
+    return lambda body: F.arrow_udf(returns)(body).asNondeterministic()
+
+
 def as_doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 
@@ -62,7 +71,7 @@ def slices(n: int, width: int) -> Iterator[slice]:
 def unit(vector: Column) -> Column:
     """The vector at length 1; null for an all-zero vector."""
 
-    @F.arrow_udf("array<double>")
+    @vector_function("array<double>")
     def scale(vectors: pa.Array) -> pa.Array:
         rows = matrix_of(vectors)
         nonzero = rows.any(axis=1) if len(rows) else np.zeros(0, bool)
@@ -77,7 +86,7 @@ def cosines(vector: Column, topics: np.ndarray) -> Column:
     """Cosine to each row of ``topics``, as an array in that order."""
     targets = unit_rows(np.asarray(topics, dtype="f8")).T
 
-    @F.arrow_udf("array<double>")
+    @vector_function("array<double>")
     def score(vectors: pa.Array) -> pa.Array:
         rows = unit_rows(matrix_of(vectors))
         parts = [rows[s] @ targets for s in slices(len(rows), targets.shape[1])]
@@ -92,7 +101,7 @@ def nearest(vector: Column, ids: list[int], topics: np.ndarray) -> Column:
     numbers = np.asarray(ids, dtype="i4")[order]
     targets = unit_rows(np.asarray(topics, dtype="f8"))[order].T
 
-    @F.arrow_udf("struct<topic:int,score:double>")
+    @vector_function("struct<topic:int,score:double>")
     def best(vectors: pa.Array) -> pa.Array:
         rows = unit_rows(matrix_of(vectors))
         kept = present(vectors)
@@ -116,7 +125,7 @@ def softmax_to(vector: Column, topics: np.ndarray, temperature: float) -> Column
     targets = np.asarray(topics, dtype="f8")
     lengths = (targets * targets).sum(axis=1)
 
-    @F.arrow_udf("array<double>")
+    @vector_function("array<double>")
     def share(vectors: pa.Array) -> pa.Array:
         rows = matrix_of(vectors)
         parts = []
@@ -130,6 +139,23 @@ def softmax_to(vector: Column, topics: np.ndarray, temperature: float) -> Column
     return share(as_doubles(vector))
 
 
+def squared_distances(vector: Column, topics: np.ndarray) -> Column:
+    """Squared distance to each row of ``topics``, as an array in that order."""
+    targets = np.asarray(topics, dtype="f8")
+    lengths = (targets * targets).sum(axis=1)
+
+    @vector_function("array<double>")
+    def apart(vectors: pa.Array) -> pa.Array:
+        rows = matrix_of(vectors)
+        parts = []
+        for s in slices(len(rows), len(targets)):
+            x = rows[s]
+            parts.append((x * x).sum(axis=1, keepdims=True) + lengths - 2.0 * x @ targets.T)
+        return lists_of(np.concatenate(parts) if parts else rows, present(vectors))
+
+    return apart(as_doubles(vector))
+
+
 def signs(digests: pa.Array, dim: int) -> np.ndarray:
     """One row of +1 / -1 per 16-byte digest: bit j of the digest, highest first."""
     fixed = digests.cast(pa.binary(16))
@@ -151,7 +177,7 @@ def word_vector(word: Column, dim: int = HASH_DIM) -> Column:
     """The fixed sign vector of a word, at length 1."""
     check_hash_dim(dim)
 
-    @F.arrow_udf("array<double>")
+    @vector_function("array<double>")
     def vector(digests: pa.Array) -> pa.Array:
         kept = present(digests)
         return lists_of(signs(digests.drop_null(), dim) / np.sqrt(dim), kept)
@@ -167,7 +193,7 @@ def document_vector(bag: Column, dim: int = HASH_DIM) -> Column:
     """
     check_hash_dim(dim)
 
-    @F.arrow_udf("array<double>")
+    @vector_function("array<double>")
     def vector(digests: pa.Array, weights: pa.Array) -> pa.Array:
         sizes = digests.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)

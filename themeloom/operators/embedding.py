@@ -41,7 +41,7 @@ def encoded(
     """Add ``embedding`` from a plugged-in sentence encoder.
 
     ``make_encoder`` runs once per task and returns a function from a list of texts to a
-    list of vectors.
+    list of vectors. The call is marked non-deterministic so that no text is encoded twice.
     """
 
     @F.pandas_udf("array<float>")
@@ -50,7 +50,7 @@ def encoded(
         for texts in batches:
             yield pd.Series([[float(x) for x in row] for row in encoder(texts.tolist())], index=texts.index)
 
-    return docs.withColumn("embedding", encode(F.col(text)))
+    return docs.withColumn("embedding", encode.asNondeterministic()(F.col(text)))
 
 
 def word2vec(

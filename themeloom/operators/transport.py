@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import vectors as v
-from themeloom.operators.assign import MAX_DRIVER_CELLS, long_weights
+from themeloom.operators.assign import MAX_DRIVER_CELLS, long_weights, on_driver
 from themeloom.session import materialise
 
 
@@ -125,9 +125,26 @@ def _result(vectors: DataFrame, topics: np.ndarray, scale: np.ndarray, epsilon:
             rows = rows_of(np.stack(batch.to_numpy()), topics, scale, epsilon) if len(batch) else []
             yield pd.Series(list(rows), index=batch.index)
 
-    shares = vectors.select(key, F.pandas_udf(plan, "array<double>")(F.col("embedding")).alias("shares"))
+    shares = vectors.select(key, F.pandas_udf(plan, "array<double>").asNondeterministic()(F.col("embedding")).alias("shares"))
     spark = vectors.sparkSession
     table = spark.createDataFrame(
         [(i, [float(x) for x in topics[i]]) for i in range(k)], "topic int, vector array<double>"
     )
     return TransportResult(table, long_weights(shares, list(range(k)), key), share, shares)
+
+
+def word_shares(words: DataFrame, topics: DataFrame, temperature: float = 0.5, embedding: str = "embedding") -> DataFrame:
+    """``(topic, term, weight)``: softmax over the words of ``-|c - w|^2 / temperature``.
+
+    Weights sum to 1 per topic; the totals are added up by task before the shuffle.
+    """
+    held = on_driver(topics)
+    if held is None:
+        raise ValueError("too many topics for one distribution over all words each")
+    ids, matrix = held
+    apart = words.select("term", v.squared_distances(F.col(embedding), matrix).alias("shares"))
+    near = long_weights(apart, ids, "term").select(
+        "topic", "term", F.exp(-F.col("weight") / F.lit(temperature)).alias("near")
+    )
+    totals = near.groupBy("topic").agg(F.sum("near").alias("total"))
+    return near.join(totals, "topic").select("topic", "term", (F.col("near") / F.col("total")).alias("weight"))
