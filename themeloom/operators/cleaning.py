@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from themeloom.functions import text as tx
 from themeloom.functions.arrays import let
 from themeloom.functions.stopwords import stopword_list
-from themeloom.operators.joins import salted_lookup
+from themeloom.operators.joins import lookup
 
 MAX_INLINE_LEMMAS = 1_000
 
@@ -34,12 +34,12 @@ def _inline_lemmas(rows: list, words: Column, lang: Column) -> Column:
     if not rows:
         return words
     table = {f"{r['lang']} {r['form']}": r["lemma"] for r in rows}
-    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    lemma_of = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
     def one(word: Column) -> Column:
         return let(
             F.concat_ws(" ", lang, word),
-            lambda k: F.when(k.isin(list(table)), F.try_element_at(lookup, k)).otherwise(word),
+            lambda k: F.when(k.isin(list(table)), F.try_element_at(lemma_of, k)).otherwise(word),
         )
 
     return F.transform(words, one)
@@ -51,7 +51,7 @@ def _joined_lemmas(docs: DataFrame, lemmas: DataFrame, key: str, lang: str) -> D
         "_row", F.xxhash64(key, "_pos")
     )
     found = (
-        salted_lookup(words, forms, [lang, "form"], "_row")
+        lookup(words, forms, [lang, "form"], "_row")
         .groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form").alias("lemma")))).alias("_found"))
         .select(key, F.col("_found.lemma").alias("_tokens"))
@@ -67,7 +67,7 @@ def _joined_lemmas(docs: DataFrame, lemmas: DataFrame, key: str, lang: str) -> D
 def without_stopwords(docs: DataFrame, *languages: str, min_length: int = 1, extra: list[str] | None = None) -> DataFrame:
     """Drop tokens found in the stopword lists; run it after the lemmas, which it looks at."""
     listed = stopword_list(*languages) + (extra or [])
-    return docs.withColumn("tokens", tx.without(F.col("tokens"), listed, min_length))
+    return docs.withColumn("tokens", tx.without("tokens", listed, min_length))
 
 
 def clean_corpus(

@@ -14,11 +14,11 @@ cluster does not end up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from themeloom.operators.joins import salted_lookup
-from themeloom.session import dense_ids, materialise
+from themeloom.operators.joins import lookup
+from themeloom.session import dense_ids, materialise, materialise_counted
 
 OUTLIER = -1
 FINEST_SIDE = 1 / 64
@@ -31,28 +31,23 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label around and then the label of that label, so the
     number of rounds grows with the logarithm of the longest chain.
     """
-    both = materialise(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialise(
-        both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")),
-        "labels",
-    )
-    while True:
+    both, rows = materialise_counted(edges.union(edges.select("b", "a")).distinct(), "edges")
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")).select("id", F.least("id", "label").alias("label"))
+    while rows:
         around = (
-            salted_lookup(both, labels.withColumnRenamed("id", "b"), ["b"], "a")
+            lookup(both, labels.withColumnRenamed("id", "b"), ["b"], "a", rows)
             .groupBy(F.col("a").alias("id"))
             .agg(F.min("label").alias("near"))
         )
         nearer = labels.join(around, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         of_label = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        step = materialise(
-            salted_lookup(nearer, of_label, ["label"], "id").select(
-                "id", "old", F.least("label", "up").alias("label")
-            ),
-            "labels",
-        )
-        labels = step.select("id", "label")
-        if step.filter(F.col("old") != F.col("label")).isEmpty():
-            return labels
+        step = lookup(nearer, of_label, ["label"], "id", rows).select("id", "old", F.least("label", "up").alias("label"))
+        changes = Observation()
+        moved = F.count(F.when(F.col("old") != F.col("label"), 1)).alias("moved")
+        labels = materialise(step.observe(changes, moved).select("id", "label"), "labels")
+        if changes.get["moved"] == 0:
+            break
+    return labels
 
 
 def _atoms(points: DataFrame, coordinates: str, side: float, d: int) -> DataFrame:
@@ -89,17 +84,19 @@ def _dimension(points: DataFrame, coordinates: str) -> int:
     return row["d"] if row else 0
 
 
-def numbered(members: DataFrame, key: str, group: str) -> DataFrame:
-    """``(key, topic)``: groups numbered from 0 by size, then by smallest member; null is -1."""
+def numbered(members: DataFrame, key: str, group: str, min_size: int, rows: int) -> DataFrame:
+    """``(key, topic)``: groups numbered from 0 by size, then by smallest member.
+
+    No group, or one with fewer than ``min_size`` members, is -1.
+    """
     sizes = (
         members.filter(F.col(group).isNotNull())
         .groupBy(group)
         .agg(F.count("*").alias("n"), F.min(key).alias("first"))
+        .filter(F.col("n") >= min_size)
     )
     topics = dense_ids(sizes, [F.desc("n"), F.col("first")], "topic").select(group, F.col("topic").cast("int").alias("topic"))
-    return salted_lookup(members, topics, [group], key).select(
-        key, F.coalesce("topic", F.lit(OUTLIER)).alias("topic")
-    )
+    return lookup(members, topics, [group], key, rows).select(key, F.coalesce("topic", F.lit(OUTLIER)).alias("topic"))
 
 
 def linked_groups(points: DataFrame, side: float, min_size: int = 2, key: str = "doc_id", coordinates: str = "reduced") -> DataFrame:
@@ -108,14 +105,12 @@ def linked_groups(points: DataFrame, side: float, min_size: int = 2, key: str =
     if d == 0:
         return points.select(key, F.lit(OUTLIER).alias("topic"))
     placed = _atoms(points.filter(F.col(coordinates).isNotNull()).select(key, coordinates), coordinates, side, d)
-    placed = materialise(placed.select(key, "atom"), "points")
+    placed, n_points = materialise_counted(placed.select(key, "atom"), "points")
     items = materialise(placed.groupBy("atom").agg(F.min(key).alias("comp")), "items")
     labels = components(_links(items, d)).withColumnRenamed("id", "comp")
     groups = items.join(labels, "comp", "left").select("atom", F.coalesce("label", "comp").alias("_group"))
-    members = salted_lookup(placed, groups, ["atom"], key).select(key, "_group")
-    large = members.groupBy("_group").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size)
-    kept = salted_lookup(members, large.withColumn("_kept", F.col("_group")), ["_group"], key)
-    found = numbered(kept.select(key, "_kept"), key, "_kept")
+    members = materialise(lookup(placed, groups, ["atom"], key, n_points).select(key, "_group"), "members")
+    found = numbered(members, key, "_group", min_size, n_points)
     rest = points.filter(F.col(coordinates).isNull()).select(key, F.lit(OUTLIER).alias("topic"))
     return found.unionByName(rest)
 
@@ -138,8 +133,11 @@ def density_clusters(
     if d == 0:
         return points.select(key, F.lit(OUTLIER).alias("topic"))
     placed = _atoms(points.filter(F.col(coordinates).isNotNull()).select(key, coordinates), coordinates, finest, d)
-    placed = materialise(placed.select(key, "atom"), "points")
-    items = materialise(placed.groupBy("atom").agg(F.min(key).alias("item"), F.count("*").alias("n")), "items")
+    placed, n_points = materialise_counted(placed.select(key, "atom"), "points")
+    # The number of items bounds the groups, their places and the clusters.
+    items, n_items = materialise_counted(
+        placed.groupBy("atom").agg(F.min(key).alias("item"), F.count("*").alias("n")), "items"
+    )
 
     places = items.select(F.col("item").alias("comp"), "atom")
     comps = items.select(
@@ -162,19 +160,18 @@ def density_clusters(
         grown = materialise(_grown(joined, level, side, min_size), "groups")
 
         # Clusters that end here, since they merged with another one.
-        lookup = grown.select(F.col("comp").alias("root"), F.col("node").alias("parent"))
-        ended = salted_lookup(joined.filter(F.col("node").isNotNull()), lookup, ["root"], "comp")
+        now_in = grown.select(F.col("comp").alias("root"), F.col("node").alias("parent"))
+        ended = lookup(joined.filter(F.col("node").isNotNull()), now_in, ["root"], "comp", n_items)
         nodes.append(ended.filter(F.col("node") != F.col("parent")).select("node", "parent", "stability", "inside"))
 
         # Points that are in a cluster for the first time.
         moved = pending.join(merged, "comp", "left").select("item", F.coalesce("root", "comp").alias("root"))
-        moved = materialise(salted_lookup(moved, lookup, ["root"], "item"), "moved")
+        moved = materialise(lookup(moved, now_in, ["root"], "item", n_items), "moved")
         settled.append(moved.filter(F.col("parent").isNotNull()).select("item", F.col("parent").alias("node")))
         pending = moved.filter(F.col("parent").isNull()).select("item", F.col("root").alias("comp"))
 
-        places = salted_lookup(places.withColumn("_row", F.xxhash64("atom")), merged, ["comp"], "_row").select(
-            F.coalesce("root", "comp").alias("comp"), "atom"
-        )
+        of_atom = places.withColumn("_row", F.xxhash64("atom"))
+        places = lookup(of_atom, merged, ["comp"], "_row", n_items).select(F.coalesce("root", "comp").alias("comp"), "atom")
         comps = grown
 
     # The top of the tree is no cluster when it holds everything.
@@ -185,16 +182,16 @@ def density_clusters(
     tree = roots.withColumn("kept", (F.col("stability") >= F.col("inside")) & F.lit(several))
     for part in nodes:
         tree = tree.unionByName(part.withColumn("kept", F.col("stability") >= F.col("inside")))
-    chosen = _topmost(tree, levels)
+    chosen = _topmost(tree, levels, n_items)
 
     in_node = settled[0]
     for part in settled[1:]:
         in_node = in_node.unionByName(part)
-    in_cluster = salted_lookup(in_node, chosen, ["node"], "item").select("item", "cluster")
+    in_cluster = lookup(in_node, chosen, ["node"], "item", n_items).select("item", "cluster")
     atoms = items.select("atom", "item").join(in_cluster, "item", "left").select("atom", "cluster")
-    members = salted_lookup(placed, atoms, ["atom"], key).select(key, "cluster")
+    members = materialise(lookup(placed, atoms, ["atom"], key, n_points).select(key, "cluster"), "members")
     rest = points.filter(F.col(coordinates).isNull()).select(key, F.lit(OUTLIER).alias("topic"))
-    return numbered(materialise(members, "members"), key, "cluster").unionByName(rest)
+    return numbered(members, key, "cluster", min_size, n_points).unionByName(rest)
 
 
 def _grown(joined: DataFrame, level: int, side: float, min_size: int) -> DataFrame:
@@ -223,7 +220,7 @@ def _grown(joined: DataFrame, level: int, side: float, min_size: int) -> DataFra
     )
 
 
-def _topmost(tree: DataFrame, levels: int) -> DataFrame:
+def _topmost(tree: DataFrame, levels: int, rows: int) -> DataFrame:
     """``(node, cluster)``: the highest kept cluster among a node and the ones around it."""
     found = materialise(
         tree.select("node", F.col("parent").alias("up"), F.when(F.col("kept"), F.col("node")).alias("cluster")), "tree"
@@ -232,7 +229,7 @@ def _topmost(tree: DataFrame, levels: int) -> DataFrame:
     while reach <= levels:
         above = found.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("cluster").alias("_cluster"))
         found = materialise(
-            salted_lookup(found, above, ["up"], "node").select(
+            lookup(found, above, ["up"], "node", rows).select(
                 "node", F.col("_up").alias("up"), F.coalesce("_cluster", "cluster").alias("cluster")
             ),
             "tree",

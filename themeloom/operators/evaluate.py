@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.arrays import rank_key
+from themeloom.session import materialise
 
 
 def _pair_counts(terms: DataFrame, top: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -15,6 +16,7 @@ def _pair_counts(terms: DataFrame, top: DataFrame, key: str) -> tuple[DataFrame,
     number is bounded by the length of the word list, not by the data.
     """
     hits = terms.join(top.select("topic", "rank", "term"), "term").select(key, "topic", "rank")
+    hits = materialise(hits, "hits")
     single = hits.groupBy("topic", "rank").agg(F.count("*").alias("d"))
     listed = hits.groupBy(key, "topic").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
     pairs = F.flatten(
@@ -49,6 +51,7 @@ def _scored_pairs(top: DataFrame, single: DataFrame, both: DataFrame) -> DataFra
 
 def coherence_umass(terms: DataFrame, top: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(topic, coherence)``: sum over pairs of ``ln((D(i, j) + 1) / D(i))``, i ranked higher."""
+    top = materialise(top, "top")
     scored = _scored_pairs(top, *_pair_counts(terms, top, key))
     return scored.groupBy("topic").agg(
         F.sum(F.log((F.col("d_both") + 1) / F.col("d_i"))).alias("coherence")
@@ -65,6 +68,7 @@ def coherence_npmi(terms: DataFrame, top: DataFrame, n_docs: int | Column, key:
         .when(F.col("d_both") == n, 1.0)
         .otherwise(F.log(both / alone) / -F.log(both))
     )
+    top = materialise(top, "top")
     scored = _scored_pairs(top, *_pair_counts(terms, top, key))
     return scored.groupBy("topic").agg(F.avg(npmi).alias("coherence"))
 
@@ -112,7 +116,7 @@ def search(terms: DataFrame, query: DataFrame, n_docs: Column, k: int = 20, key:
 
     Only matching rows leave the scan; ``(rank, key, score, n_matched)``.
     """
-    hits = terms.join(query.select("term").distinct(), "term")
+    hits = materialise(terms.join(query.select("term").distinct(), "term"), "hits")
     frequency = hits.groupBy("term").agg(F.count("*").alias("_df"))
     weight = (1 + F.log(F.col("n").cast("double"))) * F.log(n_docs / F.col("_df"))
     found = (

@@ -1,4 +1,4 @@
-"""A join that keeps its balance when a third of the rows share one key."""
+"""A lookup that keeps its balance when a third of the rows share one key."""
 
 from __future__ import annotations
 
@@ -6,14 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+HOT_KEYS = 32  # keys looked after; a key below the 32nd in size is no burden to one task
+TRACKED = 1_000  # keys the sketch keeps while it looks for them
+PLAIN_ROWS = 2_000_000  # a join of so few rows needs no care
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], row_key: str) -> DataFrame:
-    """Left join to a table that holds each key once; rows of one key go to ``SALTS`` tasks.
+def lookup(left: DataFrame, right: DataFrame, on: list[str], row_key: str, rows: int | None = None) -> DataFrame:
+    """Left join to a table that holds each key once, e.g. a label per group.
 
-    Spark still broadcasts ``right`` when its size is known to be small; the salt matters
-    when it is not.
+    ``rows`` is the number of rows of ``left`` if the caller knows it; few rows are joined as
+    they are. Otherwise a frequent-items sketch over ``left`` finds the heaviest keys: their
+    rows are dealt to ``SALTS`` tasks by ``row_key``, and only their entries in ``right`` are
+    copied. Which keys the sketch names changes the balance, never the result.
     """
-    salt = F.pmod(F.xxhash64(row_key), F.lit(SALTS)).cast("int")
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], "left").drop("_salt")
+    if rows is not None and rows <= PLAIN_ROWS:
+        return left.join(right, on, "left")
+    key = F.xxhash64(*on)
+    sketch = F.expr(f"transform(approx_top_k(_key, {HOT_KEYS}, {TRACKED}), x -> x.item)")
+    hot = left.select(key.alias("_key")).agg(sketch.alias("hot")).scalar()
+    dealt = F.pmod(F.xxhash64(row_key), F.lit(SALTS)).cast("int")
+    salted = left.withColumn("_salt", F.when(F.array_contains(hot, key), dealt).otherwise(0))
+    copies = F.when(F.array_contains(hot, key), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.withColumn("_salt", F.explode(copies))
+    return salted.join(copied, [*on, "_salt"], "left").drop("_salt")

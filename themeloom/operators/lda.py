@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.operators.vocabulary import MIN_LENGTH, count_vectorizer, doc_terms, vocabulary
-from themeloom.session import materialise
+from themeloom.session import materialise, spread
 
 MAX_DRIVER_WEIGHTS = 20_000_000  # topics x terms held by the driver
 
@@ -50,7 +51,8 @@ def fit_lda(
     long_enough = docs.select(
         key, F.filter("tokens", lambda w: F.length(w) >= MIN_LENGTH).alias("tokens")
     ).filter(F.size("tokens") > 0)
-    vectors = materialise(vectorizer.transform(long_enough).select(key, "features"), "lda-counts")
+    vectors = spread(materialise(vectorizer.transform(long_enough).select(key, "features"), "lda-counts"), key)
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)
     model = LDA(
         k=k,
         maxIter=iterations,
@@ -61,6 +63,7 @@ def fit_lda(
         optimizeDocConcentration=False,
         subsamplingRate=fraction,
     ).fit(vectors)
+    vectors.unpersist()
     weights = model.describeTopics(len(vectorizer.vocabulary)).select(
         "topic", F.inline(F.arrays_zip(F.col("termIndices").alias("term_id"), F.col("termWeights").alias("weight")))
     )

@@ -48,8 +48,11 @@ def count_vectorizer(vocab: DataFrame) -> CountVectorizerModel:
 
 
 def class_counts(terms: DataFrame, topic: str = "topic") -> DataFrame:
-    """``(topic, term, n)``: each class read as one long document."""
-    return terms.groupBy(F.col(topic).alias("topic"), "term").agg(F.sum("n").alias("n"))
+    """``(topic, term, n)``: each class read as one long document; a null class is none.
+
+    The null test stands here so that all uses of the counts share one shuffle.
+    """
+    return terms.filter(F.col(topic).isNotNull()).groupBy(F.col(topic).alias("topic"), "term").agg(F.sum("n").alias("n"))
 
 
 def class_tfidf(terms: DataFrame, topic: str = "topic", outlier: int | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from themeloom.functions.lemmas import lemma_table
 from themeloom.functions.stopwords import stopword_list, stopword_table
 from themeloom.operators import assign, cleaning, density, embedding as em, evaluate, lda, represent, transport, vocabulary
 from themeloom.plans import models
+from themeloom.session import materialise
 from themeloom.sources import corpus
 
 LANGUAGE_TOPICS = ["de", "en", "es", "fr"]  # topic number = place in this list
@@ -61,17 +62,26 @@ def quality_docs(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned(spark, folder).join(labels, "doc_id", "left").withColumn("topic", F.coalesce("quality", F.lit(-1)))
 
 
+def stored_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and vector of each document, written once for queries that read them repeatedly."""
+    return materialise(language_docs(spark, folder).select("doc_id", "lang", "source", "topic", "tokens", "embedding"), "docs")
+
+
+def stored_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return materialise(terms(spark, folder, "doc_id", "lang"), "terms")
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     table = corpus.read_table(spark, f"{folder}/embeddings.parquet", "vec_id")
     return table.withColumnRenamed("label", "topic")
 
 
-def language_words(spark: SparkSession, folder: str) -> DataFrame:
-    return represent.top_terms(vocabulary.class_tfidf(terms(spark, folder, "lang"), "lang"), 10)
+def language_words(counted: DataFrame) -> DataFrame:
+    return represent.top_terms(vocabulary.class_tfidf(counted, "lang"), 10)
 
 
-def quality_words(spark: SparkSession, folder: str) -> DataFrame:
-    return represent.top_terms(vocabulary.class_tfidf(vocabulary.doc_terms(quality_docs(spark, folder), "topic")), 10)
+def quality_words(docs: DataFrame) -> DataFrame:
+    return represent.top_terms(vocabulary.class_tfidf(vocabulary.doc_terms(docs, "topic")), 10)
 
 
 def in_markdown() -> Column:
@@ -205,7 +215,7 @@ def conversation_terms(spark, folder):
 
 
 def ctfidf_topic_words(spark, folder):
-    top = language_words(spark, folder)
+    top = language_words(terms(spark, folder, "lang"))
     return top.select(F.col("topic").alias("lang"), "rank", "term", shown(F.col("score")).alias("score"))
 
 
@@ -220,7 +230,7 @@ def topic_chart_data(spark, folder):
 
 
 def wordcloud_weights(spark, folder):
-    cloud = represent.wordcloud_weights(language_words(spark, folder))
+    cloud = represent.wordcloud_weights(language_words(terms(spark, folder, "lang")))
     return cloud.select("topic", "term", shown(F.col("score")).alias("score"), shown(F.col("weight")).alias("weight"))
 
 
@@ -230,14 +240,15 @@ def topic_words_n(spark, folder):
 
 
 def topic_listing(spark, folder):
-    docs = quality_docs(spark, folder).select("doc_id", "topic")
-    return represent.topic_listing(docs, quality_words(spark, folder))
+    docs = materialise(quality_docs(spark, folder).select("doc_id", "topic", "tokens"), "docs")
+    return represent.topic_listing(docs, quality_words(docs))
 
 
 def topic_info(spark, folder):
-    docs = em.hashed_embedding(quality_docs(spark, folder)).select("doc_id", "topic", "embedding")
+    docs = em.hashed_embedding(quality_docs(spark, folder)).select("doc_id", "topic", "tokens", "embedding")
+    docs = materialise(docs, "docs")
     scored = models.own_topic_score(docs, assign.topic_centroids(docs))
-    info = represent.topic_info(scored, quality_words(spark, folder))
+    info = represent.topic_info(scored, quality_words(docs))
     return info.select(
         "topic",
         "n",
@@ -248,8 +259,8 @@ def topic_info(spark, folder):
 
 
 def doc_keywords(spark, folder):
-    docs = quality_docs(spark, folder).select("doc_id", "text", "topic")
-    out = represent.with_keywords(docs, quality_words(spark, folder), 5)
+    docs = quality_docs(spark, folder)
+    out = represent.with_keywords(docs.select("doc_id", "text", "topic"), quality_words(docs), 5)
     return out.select("doc_id", "text", "topic", "keywords")
 
 
@@ -280,23 +291,22 @@ def topic_count(spark, folder):
     return represent.topic_count(quality_docs(spark, folder).select("topic"))
 
 
-def language_word_scores(spark, folder):
-    docs = language_docs(spark, folder)
-    counts = terms(spark, folder).groupBy("term").agg(F.sum("n").alias("n"))
+def language_word_scores(docs: DataFrame) -> DataFrame:
+    counts = vocabulary.doc_terms(docs).groupBy("term").agg(F.sum("n").alias("n"))
     words = em.word_embedding(counts.filter(F.col("n") >= 2))
     return assign.word_scores(words, assign.topic_centroids(docs))
 
 
 def topic_words_cosine(spark, folder):
-    top = represent.top_terms(language_word_scores(spark, folder), 50)
+    top = represent.top_terms(language_word_scores(stored_docs(spark, folder)), 50)
     return top.withColumn("score", shown(F.col("score")))
 
 
 def doc_topic_report(spark, folder):
-    docs = language_docs(spark, folder).drop("topic")
-    centres = assign.topic_centroids(language_docs(spark, folder))
-    top = represent.top_terms(language_word_scores(spark, folder), 50)
-    found = assign.nearest_topic(docs, centres)
+    """Texts never move: they are cleaned again where they are read, and meet only the topics."""
+    docs = stored_docs(spark, folder)
+    top = represent.top_terms(language_word_scores(docs), 50)
+    found = assign.nearest_topic(language_docs(spark, folder).drop("topic"), assign.topic_centroids(docs))
     out = represent.with_keywords(found, top, 50)
     return out.select("doc_id", "text", "topic", shown(F.col("score")).alias("score"), F.col("keywords").alias("words"))
 
@@ -329,38 +339,44 @@ def doc_topic_wide(spark, folder):
     return represent.wide_weights(weights, len(ids), "vec_id")
 
 
+def _nearest_words(docs: DataFrame) -> DataFrame:
+    words = em.word_embedding(vocabulary.vocabulary(vocabulary.doc_terms(docs), max_vocab=5_000))
+    shares = transport.word_shares(words, assign.topic_centroids(docs), WORD_TEMPERATURE)
+    return represent.keywords(represent.top_terms(shares, 15, "weight"), 15, " ")
+
+
 def ot_topic_words(spark, folder):
     """The words nearest to each language's mean vector, by softmax over all words."""
-    words = em.word_embedding(vocabulary.vocabulary(terms(spark, folder), max_vocab=5_000))
-    shares = transport.word_shares(words, assign.topic_centroids(language_docs(spark, folder)), WORD_TEMPERATURE)
-    return represent.keywords(represent.top_terms(shares, 15, "weight"), 15, " ")
+    return _nearest_words(stored_docs(spark, folder))
 
 
 def doc_confidence_report(spark, folder):
-    docs = language_docs(spark, folder)
-    centres = assign.topic_centroids(docs)
-    shared, ids = assign.topic_shares(docs.drop("topic").filter(F.col("embedding").isNotNull()), centres, TEMPERATURE)
+    docs = stored_docs(spark, folder)
+    with_vector = docs.drop("topic").filter(F.col("embedding").isNotNull())
+    shared, ids = assign.topic_shares(with_vector, assign.topic_centroids(docs), TEMPERATURE)
     best = shared.select("doc_id", F.array_join("tokens", " ").alias("text"), assign.best_share(ids, F.col("shares")).alias("b"))
     found = best.select("doc_id", "text", "b.topic", shown(F.col("b.confidence")).alias("confidence"))
-    return found.join(ot_topic_words(spark, folder), "topic").withColumnRenamed("keywords", "topic_words")
+    return found.join(_nearest_words(docs), "topic").withColumnRenamed("keywords", "topic_words")
 
 
 # Evaluation, search, distribution
 
 
 def coherence_umass(spark, folder):
-    scores = evaluate.coherence_umass(terms(spark, folder, "doc_id"), language_words(spark, folder))
+    counted = stored_terms(spark, folder)
+    scores = evaluate.coherence_umass(counted, language_words(counted))
     return scores.withColumn("coherence", shown(F.col("coherence")))
 
 
 def coherence_npmi(spark, folder):
+    counted = stored_terms(spark, folder)
     n_docs = documents(spark, folder).agg(F.count("*")).scalar()
-    scores = evaluate.coherence_npmi(terms(spark, folder, "doc_id"), language_words(spark, folder), n_docs)
+    scores = evaluate.coherence_npmi(counted, language_words(counted), n_docs)
     return scores.withColumn("coherence", shown(F.col("coherence")))
 
 
 def topic_diversity(spark, folder):
-    return evaluate.topic_diversity(language_words(spark, folder)).withColumn("diversity", shown(F.col("diversity")))
+    return evaluate.topic_diversity(language_words(terms(spark, folder, "lang"))).withColumn("diversity", shown(F.col("diversity")))
 
 
 def _labelled(spark, folder):
@@ -378,9 +394,10 @@ def topic_agreement(spark, folder):
 
 
 def topic_search(spark, folder):
-    query = language_words(spark, folder).filter((F.col("topic") == SEARCH_TOPIC) & (F.col("rank") <= 5))
+    counted = stored_terms(spark, folder)
+    query = language_words(counted).filter((F.col("topic") == SEARCH_TOPIC) & (F.col("rank") <= 5))
     n_docs = documents(spark, folder).agg(F.count("*")).scalar()
-    found = evaluate.search(terms(spark, folder, "doc_id"), query, n_docs, 20)
+    found = evaluate.search(counted, query, n_docs, 20)
     return found.withColumn("score", shown(F.col("score")))
 
 
@@ -391,7 +408,7 @@ def topic_search_by_topic(spark, folder):
 
 
 def topic_trend(spark, folder):
-    docs = language_docs(spark, folder)
+    docs = stored_docs(spark, folder)
     found = assign.nearest_topic(docs.drop("topic"), assign.topic_centroids(docs)).select("source", "topic")
     return evaluate.topic_trend(found, "source").withColumn("share", shown(F.col("share")))
 
@@ -400,7 +417,7 @@ def topic_trend(spark, folder):
 
 
 def _model_docs(spark, folder):
-    return cleaned(spark, folder).select("doc_id", "tokens")
+    return materialise(cleaned(spark, folder).select("doc_id", "tokens"), "tokens")
 
 
 def lda_fit(spark, folder):

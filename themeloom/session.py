@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
@@ -68,6 +68,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``materialise`` and the number of rows written, taken while writing."""
+    seen = Observation()
+    stored = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return stored, seen.get["rows"]
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Hash a small scan over all cores by its key; leave a large one as it is.
 
