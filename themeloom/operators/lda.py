@@ -41,7 +41,8 @@ def fit_lda(
 
     ``fraction`` below 1 makes the iterations mini-batches, the usual choice for a corpus
     that is far larger than the topics need. Topics x vocabulary live on the driver, hence
-    ``max_vocab``; the documents stay where they are. A document without words takes no part.
+    ``max_vocab``; the documents stay where they are. A document without a word of the
+    vocabulary takes no part.
     """
     terms = doc_terms(docs, key)
     vocab = vocabulary(terms, min_df, max_vocab)
@@ -51,7 +52,9 @@ def fit_lda(
     long_enough = docs.select(
         key, F.filter("tokens", lambda w: F.length(w) >= MIN_LENGTH).alias("tokens")
     ).filter(F.size("tokens") > 0)
-    vectors = spread(materialise(vectorizer.transform(long_enough).select(key, "features"), "lda-counts"), key)
+    counted = vectorizer.transform(long_enough).select(key, "features")
+    counted = counted.filter(F.size(F.unwrap_udt("features")["indices"]) > 0)
+    vectors = spread(materialise(counted, "lda-counts"), key)
     vectors.persist(StorageLevel.MEMORY_AND_DISK)
     model = LDA(
         k=k,

@@ -18,7 +18,7 @@ def read_text_folder(spark: SparkSession, folder: str, pattern: str | None = Non
     """``(doc_id, name, text, n_words)``: one row per UTF-8 file, in file-name order.
 
     Ids come from the listing alone (no content is read for it), so no text is sorted; the
-    texts join them by path.
+    texts join them by path. Spark's file sources pass over files of no length.
     """
     def reader(source: str):
         out = spark.read.format(source).option("recursiveFileLookup", "true")
