@@ -14,7 +14,7 @@ cluster does not end up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from themeloom.operators.joins import lookup
@@ -28,20 +28,27 @@ LEVELS = 7
 def components(edges: DataFrame) -> DataFrame:
     """``(id, label)`` for every end of ``edges(a, b)``: the smallest id it is connected to.
 
-    Each round takes the smallest label around and then the label of that label, so the
-    number of rounds grows with the logarithm of the longest chain.
+    Labels form trees that hang from smaller ids. Each round a vertex, and the vertex its
+    label names, move to the smallest label two steps up from any neighbour, so whole trees
+    move at once and the rounds grow with the logarithm of the longest chain (the scheme
+    published as FastSV). Labels only fall and stay inside a component; when none falls, all
+    vertices of a component name its smallest id.
     """
     both, rows = materialise_counted(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")).select("id", F.least("id", "label").alias("label"))
     while rows:
+        up = labels.select(F.col("id").alias("label"), F.col("label").alias("above"))
+        trees = lookup(labels, up, ["label"], "id", rows)
         around = (
-            lookup(both, labels.withColumnRenamed("id", "b"), ["b"], "a", rows)
+            lookup(both, trees.select(F.col("id").alias("b"), F.col("above").alias("near")), ["b"], "a", rows)
             .groupBy(F.col("a").alias("id"))
-            .agg(F.min("label").alias("near"))
+            .agg(F.min("near").alias("near"))
+        )
+        own = trees.join(around, "id")
+        pulled = own.groupBy(F.col("label").alias("id")).agg(F.min("near").alias("pull"))
+        step = own.join(pulled, "id", "left").select(
+            "id", F.col("label").alias("old"), F.least("label", "above", "near", "pull").alias("label")
         )
-        nearer = labels.join(around, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        of_label = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        step = lookup(nearer, of_label, ["label"], "id", rows).select("id", "old", F.least("label", "up").alias("label"))
         changes = Observation()
         moved = F.count(F.when(F.col("old") != F.col("label"), 1)).alias("moved")
         labels = materialise(step.observe(changes, moved).select("id", "label"), "labels")
@@ -140,60 +147,58 @@ def density_clusters(
     )
 
     places = items.select(F.col("item").alias("comp"), "atom")
-    comps = items.select(
+    groups = items.select(
         F.col("item").alias("comp"),
         "n",
         F.lit(None).cast("string").alias("node"),
         F.lit(0.0).alias("stability"),
         F.lit(0.0).alias("inside"),
     )
-    pending = items.select("item", F.col("item").alias("comp"))
-    nodes, settled = [], []
+    parts = []
     for level in range(levels):
         side = finest * 2**level
         if level:
-            places = materialise(
-                places.select("comp", F.transform("atom", lambda x: F.floor(x / 2)).alias("atom")).distinct(), "places"
-            )
+            coarser = F.transform("atom", lambda x: F.floor(x / 2)).alias("atom")
+            places = materialise(places.select("comp", coarser).distinct(), "places")
         merged = components(_links(places, d)).select(F.col("id").alias("comp"), F.col("label").alias("root"))
-        joined = comps.join(merged, "comp", "left").withColumn("root", F.coalesce("root", "comp"))
-        grown = materialise(_grown(joined, level, side, min_size), "groups")
-
-        # Clusters that end here, since they merged with another one.
-        now_in = grown.select(F.col("comp").alias("root"), F.col("node").alias("parent"))
-        ended = lookup(joined.filter(F.col("node").isNotNull()), now_in, ["root"], "comp", n_items)
-        nodes.append(ended.filter(F.col("node") != F.col("parent")).select("node", "parent", "stability", "inside"))
-
-        # Points that are in a cluster for the first time.
-        moved = pending.join(merged, "comp", "left").select("item", F.coalesce("root", "comp").alias("root"))
-        moved = materialise(lookup(moved, now_in, ["root"], "item", n_items), "moved")
-        settled.append(moved.filter(F.col("parent").isNotNull()).select("item", F.col("parent").alias("node")))
-        pending = moved.filter(F.col("parent").isNull()).select("item", F.col("root").alias("comp"))
-
+        joined = groups.join(merged, "comp", "left").withColumn("root", F.coalesce("root", "comp"))
+        groups, n_groups = materialise_counted(_grown(joined, level, side, min_size), "groups")
+        now_in = groups.select(F.col("comp").alias("root"), F.col("node").alias("parent"))
+        parts.append(_branches(lookup(joined, now_in, ["root"], "comp", n_items)))
+        if n_groups == 1:
+            break
         of_atom = places.withColumn("_row", F.xxhash64("atom"))
         places = lookup(of_atom, merged, ["comp"], "_row", n_items).select(F.coalesce("root", "comp").alias("comp"), "atom")
-        comps = grown
 
-    # The top of the tree is no cluster when it holds everything.
-    several = len(comps.select("comp").head(2)) > 1
-    roots = comps.filter(F.col("node").isNotNull()).select(
-        "node", F.lit(None).cast("string").alias("parent"), "stability", "inside"
-    )
-    tree = roots.withColumn("kept", (F.col("stability") >= F.col("inside")) & F.lit(several))
-    for part in nodes:
-        tree = tree.unionByName(part.withColumn("kept", F.col("stability") >= F.col("inside")))
-    chosen = _topmost(tree, levels, n_items)
-
-    in_node = settled[0]
-    for part in settled[1:]:
-        in_node = in_node.unionByName(part)
-    in_cluster = lookup(in_node, chosen, ["node"], "item", n_items).select("item", "cluster")
-    atoms = items.select("atom", "item").join(in_cluster, "item", "left").select("atom", "cluster")
+    # What is left at the coarsest scale; a group that holds everything is no cluster.
+    left_over = groups.withColumn("root", F.lit(None).cast("bigint")).withColumn("parent", F.lit(None).cast("string"))
+    tree = _branches(left_over).withColumn("kept", F.col("kept") & F.lit(n_groups > 1))
+    for part in parts:
+        tree = tree.unionByName(part)
+    chosen = _topmost(tree, levels, 2 * n_items)
+    atoms = items.select("atom", _lone(F.col("item")).alias("node")).join(chosen, "node").select("atom", "cluster")
     members = materialise(lookup(placed, atoms, ["atom"], key, n_points).select(key, "cluster"), "members")
     rest = points.filter(F.col(coordinates).isNull()).select(key, F.lit(OUTLIER).alias("topic"))
     return numbered(members, key, "cluster", min_size, n_points).unionByName(rest)
 
 
+def _lone(comp: Column) -> Column:
+    """The tree's name for a group too small to be a cluster."""
+    return F.concat(F.lit("."), comp.cast("string"))
+
+
+def _branches(joined: DataFrame) -> DataFrame:
+    """``(node, parent, kept)`` of the groups that became part of another one at some scale.
+
+    ``joined`` holds the groups before, with the ``root`` they are now in and its cluster.
+    """
+    return joined.select(
+        F.coalesce("node", _lone(F.col("comp"))).alias("node"),
+        F.coalesce("parent", _lone(F.col("root"))).alias("parent"),
+        (F.col("node").isNotNull() & (F.col("stability") >= F.col("inside"))).alias("kept"),
+    ).filter(F.col("parent").isNull() | (F.col("node") != F.col("parent")))
+
+
 def _grown(joined: DataFrame, level: int, side: float, min_size: int) -> DataFrame:
     """The groups after a merge, with the cluster each one stands for."""
     is_cluster = F.col("node").isNotNull()

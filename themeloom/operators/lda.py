@@ -28,19 +28,21 @@ class LdaResult:
 def fit_lda(
     docs: DataFrame,
     k: int = 8,
-    iterations: int = 20,
+    iterations: int = 10,
     seed: int = 42,
     alpha: float = 0.1,
     eta: float = 0.01,
     min_df: int = 1,
     max_vocab: int = 50_000,
     fraction: float = 1.0,
+    offset: float = 1.0,
     key: str = "doc_id",
 ) -> LdaResult:
     """Variational inference over all documents in every iteration.
 
     ``fraction`` below 1 makes the iterations mini-batches, the usual choice for a corpus
-    that is far larger than the topics need. Topics x vocabulary live on the driver, hence
+    that is far larger than the topics need; ``offset``, which slows the first steps down,
+    should then be raised (MLlib's own default is 1024). Topics x vocabulary live on the driver, hence
     ``max_vocab``; the documents stay where they are. A document without a word of the
     vocabulary takes no part.
     """
@@ -65,6 +67,7 @@ def fit_lda(
         topicConcentration=eta,
         optimizeDocConcentration=False,
         subsamplingRate=fraction,
+        learningOffset=offset,
     ).fit(vectors)
     vectors.unpersist()
     weights = model.describeTopics(len(vectorizer.vocabulary)).select(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.arrays import rank_key
+from themeloom.operators.joins import small_lookup
 
 OUTLIER = -1
 
@@ -130,9 +131,6 @@ def topic_listing(assigned: DataFrame, top: DataFrame, n: int = 8) -> DataFrame:
     return sizes.join(keywords(top, n), "topic", "left")
 
 
-def with_keywords(assigned: DataFrame, top: DataFrame, n: int, separator: str = ", ") -> DataFrame:
-    """Each document with the keywords of its topic; outliers are looked up like any other.
-
-    The keyword table has one short row per topic, so Spark broadcasts it while it is small.
-    """
-    return assigned.join(keywords(top, n, separator), "topic", "left")
+def with_keywords(assigned: DataFrame, top: DataFrame, n: int, separator: str = ", ", key: str = "doc_id") -> DataFrame:
+    """Each document with the keywords of its topic; outliers are looked up like any other."""
+    return small_lookup(assigned, keywords(top, n, separator), ["topic"], key, "keywords")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from themeloom.functions.arrays import bag_of_words
-from themeloom.session import dense_ids
+from themeloom.operators.joins import lookup
+from themeloom.session import dense_ids, materialise_counted
 
 MIN_LENGTH = 2  # shorter words are no terms
 MAX_DRIVER_VOCABULARY = 200_000
@@ -48,11 +48,22 @@ def count_vectorizer(vocab: DataFrame) -> CountVectorizerModel:
 
 
 def class_counts(terms: DataFrame, topic: str = "topic") -> DataFrame:
-    """``(topic, term, n)``: each class read as one long document; a null class is none.
+    """``(topic, term, n)``: each class read as one long document; a null class is none."""
+    return (
+        terms.filter(F.col(topic).isNotNull())
+        .groupBy(F.col(topic).alias("topic"), "term")
+        .agg(F.sum("n").alias("n"))
+    )
+
 
-    The null test stands here so that all uses of the counts share one shuffle.
+def _counts_and_sizes(terms: DataFrame, topic: str) -> tuple[DataFrame, DataFrame]:
+    """Class counts with ``_words``, the size of the class, and the sizes alone.
+
+    The counts are stored, so that the texts behind ``terms`` are read once.
     """
-    return terms.filter(F.col(topic).isNotNull()).groupBy(F.col(topic).alias("topic"), "term").agg(F.sum("n").alias("n"))
+    counts, rows = materialise_counted(class_counts(terms, topic), "class-counts")
+    sizes = counts.groupBy("topic").agg(F.sum("n").alias("_words"))
+    return lookup(counts, sizes, ["topic"], "term", rows), sizes
 
 
 def class_tfidf(terms: DataFrame, topic: str = "topic", outlier: int | None = None) -> DataFrame:
@@ -63,26 +74,14 @@ def class_tfidf(terms: DataFrame, topic: str = "topic", outlier: int | None = No
     """
     if outlier is not None:
         terms = terms.filter(F.col(topic) != outlier)
-    counts = class_counts(terms, topic)
-    sizes = counts.groupBy("topic").agg(F.sum("n").alias("_words"))
+    counts, sizes = _counts_and_sizes(terms, topic)
     mean_words = sizes.agg(F.avg("_words")).scalar()
     over_classes = F.sum("n").over(Window.partitionBy("term"))
-    return (
-        counts.withColumn("_total", over_classes)
-        .join(sizes, "topic")
-        .select(
-            "topic",
-            "term",
-            "n",
-            (F.col("n") / F.col("_words") * F.log1p(mean_words / F.col("_total"))).alias("score"),
-        )
-    )
+    inverse = F.log1p(mean_words / over_classes)
+    return counts.select("topic", "term", "n", (F.col("n") / F.col("_words") * inverse).alias("score"))
 
 
 def class_shares(terms: DataFrame, topic: str = "topic") -> DataFrame:
     """``(topic, term, weight)``: the share of the words of a class; sums to 1 per class."""
-    counts = class_counts(terms, topic)
-    sizes = counts.groupBy("topic").agg(F.sum("n").alias("_words"))
-    return counts.join(sizes, "topic").select(
-        "topic", "term", (F.col("n") / F.col("_words")).alias("weight")
-    )
+    counts, _ = _counts_and_sizes(terms, topic)
+    return counts.select("topic", "term", (F.col("n") / F.col("_words")).alias("weight"))

@@ -444,7 +444,7 @@ def embedding_pca(spark, folder):
 
 
 def _reduced_docs(spark, folder):
-    return em.reduced(em.hashed_embedding(_model_docs(spark, folder)).select("doc_id", "embedding"))
+    return em.reduced(models.stored_vectors(cleaned(spark, folder)))
 
 
 def density_cluster(spark, folder):
