@@ -1,5 +1,6 @@
 """One inline row per cleaning rule."""
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
 from themeloom.operators import cleaning
+from themeloom.plans import duckdb_sql
 
 
 def applied(spark, values, function):
@@ -57,9 +59,21 @@ HTML = {
     "a < b & c &nada; &": "a < b & c &nada; &",
     "&#0; &#xD800;": "&#0; &#xD800;",
     "sin cerrar <b": "sin cerrar <b",
+    '<a title="x > y" href=z>uno</a>': "uno",
+    "<a title = 'x > y'>uno</a>": "uno",
+    "<a title=don't>uno</a> isn't": "uno isn't",
+    '<p title="abc>uno</p> dos': "uno dos",
+    "<a b" + '="c" d' * 200: "<a b" + '="c" d' * 200,
+    "<a " + "b='c>' " * 3000 + ">uno": "uno",
 }
 
 
+def test_html_like_the_database(spark):
+    sql = duckdb_sql.html("x")
+    theirs = [duckdb.execute(f"SELECT {sql} FROM (SELECT ? AS x)", [h]).fetchall()[0][0] for h in HTML]
+    assert applied(spark, list(HTML), tx.strip_html) == theirs
+
+
 def test_html(spark):
     assert [squeezed(x) for x in applied(spark, list(HTML), tx.strip_html)] == list(HTML.values())
 

@@ -15,7 +15,15 @@ TRAILING_SPACE = rf"[{SPACE}]+\z"
 # HTML
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_RAW_ELEMENT = r"(?is)<(script|style|template)\b[^>]*>.*?</(script|style|template)\s*>"
+# A quoted value may hold a ">"; a tag whose quotes do not close ends at the next ">".
+HTML_TAG_WITH_VALUES = (
+    rf"(?s)</?[a-zA-Z!?][^>=]*(?:(?:=[{SPACE}]*\"[^\"]*\"|=[{SPACE}]*'[^']*'|=)[^>=]*)*>"
+)
 HTML_TAG = r"(?s)</?[a-zA-Z!?][^>]*>"
+# Java only: the first of the two without going back over a choice once made.
+HTML_TAG_WITH_VALUES_JAVA = (
+    rf"(?s)</?[a-zA-Z!?][^>=]*+(?>(?:=[{SPACE}]*+\"[^\"]*+\"|=[{SPACE}]*+'[^']*+'|=)[^>=]*+)*+>"
+)
 HTML_ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 # Markdown

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
-from themeloom.functions.arrays import let
 from themeloom.functions.stopwords import stopword_list
 from themeloom.operators.joins import lookup
 
@@ -34,13 +33,13 @@ def _inline_lemmas(rows: list, words: Column, lang: Column) -> Column:
     if not rows:
         return words
     table = {f"{r['lang']} {r['form']}": r["lemma"] for r in rows}
-    lemma_of = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    entries = ", ".join(tx.sql_text(x) for pair in table.items() for x in pair)
+    lemma_of = F.expr(f"map({entries})")
+    forms = sorted({r["form"] for r in rows})
 
     def one(word: Column) -> Column:
-        return let(
-            F.concat_ws(" ", lang, word),
-            lambda k: F.when(k.isin(list(table)), F.try_element_at(lemma_of, k)).otherwise(word),
-        )
+        found = F.try_element_at(lemma_of, F.concat_ws(" ", lang, word))
+        return F.when(word.isin(forms), F.coalesce(found, word)).otherwise(word)
 
     return F.transform(words, one)
 

@@ -108,6 +108,7 @@ def numbered(members: DataFrame, key: str, group: str, min_size: int, rows: int)
 
 def linked_groups(points: DataFrame, side: float, min_size: int = 2, key: str = "doc_id", coordinates: str = "reduced") -> DataFrame:
     """``(key, topic)``: the groups at one scale; groups below ``min_size`` points become -1."""
+    points = materialise(points.select(key, coordinates), "coordinates")
     d = _dimension(points, coordinates)
     if d == 0:
         return points.select(key, F.lit(OUTLIER).alias("topic"))
@@ -136,6 +137,7 @@ def density_clusters(
     until it merges with another cluster, gaining ``points / (2 * side)`` of stability per
     scale. A cluster is kept when that is at least what the clusters inside it gain.
     """
+    points = materialise(points.select(key, coordinates), "coordinates")
     d = _dimension(points, coordinates)
     if d == 0:
         return points.select(key, F.lit(OUTLIER).alias("topic"))

@@ -58,7 +58,7 @@ def entities(column: str) -> str:
 
 
 def html(column: str) -> str:
-    return entities(drop(column, p.HTML_COMMENT, p.HTML_RAW_ELEMENT, p.HTML_TAG))
+    return entities(drop(column, p.HTML_COMMENT, p.HTML_RAW_ELEMENT, p.HTML_TAG_WITH_VALUES, p.HTML_TAG))
 
 
 def markdown(column: str, urls_first: bool = False) -> str:
