@@ -7,12 +7,10 @@ most a small matrix (the topic vectors) and is narrow. A null vector gives a nul
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,9 +20,6 @@ HASH_DIM = 64
 MAX_HASH_DIM = 128  # bits of the digest of a word
 _CELLS = 4_000_000  # numbers held at once while a batch is worked through
 
-# Executors get these functions with the task, so they need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def vector_function(returns: str) -> Callable:
     """An Arrow function that is computed once, where it is written.
