@@ -2,7 +2,7 @@
 
 import pytest
 
-from themeloom.plans import reports
+from themeloom.plans import compare, reports
 from themeloom.plans.models import TopicModel
 
 
@@ -57,3 +57,14 @@ def test_transport_documents(model, docs):
     table = reports.transport_document_table(model, docs)
     assert table.columns == ["documento", "texto", "tema", "confianza", "palabras_tema"]
     assert rows(table)[1] == (2, "texto 2", 0, 0.5, " ".join(f"w0{r}" for r in range(1, 16)))
+
+
+def test_models_side_by_side(spark, model):
+    terms = spark.createDataFrame(
+        [(d, f"w{t}{r}", 1) for d, t in ((1, 1), (2, 0), (3, 0)) for r in (1, 2)], "doc_id bigint, term string, n bigint"
+    )
+    other = TopicModel(model.assigned, model.top.filter("topic <> 1"))
+    table = {r["model"]: r for r in compare.quality({"a": model, "b": other}, terms, 2).collect()}
+    assert (table["a"]["n_topics"], table["b"]["n_topics"]) == (2, 1)
+    assert table["a"]["npmi"] == pytest.approx(1.0) and table["a"]["diversity"] == 1.0
+    assert rows(compare.agreement(model, other)) == [(3, 1.0, pytest.approx(1.0))]

@@ -64,6 +64,8 @@ HTML = {
     "<a title=don't>uno</a> isn't": "uno isn't",
     '<p title="abc>uno</p> dos': "uno dos",
     "<a b" + '="c" d' * 200: "<a b" + '="c" d' * 200,
+    "a<script>s='<!--'</script>b<!-- c -->d": "a b d",
+    "a<!-- <script> -->b<script>x</script>c": "a b c",
     "<a " + "b='c>' " * 3000 + ">uno": "uno",
 }
 

@@ -12,18 +12,17 @@ WORD = f"[^{SPACE}]+"
 LEADING_SPACE = f"^[{SPACE}]+"
 TRAILING_SPACE = rf"[{SPACE}]+\z"
 
-# HTML
-HTML_COMMENT = r"(?s)<!--.*?-->"
-HTML_RAW_ELEMENT = r"(?is)<(script|style|template)\b[^>]*>.*?</(script|style|template)\s*>"
-# A quoted value may hold a ">"; a tag whose quotes do not close ends at the next ">".
-HTML_TAG_WITH_VALUES = (
-    rf"(?s)</?[a-zA-Z!?][^>=]*(?:(?:=[{SPACE}]*\"[^\"]*\"|=[{SPACE}]*'[^']*'|=)[^>=]*)*>"
-)
-HTML_TAG = r"(?s)</?[a-zA-Z!?][^>]*>"
-# Java only: the first of the two without going back over a choice once made.
-HTML_TAG_WITH_VALUES_JAVA = (
-    rf"(?s)</?[a-zA-Z!?][^>=]*+(?>(?:=[{SPACE}]*+\"[^\"]*+\"|=[{SPACE}]*+'[^']*+'|=)[^>=]*+)*+>"
-)
+# HTML, read from left to right as a parser does: a comment, an element whose content is no
+# text, or a tag. A quoted value may hold a ">"; a tag whose quotes do not close ends at the
+# next ">".
+_COMMENT = r"!--.*?-->"
+_RAW_ELEMENT = r"(?i:(?:script|style|template)\b[^>]*>.*?</(?:script|style|template)\s*>)"
+_TAG_WITH_VALUES = rf"/?[a-zA-Z!?][^>=]*(?:(?:=[{SPACE}]*\"[^\"]*\"|=[{SPACE}]*'[^']*'|=)[^>=]*)*>"
+_TAG = r"/?[a-zA-Z!?][^>]*>"
+HTML_MARKUP = f"(?s)<(?:{_COMMENT}|{_RAW_ELEMENT}|{_TAG_WITH_VALUES}|{_TAG})"
+# Java only: the same without going back over a choice once made.
+_TAG_WITH_VALUES_JAVA = rf"/?[a-zA-Z!?][^>=]*+(?>(?:=[{SPACE}]*+\"[^\"]*+\"|=[{SPACE}]*+'[^']*+'|=)[^>=]*+)*+>"
+HTML_MARKUP_JAVA = f"(?s)<(?:{_COMMENT}|{_RAW_ELEMENT}|{_TAG_WITH_VALUES_JAVA}|{_TAG})"
 HTML_ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 # Markdown

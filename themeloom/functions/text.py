@@ -68,8 +68,7 @@ def decode_entities(text: Column) -> Column:
 
 def strip_html(text: Column) -> Column:
     """The text between the tags; scripts, styles, templates and comments are no text."""
-    tags = (p.HTML_TAG_WITH_VALUES_JAVA, p.HTML_TAG)
-    return decode_entities(_drop(text, p.HTML_COMMENT, p.HTML_RAW_ELEMENT, *tags))
+    return decode_entities(_drop(text, p.HTML_MARKUP_JAVA))
 
 
 def strip_markdown(text: Column, urls_first: bool = False) -> Column:

@@ -58,7 +58,7 @@ def entities(column: str) -> str:
 
 
 def html(column: str) -> str:
-    return entities(drop(column, p.HTML_COMMENT, p.HTML_RAW_ELEMENT, p.HTML_TAG_WITH_VALUES, p.HTML_TAG))
+    return entities(drop(column, p.HTML_MARKUP))
 
 
 def markdown(column: str, urls_first: bool = False) -> str:
@@ -432,7 +432,7 @@ def build() -> dict[str, str]:
     )
     sql["topic_search_by_topic"] = (
         with_(nearest)
-        + f"SELECT vec_id, topic, {shown('score')} AS score FROM found WHERE topic = 3 ORDER BY round(score, 6) DESC, vec_id LIMIT 20"
+        + f"SELECT vec_id, topic, {shown('score')} AS score FROM found WHERE topic = 3 ORDER BY round(found.score, 9) DESC, vec_id LIMIT 20"
     )
     sql["topic_trend"] = (
         with_(terms, embedded, assigned)
