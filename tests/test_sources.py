@@ -14,9 +14,11 @@ def write(folder, files):
 
 
 def test_text_folder(spark, tmp_path):
-    write(tmp_path, {"b.md": "\n uno dos\ntres  ", "a.md": "", "sub dir/c ñ.md": "x\n"})
+    write(tmp_path, {"b.md": "\n uno dos\ntres  ", "a.md": "", "c+ñ %41.md": "x\n", "sub/d.md": "y"})
     rows = corpus.read_text_folder(spark, str(tmp_path)).orderBy("doc_id").collect()
-    assert [tuple(r) for r in rows] == [(0, "a.md", "", 0), (1, "b.md", "uno dos\ntres", 3), (2, "c ñ.md", "x", 1)]
+    assert [tuple(r) for r in rows] == [(0, "a.md", "", 0), (1, "b.md", "uno dos\ntres", 3), (2, "c+ñ %41.md", "x", 1)]
+    rows = corpus.read_text_folder(spark, str(tmp_path), keep_empty=False).orderBy("doc_id").collect()
+    assert [r["name"] for r in rows] == ["b.md", "c+ñ %41.md"]
 
 
 def test_text_folder_pattern(spark, tmp_path):

@@ -14,30 +14,32 @@ def read_table(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spread(spark.read.parquet(path), key)
 
 
-def read_text_folder(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+def read_text_folder(
+    spark: SparkSession, folder: str, pattern: str = "*", keep_empty: bool = True
+) -> DataFrame:
     """``(doc_id, name, text, n_words)``: one row per UTF-8 file, in file-name order.
 
     Ids come from the listing alone (no content is read for it), so no text is sorted; the
-    texts join them by path. Spark's file sources pass over files of no length.
+    texts join them by path. Spark's file sources pass over files of no length:
+    ``keep_empty`` finds them by a second reading, which a large corpus may want to save.
     """
-    def reader(source: str):
-        out = spark.read.format(source).option("recursiveFileLookup", "true")
-        return out.option("pathGlobFilter", pattern) if pattern else out
-
-    listing = reader("binaryFile").load(folder).select(F.col("_metadata.file_path").alias("path"))
-    ids = dense_ids(listing, [F.col("path")], "doc_id")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    if keep_empty:
+        whole = spark.sparkContext.wholeTextFiles(f"{folder}/{pattern}")
+        empty = whole.filter(lambda file: not file[1]).map(lambda file: (file[0],))
+        files = files.union(spark.createDataFrame(empty, "path string"))
+    ids = dense_ids(files, [F.col("path")], "doc_id")
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     texts = (
-        reader("text")
-        .option("wholetext", "true")
-        .load(folder)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_name").alias("name"),
-            tx.strip_space(F.col("value")).alias("text"),
-        )
+        spark.read.option("pathGlobFilter", pattern)
+        .text(folder, wholetext=True)
+        .select(path.alias("path"), tx.strip_space(F.col("value")).alias("text"))
     )
-    return texts.join(ids, "path").select(
-        "doc_id", "name", "text", tx.word_count(F.col("text")).alias("n_words")
+    return ids.join(texts, "path", "left").select(
+        "doc_id",
+        F.element_at(F.split("path", "/"), -1).alias("name"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(tx.word_count(F.col("text")), F.lit(0)).alias("n_words"),
     )
 
 
