@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from themeloom.functions import vectors as v
 from themeloom.functions.arrays import bag_of_words
 from themeloom.operators.vocabulary import MIN_LENGTH
-from themeloom.session import materialise
 
 MAX_PCA_DIM = 1_000
 MAX_DRIVER_WEIGHTS = 50_000_000  # words x dim held by the driver while Word2Vec trains
