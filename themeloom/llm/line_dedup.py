@@ -1,6 +1,6 @@
 """Near-duplicate lines by MinHash, in DataFrame functions only.
 
-A line is lower-cased, its white space made single blanks. Its shingles are windows of
+A line is lower-cased and freed of white space at its ends. Its shingles are windows of
 ``WINDOW`` characters laid from each word's start on, and again after every ``WINDOW - 1``
 characters of a longer word, so every character is in a window, windows run across the ends
 of words, and a change moves no window beyond its word. One hash of each shingle serves all
@@ -34,6 +34,7 @@ LEAST = 0.8
 LEVELS = 5
 BINS = 1 << LEVELS
 BANDS, ROWS = 14, 5
+BLANKS = " \t\r\f\x0b\xa0"
 _SHINGLE = rf"(?s)(?=(.{{1,{WINDOW}}}))\S{{1,{WINDOW - 1}}}\s*"
 
 
@@ -50,28 +51,27 @@ def band_places() -> list[list[int]]:
 def lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, line, digest)`` of all lines but blank ones, normalised."""
     split = docs.select("doc_id", F.posexplode(F.split(full_text("text"), "\n")).alias("line_no", "line"))
-    # White space but the blank is rare, so the costly replacement runs only where it is.
-    plain = F.trim(F.lower("line"))
-    single = F.when(plain.rlike(r"\s\s|[^\S ]"), F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))).otherwise(plain)
-    return split.select("doc_id", "line_no", single.alias("line")).filter("line <> ''").withColumn("digest", F.unhex(F.md5(F.encode("line", "UTF-8"))))
+    return split.select("doc_id", "line_no", F.trim(F.lower("line"), F.lit(BLANKS)).alias("line")).filter("line <> ''").withColumn("digest", F.unhex(F.md5(F.encode("line", "UTF-8"))))
 
 
 def shingles(line: str) -> Column:
     return F.regexp_extract_all(line, F.lit(_SHINGLE), F.lit(1))
 
 
+def _joined_bins(below: str, n: int) -> Column:
+    """Of ``n`` pairs of bins, the first hash of the left one or else of the right one."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.when(F.get(below, 2 * k) > 0, F.get(below, 2 * k)).otherwise(F.get(below, 2 * k + 1))
+    )
+
+
 def signed(all_lines: DataFrame) -> DataFrame:
     """``(id, digest, key0 … )``: each distinct line once with its band keys."""
     hashed = all_lines.select("digest", F.sort_array(F.transform(shingles("line"), lambda s: F.hash(s))).alias("h"))
     binned = hashed.select("digest", "h", F.transform("h", lambda x: F.shiftrightunsigned(x, 32 - LEVELS)).alias("b"))
     staged = binned.select("digest", "h", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.array_position("b", j)).alias("t0"))
     for level in range(1, LEVELS + 1):
-        below = f"t{level - 1}"
-        up = F.transform(
-            F.sequence(F.lit(0), F.lit((BINS >> level) - 1)),
-            lambda k, below=below: F.when(F.get(below, 2 * k) > 0, F.get(below, 2 * k)).otherwise(F.get(below, 2 * k + 1)),
-        )
-        staged = staged.withColumn(f"t{level}", up)
+        staged = staged.withColumn(f"t{level}", _joined_bins(f"t{level - 1}", BINS >> level))
 
     def nearest(j: int) -> Column:
         found = F.when(F.get("t0", F.lit(j)) > 0, F.get("t0", F.lit(j)))
