@@ -30,12 +30,12 @@ from themeloom.session import materialise
 
 END_ID = 2
 SHARD_IDS = 1 << 20
-ROUNDS = 6
-PER_ROUND = 1_500  # pairs replaced in a round
+ROUNDS = 5
+PER_ROUND = 3_000  # pairs replaced in a round
 LEAST = 16  # occurrences of a pair worth a rule
 GAIN = 0.01  # a round that replaces less of the symbols is the last
-_SLOTS = 20  # bits of the table in which pairs are counted
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_SLOTS = 17  # bits of the table in which pairs are counted
+_FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
 
 FILES = (
     "part int, shard int, n_ids bigint, first_rule bigint, rules binary, lengths binary, wide boolean, symbols binary,"
@@ -56,8 +56,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, n
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((key * _FACTOR) >> np.uint64(64 - _SLOTS)).astype(np.int32)
+        slot = ((seq[:-1] * _FACTORS[0] + seq[1:] * _FACTORS[1]) >> np.uint32(32 - _SLOTS)).astype(np.int64)
         slot[last[:-1]] = 1 << _SLOTS  # never counted
         count = np.bincount(slot, minlength=(1 << _SLOTS) + 1)
         count[-1] = 0
@@ -67,18 +66,20 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, n
         rank[chosen] = count[chosen]
         order = rank[slot]
         at = np.flatnonzero(order)
+        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        of = slot[at]
         pair = np.zeros((1 << _SLOTS) + 1, np.uint64)
-        pair[slot[at]] = key[at]  # of pairs that share a slot, one is kept: mostly the frequent one
-        order[at[pair[slot[at]] != key[at]]] = 0
+        pair[of] = key  # of pairs that share a slot, one is kept: mostly the frequent one
+        order[at[pair[of] != key]] = 0
         before = np.concatenate(([0], order[:-1]))
         after = np.concatenate((order[1:], [0]))
         take = np.flatnonzero((order > before) & (order >= after))
-        used, which = np.unique(slot[take], return_inverse=True)
-        enough = np.bincount(which, minlength=len(used)) >= LEAST // 2
-        take, which = take[enough[which]], (np.cumsum(enough) - 1)[which][enough[which]]
+        often = np.bincount(slot[take], minlength=len(rank)) >= LEAST // 2
+        take = take[often[slot[take]]]
         if len(take) < GAIN * len(seq):
             break
-        found = pair[used[enough]]
+        which = (np.cumsum(often) - 1)[slot[take]]
+        found = pair[often]
         rules.append(np.stack([(found >> np.uint64(32)).astype(np.uint32), (found & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
         seq[take] = symbol + which
         last[take] = last[take + 1]

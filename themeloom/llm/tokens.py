@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -31,6 +32,17 @@ def digest(spec: str) -> str:
     return hashlib.sha256(f"{tokenizers.__version__}\n{spec}".encode()).hexdigest()
 
 
+LATIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+SIGNS = ".,;:!?#$%&*|"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if printable, else one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
     """``encode(texts)``: for each text its ids as little-endian 32-bit numbers."""
 
@@ -53,6 +65,9 @@ class Encoder:
             and len(line_end) == 1
         )
         self.line_end = line_end[0] if line_end else -1
+        self.model = self.tokenizer.model
+        self.letter_of = _byte_letters()
+        self.tails: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -60,15 +75,30 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _letters(self, shown: str) -> bytes | None:
+        """Ids of a word of Latin letters with signs behind it: two pieces, each given to the model itself."""
+        core = shown.rstrip(SIGNS)
+        if not LATIN.fullmatch(core):
+            return None
+        tail = shown[len(core) :]
+        ids = [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(self.letter_of))]
+        return np.array(ids, "<u4").tobytes() + (self._tail(tail) if tail else b"")
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            self.tails[tail] = self.whole([tail])[0]
+        return self.tails[tail]
+
     def _learn(self, words: Iterable[str]) -> None:
         """Words as they are cached: one that starts a text ends in a blank, others have lost theirs."""
         lone, joined = [], []
+        shown = lambda word: word[:-1] if word[-1] == " " else " " + word
         for word in words:
-            if word in self.old:
-                self.new[word] = self.old[word]
+            ids = self.old.get(word) or self._letters(shown(word))
+            if ids is not None:
+                self.new[word] = ids
             else:
                 (lone if "\n" in word else joined).append(word)
-        shown = lambda word: word[:-1] if word[-1] == " " else " " + word
         for at in range(0, len(joined), JOINED):
             some = joined[at : at + JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(map(shown, some))], add_special_tokens=False)[0].ids, "<u4")
@@ -87,22 +117,33 @@ class Encoder:
             return self.whole(texts)
         if len(self.new) > KEPT_WORDS:
             self.old, self.new = self.new, {}
-        cut: list[list[str] | None] = []
+        out: list[bytes] = [b""] * len(texts)
+        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
+        odd: list[int] = []
         unknown: set[str] = set()
-        for text in texts:
+        for k, text in enumerate(texts):
+            if any(mark in text for mark in self.marks):
+                odd.append(k)
+                continue
             words = text.split(" ")
             words[0] += " "
-            missing = {w for w in words if w not in self.new}
-            odd = any(w in ("", " ") or w[0].isspace() or w.rstrip(" ")[-1:].isspace() for w in missing)
-            if odd or any(mark in text for mark in self.marks):
-                cut.append(None)
+            ids = list(map(self.new.get, words))
+            if None not in ids:
+                out[k] = b"".join(ids)
+                continue
+            missing = {w for w, known in zip(words, ids) if known is None}
+            if any(w in ("", " ") or w[0].isspace() or w.rstrip(" ")[-1:].isspace() for w in missing):
+                odd.append(k)
             else:
-                cut.append(words)
+                waiting.append((k, words, ids))
                 unknown |= missing
         self._learn(unknown)
-        whole = iter(self.whole([t for t, words in zip(texts, cut) if words is None]))
-        known = self.new.__getitem__
-        return [next(whole) if words is None else b"".join(map(known, words)) for words in cut]
+        known = self.new
+        for k, words, ids in waiting:
+            out[k] = b"".join([known[w] if found is None else found for w, found in zip(words, ids)])
+        for k, ids in zip(odd, self.whole([texts[k] for k in odd])):
+            out[k] = ids
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
