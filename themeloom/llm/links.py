@@ -3,8 +3,8 @@
 In each bucket every member is compared with a leader. With a distance that obeys the triangle
 inequality (1 - Jaccard does), a link missed this way is between a member of a leader's star
 and one that missed the leader narrowly: its similarity to the leader is at least
-``2 * least - 1``. Such near misses are compared with the star's members; members that missed
-the leader go on among themselves, with four times as many leaders each round, until each has
+``2 * least - 1``. Such near misses are compared with some of the star's members, then with more,
+as long as they are of two components; members that missed the leader go on among themselves, with four times as many leaders each round, until each has
 been a leader, has met one it links to, or no other component is left in its bucket. Pairs
 within a component found so far are left out: they cannot change it.
 """
@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.operators.density import components
-from themeloom.operators.joins import lookup
 from themeloom.session import materialise, materialise_counted
 
 
+PROBES = 16  # members of a star that a near miss meets first
+
+
 def shared_buckets(places: DataFrame) -> DataFrame:
     """``(key, id)`` of the keys that more than one id has; ``places`` holds each once."""
     keys = places.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
@@ -32,11 +34,15 @@ def _ordered(pairs: DataFrame, one: str, other: str) -> DataFrame:
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None, name: str, label: str) -> DataFrame:
-    """Add the component of column ``name``: the id itself where no link holds it yet."""
+    """Add the component of column ``name``: the id itself where no link holds it yet.
+
+    A plain join, whose skewed side Spark splits at run time; a sketch of heavy keys would
+    evaluate the pairs twice.
+    """
     if labels is None:
         return members.withColumn(label, F.col(name))
     known = labels.select(F.col("id").alias(name), F.col("label").alias("_label"))
-    return lookup(members, known, [name], "key").withColumn(label, F.coalesce("_label", name)).drop("_label")
+    return members.join(known, [name], "left").withColumn(label, F.coalesce("_label", name)).drop("_label")
 
 
 def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float) -> DataFrame | None:
@@ -60,26 +66,41 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
             labels = components(edges)
         return n
 
+    def apart(pairs: DataFrame, one: str, other: str) -> DataFrame:
+        """Pairs of two components."""
+        if labels is None:
+            return pairs
+        named = _labelled(_labelled(pairs, labels, one, "_mine"), labels, other, "_theirs")
+        return named.filter("_mine <> _theirs").drop("_mine", "_theirs")
+
+    def probe(star: DataFrame, narrow: DataFrame) -> None:
+        """Compare near misses with some members of the star, then with more, while they are of two components."""
+        sizes = star.groupBy("key", "leader").agg(F.count("*").alias("n"))
+        members = materialise(star.join(sizes, ["key", "leader"]).select("key", "leader", "id", "n"), "stars")
+        narrow, left = materialise_counted(apart(narrow.join(sizes, ["key", "leader"]), "other", "leader"), "narrow")
+        width = PROBES
+        while left:
+            some = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.floor(F.col("n") / width))) == 0
+            tried = members.filter(some).drop("n").join(narrow.drop("n"), ["key", "leader"]).filter("id <> other")
+            joined(judged(materialise(_ordered(tried, "id", "other").select("a", "b").distinct(), "probes")))
+            narrow, left = materialise_counted(apart(narrow.filter(F.col("n") >= 2 * width), "other", "leader"), "narrow")
+            width *= 8
+
     while True:
         turn = F.pmod(F.xxhash64("id", "key"), F.lit(leaders_each))
         leaders = waiting.groupBy("key", turn.alias("turn")).agg(F.min("id").alias("leader")).select("key", "leader")
-        met = waiting.join(leaders, "key").filter("id <> leader")
+        met = apart(waiting.join(leaders, "key").filter("id <> leader"), "id", "leader")
         met = materialise(_ordered(met, "id", "leader"), "met")
         found = judged(met)
         joined(found)
         told = materialise(met.join(found, ["a", "b"]).select("key", "id", "leader", "sim"), "told")
         star = told.filter(F.col("sim") >= least)
-        narrow = _labelled(_labelled(told.filter(F.col("sim") < least), labels, "id", "mine"), labels, "leader", "theirs")
-        narrow = narrow.filter("mine <> theirs").select("key", "leader", F.col("id").alias("other"))
-        second = _ordered(star.select("key", "leader", "id").join(narrow, ["key", "leader"]).filter("id <> other"), "id", "other")
-        second, n_second = materialise_counted(second.select("a", "b").distinct(), "second")
-        if n_second:
-            joined(judged(second))
+        probe(star, told.filter(F.col("sim") < least).select("key", "leader", F.col("id").alias("other")))
         # Members that met no leader they link to, in buckets where they are of several components.
         rest = waiting.join(star.select("key", "id"), ["key", "id"], "left_anti").join(
             leaders.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti"
         )
-        rest = _labelled(rest, labels, "id", "label")
+        rest = materialise(_labelled(rest, labels, "id", "label"), "rest")
         mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         waiting, left = materialise_counted(rest.select("key", "id").join(mixed.select("key"), "key", "left_semi"), "waiting")
         if not left:

@@ -16,7 +16,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-KEPT_WORDS = 600_000  # words remembered by a task before the older half is let go
+KEPT_WORDS = 400_000  # words remembered by a task before the older half is let go
 JOINED = 4_096  # new words given to the tokenizer at once
 
 
