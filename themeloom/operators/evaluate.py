@@ -50,11 +50,14 @@ def _scored_pairs(top: DataFrame, single: DataFrame, both: DataFrame) -> DataFra
 
 
 def coherence_umass(terms: DataFrame, top: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(topic, coherence)``: sum over pairs of ``ln((D(i, j) + 1) / D(i))``, i ranked higher."""
+    """``(topic, coherence)``: sum over pairs of ``ln((D(i, j) + 1) / D(i))``, i ranked higher.
+
+    A pair whose higher word occurs in no document has no value and is left out.
+    """
     top = materialise(top, "top")
     scored = _scored_pairs(top, *_pair_counts(terms, top, key))
     return scored.groupBy("topic").agg(
-        F.sum(F.log((F.col("d_both") + 1) / F.col("d_i"))).alias("coherence")
+        F.sum(F.when(F.col("d_i") > 0, F.log((F.col("d_both") + 1) / F.col("d_i")))).alias("coherence")
     )
 
 
