@@ -51,7 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         changes = Observation()
         moved = F.count(F.when(F.col("old") != F.col("label"), 1)).alias("moved")
-        labels = materialise(step.observe(changes, moved).select("id", "label"), "labels")
+        labels = materialise(step.observe(changes, moved).select("id", "label"), "labels", rows)
         if changes.get["moved"] == 0:
             break
     return labels

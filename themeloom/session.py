@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 _local_folders: dict[str, str] = {}
 
 
+ROWS_PER_FILE = 100_000  # of a stored table whose rows are few and narrow
+
+
 def build_session(app: str = "themeloom", cores: str | int | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are tuned for.
 
@@ -56,22 +59,26 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back.
 
     Cuts lineage like a checkpoint does, and the table read back has a known size, so that
-    later joins on it are planned from facts; columns not needed are not read.
+    later joins on it are planned from facts; columns not needed are not read. ``most`` is a
+    bound of its rows if the caller knows one: few narrow rows go into few files, where a
+    file for each shuffle partition would cost more than the rows.
     """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(most // ROWS_PER_FILE + 1)
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialise_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+def materialise_counted(df: DataFrame, name: str, most: int | None = None) -> tuple[DataFrame, int]:
     """``materialise`` and the number of rows written, taken while writing."""
     seen = Observation()
-    stored = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    stored = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), name, most)
     return stored, seen.get["rows"]
 
 
