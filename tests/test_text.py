@@ -189,3 +189,14 @@ def test_stopwords_look_at_the_lemma(spark):
     docs, lemmas = lemma_docs(spark)
     out = cleaning.without_stopwords(cleaning.lemmatise(docs, lemmas)).collect()
     assert {r["doc_id"]: r["tokens"] for r in out}[1] == ["flor", "propio", "flor"]
+
+
+def test_lemmas_both_ways_agree(spark, monkeypatch):
+    """Null tokens, a key held by two rows and a form with two lemmas mean the same both ways."""
+    rows = [(1, "es", ["flores", "x"]), (1, "es", ["gatas"]), (2, "es", None), (3, None, ["flores"]), (4, "es", [])]
+    docs = spark.createDataFrame(rows, "doc_id int, lang string, tokens array<string>")
+    lemmas = spark.createDataFrame([("es", "flores", "flor"), ("es", "flores", "flora"), ("es", "gatas", "gato")], "lang string, form string, lemma string")
+    inline = sorted(map(str, cleaning.lemmatise(docs, lemmas).collect()))
+    monkeypatch.setattr(cleaning, "MAX_INLINE_LEMMAS", 1)
+    assert sorted(map(str, cleaning.lemmatise(docs, lemmas).collect())) == inline
+    assert "Row(doc_id=1, lang='es', tokens=['flor', 'x'])" in inline and "Row(doc_id=2, lang='es', tokens=None)" in inline

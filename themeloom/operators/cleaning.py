@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from themeloom.functions import text as tx
 from themeloom.functions.stopwords import stopword_list
 from themeloom.operators.joins import lookup
+from themeloom.session import materialise
 
 MAX_INLINE_LEMMAS = 1_000
 
@@ -17,16 +18,19 @@ def with_tokens(docs: DataFrame, text: str = "text", letters: bool = False, urls
     return docs.withColumn("tokens", tx.tokens(tx.clean(F.col(text), letters, urls_first)))
 
 
-def lemmatise(docs: DataFrame, lemmas: DataFrame, key: str = "doc_id", lang: str = "lang") -> DataFrame:
+def lemmatise(docs: DataFrame, lemmas: DataFrame, lang: str = "lang") -> DataFrame:
     """Replace each token by its lemma in ``lemmas(lang, form, lemma)``; unknown words stay.
 
-    A table of up to ``MAX_INLINE_LEMMAS`` rows goes into the projection itself and nothing
-    is shuffled; a larger one is joined, and the tokens are put back in order.
+    A form listed with several lemmas has the first of them in order. A table of up to
+    ``MAX_INLINE_LEMMAS`` rows goes into the projection itself and nothing is shuffled; a
+    larger one is joined, and the tokens are put back in order. Null tokens stay null, and
+    rows that share a key keep their own tokens.
     """
+    lemmas = lemmas.filter(F.col("lemma").isNotNull()).groupBy("lang", "form").agg(F.min("lemma").alias("lemma"))
     rows = lemmas.limit(MAX_INLINE_LEMMAS + 1).collect()
     if len(rows) <= MAX_INLINE_LEMMAS:
         return docs.withColumn("tokens", _inline_lemmas(rows, F.col("tokens"), F.col(lang)))
-    return _joined_lemmas(docs, lemmas, key, lang)
+    return _joined_lemmas(docs, lemmas, lang)
 
 
 def _inline_lemmas(rows: list, words: Column, lang: Column) -> Column:
@@ -44,23 +48,18 @@ def _inline_lemmas(rows: list, words: Column, lang: Column) -> Column:
     return F.transform(words, one)
 
 
-def _joined_lemmas(docs: DataFrame, lemmas: DataFrame, key: str, lang: str) -> DataFrame:
-    forms = lemmas.select(F.col("lang").alias(lang), "form", "lemma")
-    words = docs.select(key, lang, F.posexplode("tokens").alias("_pos", "form")).withColumn(
-        "_row", F.xxhash64(key, "_pos")
-    )
+def _joined_lemmas(docs: DataFrame, lemmas: DataFrame, lang: str) -> DataFrame:
+    forms = lemmas.select(F.col("lang").alias("_lang"), "form", "lemma")
+    stored = materialise(docs.withColumn("_id", F.monotonically_increasing_id()), "unlemmatised")
+    words = stored.select("_id", F.col(lang).alias("_lang"), F.posexplode("tokens").alias("_pos", "form"))
     found = (
-        lookup(words, forms, [lang, "form"], "_row")
-        .groupBy(key)
+        lookup(words.withColumn("_row", F.xxhash64("_id", "_pos")), forms, ["_lang", "form"], "_row")
+        .groupBy("_id")
         .agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form").alias("lemma")))).alias("_found"))
-        .select(key, F.col("_found.lemma").alias("_tokens"))
-    )
-    none = F.array().cast("array<string>")
-    return (
-        docs.join(found, key, "left")
-        .withColumn("tokens", F.coalesce("_tokens", none))
-        .drop("_tokens")
+        .select("_id", F.col("_found.lemma").alias("_tokens"))
     )
+    # A row without words has nothing to look up and keeps what it has: an empty list or null.
+    return stored.join(found, "_id", "left").withColumn("tokens", F.coalesce("_tokens", "tokens")).select(*docs.columns)
 
 
 def without_stopwords(docs: DataFrame, *languages: str, min_length: int = 1, extra: list[str] | None = None) -> DataFrame:
@@ -74,7 +73,6 @@ def clean_corpus(
     text: str = "text",
     languages: tuple[str, ...] = (),
     lemmas: DataFrame | None = None,
-    key: str = "doc_id",
     lang: str = "lang",
     letters: bool = False,
     urls_first: bool = False,
@@ -85,7 +83,7 @@ def clean_corpus(
     """
     out = with_tokens(docs, text, letters, urls_first)
     if lemmas is not None:
-        out = lemmatise(out, lemmas, key, lang)
+        out = lemmatise(out, lemmas, lang)
     return (
         without_stopwords(out, *languages)
         .withColumn("clean_text", F.array_join("tokens", " "))

@@ -33,7 +33,7 @@ def fit_lda(
     alpha: float = 0.1,
     eta: float = 0.01,
     min_df: int = 1,
-    max_vocab: int = 50_000,
+    max_vocab: int | None = None,
     fraction: float = 1.0,
     offset: float = 1.0,
     key: str = "doc_id",
@@ -42,21 +42,20 @@ def fit_lda(
 
     ``fraction`` below 1 makes the iterations mini-batches, the usual choice for a corpus
     that is far larger than the topics need; ``offset``, which slows the first steps down,
-    should then be raised (MLlib's own default is 1024). Topics x vocabulary live on the driver, hence
-    ``max_vocab``; the documents stay where they are. A document without a word of the
-    vocabulary takes no part.
+    should then be raised (MLlib's own default is 1024). Topics x vocabulary live on the driver, which
+    refuses more than ``MAX_DRIVER_WEIGHTS`` of them rather than drop terms unasked; the
+    documents stay where they are. A document without a word of the vocabulary takes no part
+    in the fit and gets all topics in equal shares.
     """
     terms = doc_terms(docs, key)
     vocab = vocabulary(terms, min_df, max_vocab)
     vectorizer = count_vectorizer(vocab)
     if k * len(vectorizer.vocabulary) > MAX_DRIVER_WEIGHTS:
         raise ValueError("topics x terms exceed the driver: lower max_vocab")
-    long_enough = docs.select(
-        key, F.filter("tokens", lambda w: F.length(w) >= MIN_LENGTH).alias("tokens")
-    ).filter(F.size("tokens") > 0)
-    counted = vectorizer.transform(long_enough).select(key, "features")
-    counted = counted.filter(F.size(F.unwrap_udt("features")["indices"]) > 0)
-    vectors = spread(materialise(counted, "lda-counts"), key)
+    none = F.array().cast("array<string>")
+    long_enough = docs.select(key, F.coalesce(F.filter("tokens", lambda w: F.length(w) >= MIN_LENGTH), none).alias("tokens"))
+    counted = spread(materialise(vectorizer.transform(long_enough).select(key, "features"), "lda-counts"), key)
+    vectors = counted.filter(F.size(F.unwrap_udt("features")["indices"]) > 0)
     vectors.persist(StorageLevel.MEMORY_AND_DISK)
     model = LDA(
         k=k,
@@ -74,9 +73,10 @@ def fit_lda(
         "topic", F.inline(F.arrays_zip(F.col("termIndices").alias("term_id"), F.col("termWeights").alias("weight")))
     )
     topic_term = weights.join(vocab, "term_id").select("topic", "term", "weight")
-    doc_topic = model.transform(vectors).select(
-        key, F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight")
-    )
+    shares = vector_to_array("topicDistribution")
+    equal = F.array_repeat(F.lit(1.0 / k), k)
+    known = F.exists(shares, lambda w: w > 0)  # MLlib gives a document without known words zeros
+    doc_topic = model.transform(counted).select(key, F.posexplode(F.when(known, shares).otherwise(equal)).alias("topic", "weight"))
     return LdaResult(topic_term, doc_topic, vocab, model, vectors)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.arrays import rank_key
+from themeloom.operators.assign import best_share
 from themeloom.operators.joins import small_lookup
 
 OUTLIER = -1
@@ -84,6 +85,28 @@ def dominant_topic(doc_topic: DataFrame, key: str = "doc_id", label: str = "Tema
     )
 
 
+def dominant_share(docs: DataFrame, ids: list[int], key: str = "doc_id", shares: str = "shares", label: str = "Tema ") -> DataFrame:
+    """``dominant_topic`` for rows that hold all their shares, in the order of ``ids``: nothing is shuffled.
+
+    A row without shares is kept as an outlier, with no weight and no label.
+    """
+    best = docs.select(key, best_share(ids, F.col(shares)).alias("_best"))
+    topic = F.col("_best.topic")
+    return best.select(
+        key,
+        F.coalesce(topic, F.lit(OUTLIER)).alias("topic"),
+        F.col("_best.confidence").alias("weight"),
+        F.concat(F.lit(label), (topic + 1).cast("string")).alias("dominant"),
+    )
+
+
+def wide_shares(docs: DataFrame, k: int, key: str = "doc_id", shares: str = "shares", label: str = "Tema ") -> DataFrame:
+    """``wide_weights`` for rows that hold all their shares as an array: nothing is shuffled."""
+    names = [f"{label}{i + 1}" for i in range(k)]
+    out = docs.select(key, *[F.coalesce(F.get(shares, F.lit(i)), F.lit(0.0)).alias(n) for i, n in enumerate(names)])
+    return out.withColumn(f"{label}dominante", _first_largest(names))
+
+
 def wide_weights(doc_topic: DataFrame, k: int, key: str = "doc_id", label: str = "Tema ") -> DataFrame:
     """One column per topic (``Tema 1`` … ``Tema k``) and the dominant one."""
     wide = doc_topic.groupBy(key).pivot("topic", list(range(k))).agg(F.first("weight"))

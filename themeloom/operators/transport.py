@@ -88,10 +88,11 @@ def fit_transport(
 
     Alternates scaling (rows exactly, columns towards ``weights``, uniform by default) with
     moving each topic to the weighted mean of its documents. Only topic vectors and column
-    scales are on the driver; each round is one pass over the stored vectors.
+    scales are on the driver; each round is one pass over the stored vectors. A document
+    without a vector takes no part and gets all topics in equal shares.
     """
-    vectors = docs.select(key, v.unit(F.col(embedding)).alias("embedding")).filter(F.col("embedding").isNotNull())
-    vectors = materialise(vectors, "vectors")
+    every = materialise(docs.select(key, v.unit(F.col(embedding)).alias("embedding")), "vectors")
+    vectors = every.filter(F.col("embedding").isNotNull())
     n = vectors.count()
     share = np.full(k, 1.0 / k) if weights is None else np.asarray(weights, dtype="f8") / np.sum(weights)
     topics = _start(vectors, k, key)
@@ -104,7 +105,7 @@ def fit_transport(
         scale = scale / scale.sum()
         if i < rounds:
             topics = sums / np.maximum(mass, 1e-300)[:, None]
-    return _result(vectors, topics, scale, epsilon, share, key)
+    return _result(every, topics, scale, epsilon, share, key)
 
 
 def _result(vectors: DataFrame, topics: np.ndarray, scale: np.ndarray, epsilon: float, share: np.ndarray, key: str) -> TransportResult:
@@ -116,7 +117,10 @@ def _result(vectors: DataFrame, topics: np.ndarray, scale: np.ndarray, epsilon:
             rows = rows_of(np.stack(batch.to_numpy()), topics, scale, epsilon) if len(batch) else []
             yield pd.Series(list(rows), index=batch.index)
 
-    shares = vectors.select(key, F.pandas_udf(plan, "array<double>").asNondeterministic()(F.col("embedding")).alias("shares"))
+    moved = F.pandas_udf(plan, "array<double>").asNondeterministic()(F.col("embedding"))
+    known = vectors.filter(F.col("embedding").isNotNull()).select(key, moved.alias("shares"))
+    unknown = vectors.filter(F.col("embedding").isNull()).select(key, F.array_repeat(F.lit(1.0 / k), k).alias("shares"))
+    shares = known.unionByName(unknown)
     spark = vectors.sparkSession
     table = spark.createDataFrame(
         [(i, [float(x) for x in topics[i]]) for i in range(k)], "topic int, vector array<double>"

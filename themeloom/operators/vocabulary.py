@@ -11,7 +11,7 @@ from themeloom.operators.joins import lookup
 from themeloom.session import dense_ids, materialise_counted
 
 MIN_LENGTH = 2  # shorter words are no terms
-MAX_DRIVER_VOCABULARY = 200_000
+MAX_DRIVER_VOCABULARY = 2_500_000
 
 
 def doc_terms(docs: DataFrame, *carry: str, tokens: str = "tokens") -> DataFrame:

@@ -217,7 +217,7 @@ def build() -> dict[str, str]:
         ", vocab AS (SELECT term, count(*) AS df, sum(n) AS cf FROM terms GROUP BY term {having}"
         " ORDER BY cf DESC, term LIMIT 5000)"
     )
-    word_softmax = capped.format(having="") + (
+    word_softmax = ", vocab AS (SELECT DISTINCT term FROM terms)" + (
         ", word_near AS (SELECT topic, term, exp(-pow(list_distance(w, c), 2) / 0.5) AS e FROM"
         " (SELECT term, list(s / 8.0 ORDER BY j) AS w FROM signs WHERE term IN (SELECT term FROM vocab) GROUP BY term), lang_centre)"
         ", word_share AS (SELECT topic, term, e / sum(e) OVER (PARTITION BY topic) AS weight FROM word_near)"

@@ -329,18 +329,17 @@ def topic_confidence(spark, folder):
 
 def dominant_topic(spark, folder):
     docs, ids = _vector_shares(spark, folder)
-    best = represent.dominant_topic(assign.long_weights(docs, ids, "vec_id"), "vec_id")
-    return best.withColumn("weight", shown(F.col("weight")))
+    return represent.dominant_share(docs, ids, "vec_id").withColumn("weight", shown(F.col("weight")))
 
 
 def doc_topic_wide(spark, folder):
     docs, ids = _vector_shares(spark, folder)
-    weights = assign.long_weights(docs, ids, "vec_id").withColumn("weight", shown(F.col("weight")))
-    return represent.wide_weights(weights, len(ids), "vec_id")
+    rounded = docs.withColumn("shares", F.transform("shares", lambda w: shown(w)))
+    return represent.wide_shares(rounded, len(ids), "vec_id")
 
 
 def _nearest_words(docs: DataFrame) -> DataFrame:
-    words = em.word_embedding(vocabulary.vocabulary(vocabulary.doc_terms(docs), max_vocab=5_000))
+    words = em.word_embedding(vocabulary.vocabulary(vocabulary.doc_terms(docs)))
     shares = transport.word_shares(words, assign.topic_centroids(docs), WORD_TEMPERATURE)
     return represent.keywords(represent.top_terms(shares, 15, "weight"), 15, " ")
 
