@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from themeloom.operators.density import components
+from themeloom.operators.joins import lookup
 from themeloom.session import materialise, materialise_counted
 
 
@@ -50,21 +51,36 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
 
     ``verify`` takes distinct pairs ``(a, b)`` and gives ``(a, b, sim)``.
     """
-    edges: DataFrame | None = None
     labels: DataFrame | None = None
-    waiting, leaders_each = buckets, 1
+    labelled = 0  # a bound of the ids that have a label
+    waiting, most, leaders_each = buckets, buckets.count(), 1
 
     def judged(pairs: DataFrame) -> DataFrame:
+        """Verified pairs that are links or near misses; the links are taken into the components."""
         near = verify(pairs.select("a", "b").distinct()).filter(F.col("sim") >= 2 * least - 1)
-        return materialise(near.select("a", "b", "sim"), "judged")
-
-    def joined(found: DataFrame) -> int:
-        nonlocal edges, labels
-        new, n = materialise_counted(found.filter(F.col("sim") >= least).select("a", "b"), "edges")
-        if n:
-            edges = new if edges is None else materialise(edges.unionByName(new), "edges")
-            labels = components(edges)
-        return n
+        seen, is_link = Observation(), F.col("sim") >= least
+        stored = materialise(near.select("a", "b", "sim").observe(seen, F.count(F.when(is_link, 1)).alias("links")), "judged")
+        take_in(stored.filter(is_link).select("a", "b"), seen.get["links"])
+        return stored
+
+    def take_in(links: DataFrame, n: int) -> None:
+        """Join the components that the links connect: only names of components meet, not all links again."""
+        nonlocal labels, labelled
+        if not n:
+            return
+        named = _labelled(_labelled(links, labels, "a", "_a"), labels, "b", "_b")
+        between = named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).filter("a <> b").distinct()
+        between, n = materialise_counted(between, "between", n)
+        if not n:
+            return
+        joint = components(between)
+        if labels is None:
+            labels, labelled = joint, 2 * n
+            return
+        moved = joint.select(F.col("id").alias("label"), F.col("label").alias("_now"))
+        kept = lookup(labels, moved, ["label"], "id", labelled).select("id", F.coalesce("_now", "label").alias("label"))
+        added = joint.join(labels.select("id"), "id", "left_anti")
+        labels, labelled = materialise_counted(kept.unionByName(added), "labels", labelled + 2 * n)
 
     def apart(pairs: DataFrame, one: str, other: str) -> DataFrame:
         """Pairs of two components."""
@@ -73,37 +89,39 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
         named = _labelled(_labelled(pairs, labels, one, "_mine"), labels, other, "_theirs")
         return named.filter("_mine <> _theirs").drop("_mine", "_theirs")
 
-    def probe(star: DataFrame, narrow: DataFrame) -> None:
+    def probe(star: DataFrame, narrow: DataFrame, most: int) -> None:
         """Compare near misses with some members of the star, then with more, while they are of two components."""
         sizes = star.groupBy("key", "leader").agg(F.count("*").alias("n"))
-        members = materialise(star.join(sizes, ["key", "leader"]).select("key", "leader", "id", "n"), "stars")
-        narrow, left = materialise_counted(apart(narrow.join(sizes, ["key", "leader"]), "other", "leader"), "narrow")
+        narrow, left = materialise_counted(apart(narrow.join(sizes, ["key", "leader"]), "other", "leader"), "narrow", most)
+        if not left:
+            return
+        members = materialise(star.join(sizes, ["key", "leader"]).select("key", "leader", "id", "n"), "stars", most)
         width = PROBES
         while left:
             some = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.floor(F.col("n") / width))) == 0
             tried = members.filter(some).drop("n").join(narrow.drop("n"), ["key", "leader"]).filter("id <> other")
-            joined(judged(materialise(_ordered(tried, "id", "other").select("a", "b").distinct(), "probes")))
-            narrow, left = materialise_counted(apart(narrow.filter(F.col("n") >= 2 * width), "other", "leader"), "narrow")
+            judged(_ordered(tried, "id", "other"))
+            narrow, left = materialise_counted(apart(narrow.filter(F.col("n") >= 2 * width), "other", "leader"), "narrow", left)
             width *= 8
 
     while True:
         turn = F.pmod(F.xxhash64("id", "key"), F.lit(leaders_each))
         leaders = waiting.groupBy("key", turn.alias("turn")).agg(F.min("id").alias("leader")).select("key", "leader")
+        pairs = most * leaders_each  # at most
         met = apart(waiting.join(leaders, "key").filter("id <> leader"), "id", "leader")
-        met = materialise(_ordered(met, "id", "leader"), "met")
+        met = materialise(_ordered(met, "id", "leader"), "met", pairs)
         found = judged(met)
-        joined(found)
-        told = materialise(met.join(found, ["a", "b"]).select("key", "id", "leader", "sim"), "told")
+        told = materialise(met.join(found, ["a", "b"]).select("key", "id", "leader", "sim"), "told", pairs)
         star = told.filter(F.col("sim") >= least)
-        probe(star, told.filter(F.col("sim") < least).select("key", "leader", F.col("id").alias("other")))
+        probe(star, told.filter(F.col("sim") < least).select("key", "leader", F.col("id").alias("other")), pairs)
         # Members that met no leader they link to, in buckets where they are of several components.
         rest = waiting.join(star.select("key", "id"), ["key", "id"], "left_anti").join(
             leaders.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti"
         )
-        rest = materialise(_labelled(rest, labels, "id", "label"), "rest")
+        rest = materialise(_labelled(rest, labels, "id", "label"), "rest", most)
         mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        waiting, left = materialise_counted(rest.select("key", "id").join(mixed.select("key"), "key", "left_semi"), "waiting")
-        if not left:
+        waiting, most = materialise_counted(rest.select("key", "id").join(mixed.select("key"), "key", "left_semi"), "waiting", most)
+        if not most:
             break
         leaders_each *= 4
     return labels
