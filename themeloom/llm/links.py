@@ -3,7 +3,7 @@
 In each bucket every member is compared with a leader. With a distance that obeys the triangle
 inequality (1 - Jaccard does), a link missed this way is between a member of a leader's star
 and one that missed the leader narrowly: its similarity to the leader is at least
-``2 * least - 1``. Such near misses are compared with some of the star's members, then with more,
+``2 * least - 1``. Such near misses are compared with some of the star's members that the leader lets be near enough, then with more,
 as long as they are of two components; members that missed the leader go on among themselves, with four times as many leaders each round, until each has
 been a leader, has met one it links to, or no other component is left in its bucket. Pairs
 within a component found so far are left out: they cannot change it.
@@ -95,11 +95,12 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
         narrow, left = materialise_counted(apart(narrow.join(sizes, ["key", "leader"]), "other", "leader"), "narrow", most)
         if not left:
             return
-        members = materialise(star.join(sizes, ["key", "leader"]).select("key", "leader", "id", "n"), "stars", most)
+        members = materialise(star.join(sizes, ["key", "leader"]).select("key", "leader", "id", "sim", "n"), "stars", most)
         width = PROBES
         while left:
             some = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.floor(F.col("n") / width))) == 0
             tried = members.filter(some).drop("n").join(narrow.drop("n"), ["key", "leader"]).filter("id <> other")
+            tried = tried.filter(F.col("sim") - F.col("far") <= 1 - least + 1e-9)  # others are too far apart, by the leader
             judged(_ordered(tried, "id", "other"))
             narrow, left = materialise_counted(apart(narrow.filter(F.col("n") >= 2 * width), "other", "leader"), "narrow", left)
             width *= 8
@@ -113,7 +114,7 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
         found = judged(met)
         told = materialise(met.join(found, ["a", "b"]).select("key", "id", "leader", "sim"), "told", pairs)
         star = told.filter(F.col("sim") >= least)
-        probe(star, told.filter(F.col("sim") < least).select("key", "leader", F.col("id").alias("other")), pairs)
+        probe(star, told.filter(F.col("sim") < least).select("key", "leader", F.col("id").alias("other"), F.col("sim").alias("far")), pairs)
         # Members that met no leader they link to, in buckets where they are of several components.
         rest = waiting.join(star.select("key", "id"), ["key", "id"], "left_anti").join(
             leaders.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti"
