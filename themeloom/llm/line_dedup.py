@@ -104,10 +104,10 @@ def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     every = lines(docs)
     found = signed(every)
     places = found.select("id", F.explode(F.array_distinct(F.array(*[f"key{k}" for k in range(BANDS)]))).alias("key"))
-    buckets = shared_buckets(places)
+    buckets, rows = shared_buckets(places)
     wanted = found.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "digest")
     bags = _bags(every, wanted)
-    labels = linked_components(buckets, lambda pairs: _compared(pairs, bags), least)
+    labels = linked_components(buckets, rows, bags, lambda pairs: _compared(pairs, bags), least)
     of_line = found.select("digest", "id")
     if labels is None:
         of_line = of_line.select("digest", F.col("id").alias("label"))

@@ -1,37 +1,42 @@
 """Classes of similar items from buckets of candidates, without all pairs of a bucket.
 
-In each bucket every member is compared with a leader. With a distance that obeys the triangle
-inequality (1 - Jaccard does), a link missed this way is between a member of a leader's star
-and one that missed the leader narrowly: its similarity to the leader is at least
-``2 * least - 1``. Such near misses are compared with some of the star's members that the leader lets be near enough, then with more,
-as long as they are of two components; members that missed the leader go on among themselves, with four times as many leaders each round, until each has
-been a leader, has met one it links to, or no other component is left in its bucket. Pairs
-within a component found so far are left out: they cannot change it.
+In each bucket every member is compared with one leader: the member whose buckets are the
+fullest, which in a group of edited copies is one that was edited little, so that most of the
+group links to it. Buckets whose members are then of one component are settled. The members of
+the others are joined exactly, by what a pair of Jaccard similarity ``least`` must share:
+
+- elements are ordered from rare to frequent, the same way for all sets; two such sets share
+  an element among the first ``n - ceil(least * n) + 1`` of each, and among the first
+  ``n - ceil(2 * least / (1 + least) * n) + 1`` of the smaller one;
+- elements of one set only can't be shared, and a set with too many of them has no partner;
+- from a shared element on, both sets must have enough elements left.
+
+Only pairs of two components meet, and pairs within the component that is the most frequent
+one of an element are not even looked at. No bound on partners or candidates is needed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.operators.density import components
 from themeloom.operators.joins import lookup
 from themeloom.session import materialise, materialise_counted
 
+_SLACK = 1e-9  # of products that should be whole numbers
 
-PROBES = 16  # members of a star that a near miss meets first
 
-
-def shared_buckets(places: DataFrame) -> DataFrame:
-    """``(key, id)`` of the keys that more than one id has; ``places`` holds each once."""
-    keys = places.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    return materialise(places.join(keys.select("key"), "key", "left_semi"), "buckets")
+def shared_buckets(places: DataFrame) -> tuple[DataFrame, int]:
+    """``(key, id, n)`` of the keys that ``n > 1`` ids have, and the rows; ``places`` holds each once."""
+    keys = places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return materialise_counted(places.join(keys, "key"), "buckets")
 
 
 def _ordered(pairs: DataFrame, one: str, other: str) -> DataFrame:
-    return pairs.withColumns({"a": F.least(one, other), "b": F.greatest(one, other)})
+    return pairs.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None, name: str, label: str) -> DataFrame:
@@ -46,83 +51,82 @@ def _labelled(members: DataFrame, labels: DataFrame | None, name: str, label: st
     return members.join(known, [name], "left").withColumn(label, F.coalesce("_label", name)).drop("_label")
 
 
-def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float) -> DataFrame | None:
+def leader_pairs(buckets: DataFrame, rows: int) -> DataFrame:
+    """``(a, b)``: each member of a bucket with the member whose buckets are the fullest."""
+    score = buckets.groupBy("id").agg(F.sum("n").alias("score"))
+    top = buckets.join(score, "id").groupBy("key").agg(F.max(F.struct("score", "id")).alias("top"))
+    met = lookup(buckets, top.select("key", F.col("top.id").alias("leader")), ["key"], "id", rows)
+    return _ordered(met.filter("id <> leader"), "id", "leader")
+
+
+def _at_least(share: float, n: Column) -> Column:
+    return F.ceil(F.lit(share) * n - _SLACK)
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """``(id, label, n, pos, e)``: the elements by which a set of ``sets(id, label, bag)`` can meet a partner.
+
+    ``n`` is the size of the set and ``pos`` the place of ``e`` in it, rare elements first.
+    """
+    elements = sets.select("id", "label", F.size("bag").alias("n"), F.explode("bag").alias("e"))
+    shared = elements.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
+    common = elements.join(shared, "e").groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    needed = _at_least(least, F.col("n"))
+    able = common.filter(F.size("es") >= needed).withColumn("own", F.col("n") - F.size("es"))
+    first = F.slice("es", 1, (F.col("n") - needed + 1 - F.col("own")).cast("int"))
+    return able.select("id", "label", "n", "own", F.posexplode(first).alias("at", "el")).select(
+        "id", "label", "n", (F.col("own") + F.col("at")).alias("pos"), F.col("el.e").alias("e")
+    )
+
+
+def prefix_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """``(a, b)`` of two labels: all pairs of ``sets(id, label, bag)`` that can be ``least`` similar."""
+    found = materialise(prefixes(sets, least), "prefixes")
+    kinds = found.groupBy("e", "label").agg(F.count("*").alias("n_label"))
+    mixed = kinds.groupBy("e").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", F.struct("n_label", "label")).alias("main"))
+    rows = materialise(found.join(mixed.filter("low < high").select("e", "main"), "e"), "mixed-prefixes")
+    both = 2 * least / (1 + least)
+    small = rows.filter(F.col("pos") <= F.col("n") - _at_least(both, F.col("n")))
+
+    def meet(some: DataFrame, others: DataFrame) -> DataFrame:
+        x = some.select("e", *[F.col(c).alias(f"{c}_x") for c in ("id", "label", "n", "pos")])
+        y = others.select("e", *[F.col(c).alias(f"{c}_y") for c in ("id", "label", "n", "pos")])
+        left = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+        able = (F.col("n_x") <= F.col("n_y")) & (F.col("n_x") >= _at_least(least, F.col("n_y")))
+        able &= left >= _at_least(both / 2, F.col("n_x") + F.col("n_y"))
+        return x.join(y, "e").filter((F.col("label_x") != F.col("label_y")) & able).select("id_x", "id_y")
+
+    main = F.col("label") == F.col("main")
+    pairs = meet(small, rows.filter(~main)).union(meet(small.filter(~main), rows.filter(main)))
+    return _ordered(pairs, "id_x", "id_y")
+
+
+def linked_components(buckets: DataFrame, rows: int, bags: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float) -> DataFrame | None:
     """``(id, label)`` of all ids that have a link; None where there is no link.
 
-    ``verify`` takes distinct pairs ``(a, b)`` and gives ``(a, b, sim)``.
+    ``buckets`` and ``rows`` come from ``shared_buckets``, ``bags(id, bag)`` holds the set of
+    each of its ids, and ``verify`` takes distinct pairs ``(a, b)`` and gives ``(a, b, sim)``.
     """
-    labels: DataFrame | None = None
-    labelled = 0  # a bound of the ids that have a label
-    waiting, most, leaders_each = buckets, buckets.count(), 1
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        """Verified pairs that are links or near misses; the links are taken into the components."""
-        near = verify(pairs.select("a", "b").distinct()).filter(F.col("sim") >= 2 * least - 1)
-        seen, is_link = Observation(), F.col("sim") >= least
-        stored = materialise(near.select("a", "b", "sim").observe(seen, F.count(F.when(is_link, 1)).alias("links")), "judged")
-        take_in(stored.filter(is_link).select("a", "b"), seen.get["links"])
-        return stored
-
-    def take_in(links: DataFrame, n: int) -> None:
-        """Join the components that the links connect: only names of components meet, not all links again."""
-        nonlocal labels, labelled
-        if not n:
-            return
-        named = _labelled(_labelled(links, labels, "a", "_a"), labels, "b", "_b")
-        between = named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).filter("a <> b").distinct()
-        between, n = materialise_counted(between, "between", n)
-        if not n:
-            return
-        joint = components(between)
-        if labels is None:
-            labels, labelled = joint, 2 * n
-            return
-        moved = joint.select(F.col("id").alias("label"), F.col("label").alias("_now"))
-        kept = lookup(labels, moved, ["label"], "id", labelled).select("id", F.coalesce("_now", "label").alias("label"))
-        added = joint.join(labels.select("id"), "id", "left_anti")
-        labels, labelled = materialise_counted(kept.unionByName(added), "labels", labelled + 2 * n)
-
-    def apart(pairs: DataFrame, one: str, other: str) -> DataFrame:
-        """Pairs of two components."""
-        if labels is None:
-            return pairs
-        named = _labelled(_labelled(pairs, labels, one, "_mine"), labels, other, "_theirs")
-        return named.filter("_mine <> _theirs").drop("_mine", "_theirs")
-
-    def probe(star: DataFrame, narrow: DataFrame, most: int) -> None:
-        """Compare near misses with some members of the star, then with more, while they are of two components."""
-        sizes = star.groupBy("key", "leader").agg(F.count("*").alias("n"))
-        narrow, left = materialise_counted(apart(narrow.join(sizes, ["key", "leader"]), "other", "leader"), "narrow", most)
-        if not left:
-            return
-        members = materialise(star.join(sizes, ["key", "leader"]).select("key", "leader", "id", "sim", "n"), "stars", most)
-        width = PROBES
-        while left:
-            some = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.floor(F.col("n") / width))) == 0
-            tried = members.filter(some).drop("n").join(narrow.drop("n"), ["key", "leader"]).filter("id <> other")
-            tried = tried.filter(F.col("sim") - F.col("far") <= 1 - least + 1e-9)  # others are too far apart, by the leader
-            judged(_ordered(tried, "id", "other"))
-            narrow, left = materialise_counted(apart(narrow.filter(F.col("n") >= 2 * width), "other", "leader"), "narrow", left)
-            width *= 8
-
-    while True:
-        turn = F.pmod(F.xxhash64("id", "key"), F.lit(leaders_each))
-        leaders = waiting.groupBy("key", turn.alias("turn")).agg(F.min("id").alias("leader")).select("key", "leader")
-        pairs = most * leaders_each  # at most
-        met = apart(waiting.join(leaders, "key").filter("id <> leader"), "id", "leader")
-        met = materialise(_ordered(met, "id", "leader"), "met", pairs)
-        found = judged(met)
-        told = materialise(met.join(found, ["a", "b"]).select("key", "id", "leader", "sim"), "told", pairs)
-        star = told.filter(F.col("sim") >= least)
-        probe(star, told.filter(F.col("sim") < least).select("key", "leader", F.col("id").alias("other"), F.col("sim").alias("far")), pairs)
-        # Members that met no leader they link to, in buckets where they are of several components.
-        rest = waiting.join(star.select("key", "id"), ["key", "id"], "left_anti").join(
-            leaders.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti"
-        )
-        rest = materialise(_labelled(rest, labels, "id", "label"), "rest", most)
-        mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        waiting, most = materialise_counted(rest.select("key", "id").join(mixed.select("key"), "key", "left_semi"), "waiting", most)
-        if not most:
-            break
-        leaders_each *= 4
-    return labels
+
+    def linked(pairs: DataFrame) -> tuple[DataFrame, int]:
+        return materialise_counted(verify(pairs).filter(F.col("sim") >= least).select("a", "b"), "links")
+
+    links, n = linked(leader_pairs(buckets, rows))
+    labels = components(links) if n else None
+    named = materialise(_labelled(buckets.select("key", "id"), labels, "id", "label"), "named", rows)
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    members = named.join(mixed.select("key"), "key", "left_semi").select("id", "label").distinct()
+    sets, n_sets = materialise_counted(bags.join(members, "id").select("id", "label", "bag"), "sets")
+    if not n_sets:
+        return labels
+    more, n_more = linked(prefix_pairs(sets, least))
+    if not n_more:
+        return labels
+    if labels is None:
+        return components(more)
+    between = _labelled(_labelled(more, labels, "a", "_a"), labels, "b", "_b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    joint = materialise(components(between), "joint", 2 * n_more)
+    moved = joint.select(F.col("id").alias("label"), F.col("label").alias("_now"))
+    kept = lookup(labels, moved, ["label"], "id", 2 * n).select("id", F.coalesce("_now", "label").alias("label"))
+    added = joint.join(labels.select("id"), "id", "left_anti")  # ids that had no link before
+    return materialise(kept.unionByName(added), "labels")

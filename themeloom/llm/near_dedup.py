@@ -7,7 +7,8 @@ with as many points as its length; a point has a time, a weight within its inter
 signature holds the first time of each place, so the share of equal places estimates the
 weighted Jaccard similarity without bias. Points are drawn from a hash of the shingle in order
 of time and no further than the latest first time so far, so most shingles draw one point.
-Bands of ``ROWS`` places bring candidates together; their multisets are compared exactly.
+Bands of ``ROWS`` places bring candidates together; their multisets are compared exactly, with
+a leader of each bucket first, then by the rare shingles they share (``llm/links.py``).
 
 A class is a component of links of ``LEAST`` or more. A text under five words is one shingle;
 texts without words, null ones included, are one class. Equal texts meet as one before the
@@ -135,13 +136,15 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [set_of(t).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "bag"])
+            sets = [set_of(t).view(np.int32) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            bags = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), bags], ["id", "bag"])
 
     # The row that stands for a text is known, so only that row's text is moved.
     rows = docs.select("doc_id", "text", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"))
     texts = rows.join(wanted, (rows["digest"] == wanted["_digest"]) & rows["doc_id"].eqNullSafe(wanted["first"])).select("id", "text")
-    return materialise(texts.dropDuplicates(["id"]).mapInArrow(gather, "id bigint, bag binary"), "bags")
+    return materialise(texts.dropDuplicates(["id"]).mapInArrow(gather, "id bigint, bag array<int>"), "bags")
 
 
 def _compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -149,7 +152,7 @@ def _compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
         for batch in batches:
             sims = []
             for one, other in zip(batch.column("bag_a"), batch.column("bag_b")):
-                x, y = np.frombuffer(one.as_buffer(), "<u4"), np.frombuffer(other.as_buffer(), "<u4")
+                x, y = one.values.to_numpy(), other.values.to_numpy()
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 union = len(x) + len(y) - common
                 sims.append(common / union if union else 1.0)
@@ -164,10 +167,10 @@ def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``(doc_id, class_id)`` for each row of ``docs(doc_id, text)``; a class is named by its smallest id."""
     docs = docs.select("doc_id", full_text("text").alias("text"))
     signed = _signed(docs)
-    buckets = shared_buckets(signed.select("id", F.explode(F.array_distinct("keys")).alias("key")))
+    buckets, rows = shared_buckets(signed.select("id", F.explode(F.array_distinct("keys")).alias("key")))
     wanted = signed.join(buckets.select("id").distinct(), "id", "left_semi").select("id", F.col("digest").alias("_digest"), "first")
     bags = _bags(docs, wanted)
-    labels = linked_components(buckets, lambda pairs: _compared(pairs, bags), least)
+    labels = linked_components(buckets, rows, bags, lambda pairs: _compared(pairs, bags), least)
     of_text = signed.select("id", "digest", "first")
     if labels is None:
         named = of_text.select("digest", F.col("first").alias("class_id"))
@@ -175,8 +178,8 @@ def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
         grouped = of_text.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         names = grouped.groupBy("label").agg(F.min("first").alias("class_id"))
         named = lookup(grouped, names, ["label"], "id").select("digest", "class_id")
-    rows = docs.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"))
-    return lookup(rows, materialise(named, "classes"), ["digest"], "doc_id").select("doc_id", "class_id")
+    every = docs.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"))
+    return lookup(every, materialise(named, "classes"), ["digest"], "doc_id").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
