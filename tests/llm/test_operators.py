@@ -218,6 +218,17 @@ def test_line_classes(spark):
     assert line_dedup.line_classes(nothing(spark)).count() == 0
 
 
+def test_lines_without_white_space_are_compared_at_every_character(spark):
+    japanese = "".join(chr(0x3042 + (i * i * 7 + i * 13) % 80) for i in range(120))
+    coded = hashlib.sha512(b"a").hexdigest() + hashlib.sha512(b"b").hexdigest()
+    other = hashlib.sha512(b"c").hexdigest() + hashlib.sha512(b"d").hexdigest()
+    rows = [(1, japanese), (2, "ん" + japanese), (3, coded), (4, "0" + coded), (5, other), (6, "short"), (7, "shorn")]
+    out = rows_of(line_dedup.line_classes(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert {r["doc_id"]: r["kept_doc_id"] for r in out} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7}
+    got = spark.createDataFrame([("abcdefghij",), ("abc",), ("a\u20ac\U0001f600defgh\u2028",)], "line string").select(line_dedup.shingles("line"))
+    assert [r[0] for r in got.collect()] == [["abcdefgh", "bcdefghi", "cdefghij"], ["abc"], ["a\u20ac\U0001f600defgh", "\u20ac\U0001f600defgh\u2028"]]
+
+
 def test_quality_learns_a_clear_sign(spark):
     good = [(i, prose(i, 40)) for i in range(0, 300)]
     bad = [(i, " ".join(w + "###" for w in prose(i, 40).split())) for i in range(300, 400)]

@@ -1,9 +1,7 @@
 """Near-duplicate lines by MinHash, in DataFrame functions only.
 
-A line is lower-cased and freed of white space at its ends. Its shingles are windows of
-``WINDOW`` characters laid from each word's start on, and again after every ``WINDOW - 1``
-characters of a longer word, so every character is in a window, windows run across the ends
-of words, and a change moves no window beyond its word. One hash of each shingle serves all
+A line is lower-cased and freed of white space at its ends. Its shingles are all its windows
+of ``WINDOW`` characters, one from each character on; a shorter line is its own shingle. One hash of each shingle serves all
 places of the signature: place j takes the smallest hash of its bin among ``BINS``, or, where
 that is empty, of the nearest bins up a binary tree. Each place is the first shingle of a fixed
 order of hashes, so two lines agree in it with a probability of their Jaccard similarity.
@@ -35,7 +33,7 @@ LEVELS = 5
 BINS = 1 << LEVELS
 BANDS, ROWS = 14, 5
 BLANKS = " \t\r\f\x0b\xa0"
-_SHINGLE = rf"(?s)(?=(.{{1,{WINDOW}}}))\S{{1,{WINDOW - 1}}}\s*"
+_SHINGLE = rf"(?s)(?=(.{{{WINDOW}}}|^.{{1,{WINDOW - 1}}}\z))."
 
 
 def band_places() -> list[list[int]]:
@@ -86,17 +84,18 @@ def signed(all_lines: DataFrame) -> DataFrame:
     return materialise(one.withColumn("id", F.monotonically_increasing_id()), "line-signatures")
 
 
-def _bags(all_lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(id, bag)``: the shingle sets of the lines ``wanted(id, digest)``."""
-    texts = all_lines.select("digest", "line").join(wanted, "digest").dropDuplicates(["id"])
-    bag = F.array_distinct(F.transform(shingles("line"), lambda s: F.xxhash64(s)))
-    return materialise(texts.select("id", bag.alias("bag")), "line-bags")
+def _texts(all_lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(id, line)`` of the lines ``wanted(id, digest)``; their windows would take eight times the room."""
+    found = all_lines.select("digest", "line").join(wanted, "digest").dropDuplicates(["id"])
+    return materialise(found.select("id", "line"), "line-texts")
 
 
-def _compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    side = lambda end: bags.select(F.col("id").alias(end), F.col("bag").alias(f"bag_{end}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("common", F.size(F.array_intersect("bag_a", "bag_b")))
-    return both.select("a", "b", (F.col("common") / (F.size("bag_a") + F.size("bag_b") - F.col("common"))).alias("sim"))
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    side = lambda end: texts.select(F.col("id").alias(end), F.col("line").alias(f"line_{end}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    sets = both.select("a", "b", *[F.array_distinct(shingles(f"line_{end}")).alias(f"bag_{end}") for end in "ab"])
+    counted = sets.withColumn("common", F.size(F.array_intersect("bag_a", "bag_b")))
+    return counted.select("a", "b", (F.col("common") / (F.size("bag_a") + F.size("bag_b") - F.col("common"))).alias("sim"))
 
 
 def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -106,8 +105,9 @@ def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     places = found.select("id", F.explode(F.array_distinct(F.array(*[f"key{k}" for k in range(BANDS)]))).alias("key"))
     buckets, rows = shared_buckets(places)
     wanted = found.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "digest")
-    bags = _bags(every, wanted)
-    labels = linked_components(buckets, rows, bags, lambda pairs: _compared(pairs, bags), least)
+    texts = _texts(every, wanted)
+    bags = texts.select("id", F.array_distinct(F.transform(shingles("line"), lambda s: F.xxhash64(s))).alias("bag"))
+    labels = linked_components(buckets, rows, bags, lambda pairs: _compared(pairs, texts), least)
     of_line = found.select("digest", "id")
     if labels is None:
         of_line = of_line.select("digest", F.col("id").alias("label"))
