@@ -229,6 +229,20 @@ def test_lines_without_white_space_are_compared_at_every_character(spark):
     assert [r[0] for r in got.collect()] == [["abcdefgh", "bcdefghi", "cdefghij"], ["abc"], ["a\u20ac\U0001f600defgh", "\u20ac\U0001f600defgh\u2028"]]
 
 
+def test_bands_of_lines_miss_few_pairs(spark):
+    pick, rows = np.random.default_rng(4), []
+    for n in (4, 20, 60):
+        for i in range(1000):  # n windows of n / 0.8
+            line = "".join(map(chr, pick.integers(0x4E00, 0x9000, n * 5 // 4 + 7)))
+            rows += [(f"{n}/{i}/0", line[: n + 7]), (f"{n}/{i}/1", line)]
+    keyed = line_dedup.band_keys(spark.createDataFrame(rows, "digest string, line string").repartition(8))
+    of = {r["digest"]: r[1:] for r in keyed.collect()}
+    for n in (4, 20, 60):
+        same = [sum(x == y for x, y in zip(of[f"{n}/{i}/0"], of[f"{n}/{i}/1"])) for i in range(1000)]
+        assert sum(x == 0 for x in same) <= 14  # 4 by independent places
+        assert abs(np.mean(same) / line_dedup.BANDS - 0.8**line_dedup.ROWS) < 0.03
+
+
 def test_quality_learns_a_clear_sign(spark):
     good = [(i, prose(i, 40)) for i in range(0, 300)]
     bad = [(i, " ".join(w + "###" for w in prose(i, 40).split())) for i in range(300, 400)]

@@ -1,13 +1,13 @@
 """Near-duplicate lines by MinHash, in DataFrame functions only.
 
 A line is lower-cased and freed of white space at its ends. Its shingles are all its windows
-of ``WINDOW`` characters, one from each character on; a shorter line is its own shingle. One hash of each shingle serves all
-places of the signature: place j takes the smallest hash of its bin among ``BINS``, or, where
-that is empty, of the nearest bins up a binary tree. Each place is the first shingle of a fixed
-order of hashes, so two lines agree in it with a probability of their Jaccard similarity.
-``BANDS`` bands of ``ROWS`` places bring candidates together, the exact similarity of the
-shingle sets is computed, and components of links of ``LEAST`` or more keep their first line
-by document and place.
+of ``WINDOW`` characters, one from each character on; a shorter line is its own shingle. Each of
+the ``ROWS`` places of a band has a permutation of its own, whose range is cut into one bin a
+band: the place takes the smallest hash in the bin, and where that is empty, the smallest of
+another hash that only this place uses. So no two places share a bin or a copied value, and two
+lines agree in each with a probability of their Jaccard similarity, whatever their length.
+``BANDS`` bands bring candidates together, the exact similarity of the shingle sets is computed,
+and components of links of ``LEAST`` or more keep their first line by document and place.
 
 Nulls and empty texts have no lines; blank lines are left as they are and are in no class.
 Lines of the same document may be copies of each other. Repeated rows of one document id count
@@ -17,8 +17,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,23 +27,12 @@ from themeloom.session import materialise
 
 WINDOW = 8
 LEAST = 0.8
-LEVELS = 5
-BINS = 1 << LEVELS
 BANDS, ROWS = 14, 5
+BOUNDS = [-(1 << 31) + (k << 32) // BANDS for k in range(BANDS)]  # where the bin of each band begins
 BLANKS = " \t\r\f\x0b\xa0"
 _SHINGLE = rf"(?s)(?=(.{{{WINDOW}}}|^.{{1,{WINDOW - 1}}}\z))."
 
 
-def band_places() -> list[list[int]]:
-    """Which places make up each band: shuffled places dealt in turn."""
-    order, dealt = random.Random(3), []
-    while len(dealt) < BANDS * ROWS:
-        some = list(range(BINS))
-        order.shuffle(some)
-        dealt += some[: BINS - BINS % ROWS]
-    return [dealt[k * ROWS : (k + 1) * ROWS] for k in range(BANDS)]
-
-
 def lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, line, digest)`` of all lines but blank ones, normalised."""
     split = docs.select("doc_id", F.posexplode(F.split(full_text("text"), "\n")).alias("line_no", "line"))
@@ -56,31 +43,36 @@ def shingles(line: str) -> Column:
     return F.regexp_extract_all(line, F.lit(_SHINGLE), F.lit(1))
 
 
-def _joined_bins(below: str, n: int) -> Column:
-    """Of ``n`` pairs of bins, the first hash of the left one or else of the right one."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.when(F.get(below, 2 * k) > 0, F.get(below, 2 * k)).otherwise(F.get(below, 2 * k + 1))
-    )
+def _hashes(strings: str, number: int) -> Column:
+    """The hashes of an array of strings; each ``number`` is another permutation."""
+    return F.transform(strings, lambda s: F.hash(s, F.lit(number)))
+
+
+def _least_in_bins(ordered: str) -> Column:
+    """For each bin the first hash at or after its bound, of hashes sorted together with the bounds."""
+    return F.array(*[F.get(ordered, F.array_position(ordered, F.lit(bound)).cast("int")) for bound in BOUNDS])
+
+
+def band_keys(all_lines: DataFrame) -> DataFrame:
+    """``(digest, key0 … )`` of ``all_lines(digest, line)``."""
+    bounds = F.array(*[F.lit(bound) for bound in BOUNDS])
+    cut = all_lines.select("digest", shingles("line").alias("s"))
+    hashed = cut.select("digest", "s", *[_hashes("s", p).alias(f"h{p}") for p in range(ROWS)])
+    ordered = hashed.select("digest", "s", *[F.sort_array(F.concat(f"h{p}", bounds)).alias(f"o{p}") for p in range(ROWS)])
+    staged = ordered.select("digest", "s", *[_least_in_bins(f"o{p}").alias(f"f{p}") for p in range(ROWS)])
+
+    def place(k: int, p: int) -> Column:
+        found = F.get(f"f{p}", F.lit(k))
+        held = found.isNotNull() if k + 1 == BANDS else found < BOUNDS[k + 1]
+        return F.when(held, found).otherwise(F.array_min(_hashes("s", ROWS + k * ROWS + p)))
+
+    return staged.select("digest", *[F.xxhash64(F.lit(k), *[place(k, p) for p in range(ROWS)]).alias(f"key{k}") for k in range(BANDS)])
 
 
 def signed(all_lines: DataFrame) -> DataFrame:
     """``(id, digest, key0 … )``: each distinct line once with its band keys."""
-    hashed = all_lines.select("digest", F.sort_array(F.transform(shingles("line"), lambda s: F.hash(s))).alias("h"))
-    binned = hashed.select("digest", "h", F.transform("h", lambda x: F.shiftrightunsigned(x, 32 - LEVELS)).alias("b"))
-    staged = binned.select("digest", "h", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.array_position("b", j)).alias("t0"))
-    for level in range(1, LEVELS + 1):
-        staged = staged.withColumn(f"t{level}", _joined_bins(f"t{level - 1}", BINS >> level))
-
-    def nearest(j: int) -> Column:
-        found = F.when(F.get("t0", F.lit(j)) > 0, F.get("t0", F.lit(j)))
-        for level in range(1, LEVELS + 1):
-            at = F.get(f"t{level}", F.lit(j >> level))
-            found = found.when(at > 0, at)
-        return F.get("h", (found - 1).cast("int"))
-
-    keys = [F.xxhash64(F.lit(k), *[nearest(j) for j in band]).alias(f"key{k}") for k, band in enumerate(band_places())]
     first = [F.first(f"key{k}").alias(f"key{k}") for k in range(BANDS)]
-    one = staged.select("digest", *keys).groupBy("digest").agg(*first)
+    one = band_keys(all_lines).groupBy("digest").agg(*first)
     return materialise(one.withColumn("id", F.monotonically_increasing_id()), "line-signatures")
 
 
