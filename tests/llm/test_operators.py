@@ -288,6 +288,34 @@ def test_leaks_are_found_and_nothing_else(spark):
     assert decontaminate.find_leaks(table, bench.limit(0)).count() == 0
 
 
+def test_edited_copies_and_questions_alone_are_leaks():
+    pick = np.random.default_rng(9)
+    items, df = [], {}
+    for i in range(60):
+        asked, answer = prose(900 + i, 30).split(), prose(2000 + i, 2).split()
+        items.append((i, asked, answer))
+        for w in set(asked + answer):
+            df[w] = df.get(w, 0) + 1
+    index = decontaminate.Index([(*x, df) for x in items], 60, 32.0)
+
+    def found(texts):
+        full = [prose(5000 + i, 150) + " " + t + " " + prose(6000 + i, 90) for i, t in enumerate(texts)]
+        return [(r["doc_id"], r["item_id"]) for r in decontaminate._hits(index, list(range(len(full))), full)]
+
+    edited = []
+    for _, asked, answer in items:
+        copy = asked + answer
+        for k in pick.choice(32, 4, replace=False):
+            copy[k] = f"new{k}"
+        edited.append(" ".join(copy))
+    same = [(i, i) for i in range(60)]
+    assert len(set(found(edited)) & set(same)) >= 58 and set(found(edited)) <= set(same)
+    assert sorted(found([" ".join(asked) for _, asked, _ in items])) == same  # each pair once
+    assert sorted(found([" ".join(asked + ["other", answer[1]]) for _, asked, answer in items])) == same
+    assert not found([" ".join(asked[::-1]) for _, asked, _ in items])
+    assert decontaminate._in_order(list("abcde"), list("xaycze")) == 3
+
+
 def test_block_max_bounds_lose_nothing():
     items = [(i, decontaminate.words(prose(200 + i, 25)), [], None) for i in range(60)]
     df = {}

@@ -6,7 +6,11 @@ the index keeps each term's largest impact over all items, over each block, and
 passage is a query for all items above a threshold: bounds are added up over all items first,
 then over the blocks of passages that could still reach the threshold, and only blocks that
 could are scored exactly (block-max pruning, without loss). What remains is verified by words:
-which places of the item are covered by its five-word shingles that occur around the passage.
+the item is aligned (longest common subsequence) with the stretch around the passage, a quarter
+longer than itself, that holds most of its words; ``OVERLAP`` of its words have to be found in
+order. An item under ``ALIGNED`` words is verified by its five-word shingles alone. The question
+of an item, if it has five words, is in the index by itself too, so that it is found with
+another answer or none.
 
 Passages are windows that overlap by half and are twice as long as the longest item of a class
 of lengths (doubling from ``SHORTEST`` words), so an item lies whole in some window. Every word
@@ -14,7 +18,8 @@ of every document is in one. The index of one run is bounded by ``INDEX_BYTES``
 a larger benchmark is dealt to several indexes, each of which meets all documents.
 
 Results: one row for each document and item it holds. Null or empty texts and items without
-words match nothing; an item of under five words is its own shingle. Copies of an item are
+words match nothing; an item of under five words is its own shingle. Where only the question is
+found, ``bm25`` and ``self_share`` are the question's. Copies of an item are
 found as items of their own; repeated documents give repeated rows. Empty tables give an
 empty one. Other columns are not read.
 """
@@ -22,6 +27,7 @@ empty one. Other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +42,9 @@ from themeloom.operators.joins import lookup
 from themeloom.session import materialise
 
 THRESHOLD = 0.5  # of an item's score against itself
-OVERLAP = 0.8  # of an item's words, covered by shared shingles
-PART = 0.5  # of the words of its question, and of its answer
+OVERLAP = 0.8  # of the words of an item, or of its question
 SHINGLE = 5
+ALIGNED = 10  # words from which on some may be changed
 SHORTEST = 64
 BLOCK = 16
 K1, B = 1.2, 0.75
@@ -69,18 +75,19 @@ class Index:
             return float(np.log1p((n - df + 0.5) / (df + 0.5))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
         scored = []
-        for item_id, question, answer, dfs in items:
-            every = question + answer
-            if every:
-                weights = {w: impact(every.count(w), dfs[w], len(every)) for w in set(every)}
-                scored.append((sum(weights.values()), item_id, question, answer, weights))
+        for number, (item_id, question, answer, dfs) in enumerate(items):
+            whole = (question + answer, False)
+            for wanted, asked_only in [whole, (question, True)] if answer and len(question) >= SHINGLE else [whole]:
+                if wanted:
+                    weights = {w: impact(x, dfs[w], len(wanted)) for w, x in Counter(wanted).items()}
+                    scored.append((sum(weights.values()), item_id, question, answer, weights, number, asked_only))
         classes: dict[int, list] = {}
         for row in scored:
             length = SHORTEST
-            while length < len(row[2]) + len(row[3]):
+            while length < len(row[2]) + (0 if row[6] else len(row[3])):
                 length *= 2
             classes.setdefault(length, []).append(row)
-        self.classes = [Class(length, sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2], r[3]))) for length, rows in sorted(classes.items())]
+        self.classes = [Class(length, sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2], r[3], r[6]))) for length, rows in sorted(classes.items())]
 
 
 class Class:
@@ -88,9 +95,11 @@ class Class:
 
     def __init__(self, length: int, rows: list[tuple]):
         self.length = length
-        self.items = [(item_id, question, answer) for _, item_id, question, answer, _ in rows]
+        self.items = [(item_id, question, answer) for _, item_id, question, answer, *_ in rows]
+        self.number = [row[5] for row in rows]
+        self.asked_only = [row[6] for row in rows]
         self.own = np.array([row[0] for row in rows])
-        self.shingles = [_shingles(q + a) for _, q, a in self.items]
+        self.shingles = [_shingles(q if only else q + a) for (_, q, a), only in zip(self.items, self.asked_only)]
         self.term = {w: i for i, w in enumerate(sorted({w for row in rows for w in row[4]}))}
         postings = sorted((self.term[w], i, x / row[0]) for i, row in enumerate(rows) for w, x in row[4].items())
         term, item, share = (np.array(x) for x in zip(*postings))
@@ -147,19 +156,60 @@ class Class:
         return of, (passage - base[of]) * self.length, item, share
 
     def verified(self, text: list[str], place: int, item: int) -> tuple[float, float] | None:
-        """Covered shares of the question and the answer, if they are enough."""
+        """Found shares of the question and the answer, if the item, or the question alone, is there."""
         _, question, answer = self.items[item]
-        shingles = self.shingles[item]
+        shingles, asked_only = self.shingles[item], self.asked_only[item]
+        wanted = question if asked_only else question + answer
         size = len(shingles[0])
         around = text[max(0, place - self.length) : place + 3 * self.length]
         there = set(zip(*(around[k:] for k in range(size))))
-        covered = np.zeros(len(question) + len(answer), bool)
+        covered = np.zeros(len(wanted), bool)
         for k, shingle in enumerate(shingles):
             if shingle in there:
                 covered[k : k + size] = True
-        asked = float(covered[: len(question)].mean())
-        answered = float(covered[len(question) :].mean()) if answer else 1.0
-        return (asked, answered) if covered.mean() >= OVERLAP and min(asked, answered) >= PART else None
+        enough = covered.mean() >= OVERLAP
+        if not enough and len(wanted) < ALIGNED:
+            return None
+        begin, end = _fullest(around, wanted)
+        here = around[begin:end]
+        if not enough and _in_order(wanted, here) < OVERLAP * len(wanted):
+            return None
+        if asked_only:
+            here = around[begin : end + len(answer) + len(answer) // 4]
+        asked = max(float(covered[: len(question)].mean()), _in_order(question, here) / len(question))
+        answered = _in_order(answer, here) / len(answer) if answer else 1.0
+        return asked, max(answered, float(covered[len(question) :].mean())) if answer and not asked_only else answered
+
+
+def _fullest(around: list[str], wanted: list[str]) -> tuple[int, int]:
+    """The stretch, a quarter longer than ``wanted``, that holds the most of its words."""
+    length = len(wanted) + len(wanted) // 4
+    left = Counter(wanted)
+    held, most, end = 0, -1, 0
+    for k, word in enumerate(around):
+        if word in left:
+            held += left[word] > 0
+            left[word] -= 1
+        if k >= length and (gone := around[k - length]) in left:
+            left[gone] += 1
+            held -= left[gone] > 0
+        if held > most:
+            most, end = held, k + 1
+    # The last word of the stretch is one of ``wanted``; it begins as far before as that leaves room.
+    return max(0, end - length), min(len(around), max(end, length))
+
+
+def _in_order(wanted: list[str], here: list[str]) -> int:
+    """The length of the longest common subsequence, a bit for each word of ``wanted``."""
+    places: dict[str, int] = {}
+    for k, word in enumerate(wanted):
+        places[word] = places.get(word, 0) | 1 << k
+    every = (1 << len(wanted)) - 1
+    row = every
+    for word in here:
+        met = row & places.get(word, 0)
+        row = ((row + met) | (row - met)) & every
+    return len(wanted) - row.bit_count()
 
 
 def _spread(at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,15 +288,17 @@ def _hits(index: Index, ids: list, texts: list[str]) -> list[dict]:
     cut = [words(t) for t in texts]
     lengths = [len(c) for c in cut]
     every = [w for c in cut for w in c]
-    out = []
+    best: dict[tuple[int, int], tuple] = {}  # by document and item, the whole item before its question
     for group in index.classes:
         number = group.term.get
         terms = np.fromiter((number(w, -1) for w in every), np.int32, len(every))
-        best: dict[tuple[int, int], dict] = {}
         for doc, place, item, share in zip(*(x.tolist() for x in group.candidates(lengths, terms))):
+            key, rank = (doc, group.number[item]), (not group.asked_only[item], share)
+            if key in best and best[key][0] >= rank:
+                continue
             overlap = group.verified(cut[doc], place, item)
-            if overlap and best.get((doc, item), {"self_share": -1.0})["self_share"] < share:
-                best[doc, item] = {
+            if overlap:
+                best[key] = rank, {
                     "doc_id": ids[doc],
                     "item_id": group.items[item][0],
                     "bm25": share * float(group.own[item]),
@@ -254,8 +306,7 @@ def _hits(index: Index, ids: list, texts: list[str]) -> list[dict]:
                     "question_overlap": overlap[0],
                     "answer_overlap": overlap[1],
                 }
-        out += best.values()
-    return out
+    return [row for _, row in best.values()]
 
 
 def _arrow() -> pa.Schema:
