@@ -258,6 +258,20 @@ def test_quality_learns_a_clear_sign(spark):
     assert 0.5 < alone.score("anything") < 1
 
 
+def test_samples_are_of_distinct_texts(spark):
+    rows = [(prose(i, 20), i % 2, i) for i in range(60)] + [("the same text", 1, 0)] * 500 + [("the same text", 0, 0)] * 3
+    frame = spark.createDataFrame(rows, "text string, y int, mix bigint").repartition(4)
+    got = rows_of(quality.sampled(frame, quality.distinct_texts(frame), 10))
+    assert sorted(sum(r[f"in{y}"] for r in got) for y in (0, 1)) == [10, 10] and len({r["text"] for r in got}) == len(got)
+    assert [(r["n0"], r["n1"], r["in0"], r["in1"]) for r in got if r["text"] == "the same text"] == [(3, 500, 1, 1)]
+    docs = spark.createDataFrame([(i, "the same text") for i in range(500)] + [(500 + i, prose(i, 20)) for i in range(60)], "doc_id bigint, text string")
+    known = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id bigint, label int")
+    found = rows_of(toxicity.sampled(docs, known, 30))
+    assert len(found) == 30 and len({r["text"] for r in found}) == 30
+    every = {r["text"]: r for r in rows_of(toxicity.sampled(docs, known, 100))}
+    assert len(every) == 61 and {k: every["the same text"][k] for k in ("n", "marked", "toxic")} == {"n": 500, "marked": 3, "toxic": 2}
+
+
 def test_toxicity_learns_lists_and_stems(spark):
     clean = [(i, prose(i, 30)) for i in range(300)]
     toxic = [(i, prose(i, 30) + (" you idiot, pathetic moron" if i % 2 else f" grobel{i % 7}a grobel{i % 5}b")) for i in range(300, 420)]

@@ -6,8 +6,8 @@ its ratio, and a linear hinge-loss model is fitted to a bounded sample of those
 coordinate descent; its weights are drawn towards their mean size. Margins are turned into
 probabilities by a logistic curve fitted to other training rows.
 
-The bound is ``SAMPLE`` rows a class for the fit and half as many for the curve, chosen by a
-hash of the text. Where labels hold one class only or none, the score is the share of good
+The bound is ``SAMPLE`` distinct texts a class for the fit and half as many for the curve, those
+with the smallest hashes; each weighs as much as it has rows in the class. Where labels hold one class only or none, the score is the share of good
 rows (0.5 where there is none).
 
 Null and empty texts hold no feature and get the score of the model's constant. Rows with a
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from themeloom.llm.common import documents, full_text, in_fold
 from themeloom.llm.features import class_counts, ngrams, sigmoid
+from themeloom.session import materialise
 
 BITS = 18
 SAMPLE = 3_000
@@ -91,25 +92,50 @@ class Model:
         return float(sigmoid(self.slope * self.margin(text or "") + self.shift))
 
 
-def _curve(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
+def _curve(margin: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic curve by Newton steps, on softened labels."""
-    n1, n0 = good.sum(), (1 - good).sum()
+    n1, n0 = weight @ good, weight @ (1 - good)
     goal = np.where(good == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([margin, np.ones_like(margin)], 1)
     beta = np.array([1.0, 0.0])
     for _ in range(50):
         p = sigmoid(x @ beta)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (goal - p) - 1e-6 * beta)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (weight * (goal - p)) - 1e-6 * beta)
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
     return float(beta[0]), float(beta[1])
 
 
+def sampled(rows: DataFrame, texts: DataFrame, wanted: int) -> DataFrame:
+    """``(text, mix, n0, n1, in0, in1)``: of each class the ``wanted`` distinct texts with the smallest hashes.
+
+    ``texts(digest, mix, n0, n1)`` are the distinct texts of ``rows(text)`` with their rows of each
+    class; ``in0`` and ``in1`` say for which class a text was drawn.
+    """
+    picked = [texts.filter(F.col(f"n{y}") > 0).orderBy("mix", "digest").limit(wanted).withColumn("of", F.lit(y)) for y in (0, 1)]
+    chosen = picked[0].union(picked[1]).groupBy("digest", "mix", "n0", "n1").agg(*[F.max((F.col("of") == y).cast("int")).alias(f"in{y}") for y in (0, 1)])
+    chosen = materialise(chosen, "sample", 2 * wanted)
+    # Copies of a text are joined in their task first, so only one a task is moved.
+    found = rows.select("text", _digest("text").alias("digest")).join(F.broadcast(chosen), "digest")
+    return found.groupBy("digest", "mix", "n0", "n1", "in0", "in1").agg(F.first("text").alias("text")).drop("digest")
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """``(digest, mix, n0, n1)``: the distinct texts of ``rows(text, y, mix)`` with their rows of each class."""
+    counts = [F.count(F.when(F.col("y") == y, 1)).alias(f"n{y}") for y in (0, 1)]
+    return materialise(rows.groupBy(_digest("text").alias("digest"), "mix").agg(*counts), "texts")
+
+
 def fit(rows: DataFrame) -> Model:
     """A model of ``rows(text, y, mix)``."""
-    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = size.get(0, 0), size.get(1, 0)
+    texts = distinct_texts(rows)
+    size = texts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).head()
+    n0, n1 = size["n0"] or 0, size["n1"] or 0
     zeros = np.zeros(1 << BITS)
     if not n0 or not n1:
         share = (n1 + 0.5) / (n0 + n1 + 1)
@@ -118,29 +144,30 @@ def fit(rows: DataFrame) -> Model:
     good, bad = good + SMOOTHING, bad + SMOOTHING
     ratio = np.log((good / good.sum()) / (bad / bad.sum()))
     wanted = int(1.5 * SAMPLE)
-    below = F.when(F.col("y") == 1, F.lit(int((1 << 30) * min(1.0, wanted / n1)))).otherwise(int((1 << 30) * min(1.0, wanted / n0)))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             features = [ngrams(t, BITS).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("mix"), pa.array(features, pa.binary())], ["y", "mix", "held"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("mix", "n0", "n1", "in0", "in1")), pa.array(features, pa.binary())], ["mix", "n0", "n1", "in0", "in1", "held"])
 
-    chosen = rows.filter(F.col("mix") <= below).mapInArrow(held, "y int, mix bigint, held binary")
-    got = sorted(((r["mix"], r["y"], r["held"]) for r in chosen.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
-    parts = {y: [np.frombuffer(h, "<i4") for _, label, h in got if label == y][: 2 * wanted] for y in (0, 1)}
+    chosen = sampled(rows, texts, wanted).mapInArrow(held, "mix bigint, n0 bigint, n1 bigint, in0 int, in1 int, held binary")
+    got = sorted(chosen.collect(), key=lambda r: (r["mix"], r["held"]))  # 2 * wanted rows at most
+    parts = {y: [(np.frombuffer(r["held"], "<i4"), r[f"n{y}"], y) for r in got if r[f"in{y}"]] for y in (0, 1)}
     cut = {y: max(1, (2 * len(parts[y])) // 3) for y in (0, 1)}
-    train = [(h, y) for y in (0, 1) for h in parts[y][: cut[y]]]
-    check = [(h, y) for y in (0, 1) for h in (parts[y][cut[y] :] or parts[y])]
-    y = np.array([1.0 if label else -1.0 for _, label in train])
-    cost = np.where(y > 0, COST * len(y) / (2 * max(1, (y > 0).sum())), COST * len(y) / (2 * max(1, (y < 0).sum())))
-    weights, constant = descend([h for h, _ in train], y, ratio, cost)
+    train = [row for y in (0, 1) for row in parts[y][: cut[y]]]
+    check = [row for y in (0, 1) for row in (parts[y][cut[y] :] or parts[y])]
+    y = np.array([1.0 if label else -1.0 for *_, label in train])
+    rows_of = np.array([float(n) for _, n, _ in train])
+    cost = COST * len(y) / 2 * rows_of / np.where(y > 0, rows_of[y > 0].sum(), rows_of[y < 0].sum())
+    weights, constant = descend([h for h, _, _ in train], y, ratio, cost)
     weights = (1 - BLEND) * np.abs(weights).mean() * np.sign(weights) + BLEND * weights if weights.any() else weights
     model = Model(ratio, weights, constant, 1.0, 0.0)
-    margin = np.array([float(weights[h] @ _unit(ratio[h])) + constant for h, _ in check])
-    truth = np.array([label for _, label in check], float)
+    margin = np.array([float(weights[h] @ _unit(ratio[h])) + constant for h, _, _ in check])
+    truth, share = np.array([label for *_, label in check], float), np.array([n for _, n, _ in check], float)
     # Each class weighs as it does among all labelled rows.
-    model.slope, model.shift = _curve(margin, truth)
-    seen = truth.mean() if 0 < truth.mean() < 1 else 0.5
+    model.slope, model.shift = _curve(margin, truth, share)
+    seen = np.average(truth, weights=share)
+    seen = seen if 0 < seen < 1 else 0.5
     model.shift += float(np.log(n1 / n0) - np.log(seen / (1 - seen)))
     return model
 

@@ -6,7 +6,7 @@ not at all, and the correlations between voters given the class; a voter that re
 others say counts for less. It is fitted by expectation maximisation over the vote patterns of
 all documents, with known training labels held fixed. A linear (logistic) classifier over listed
 words and over words and stems that mark training labels is trained on the posterior labels of a
-bounded sample (``SAMPLE``) of the documents outside the held-out fold.
+bounded sample (``SAMPLE``) of the distinct texts outside the held-out fold, weighted by their rows.
 
 Null and empty texts hold no word and get the score of the classifier's constant. Rows without
 a label, or with one other than 0 and 1, take part as unlabelled. Where no row is labelled or
@@ -38,7 +38,7 @@ LEAST_LOW = 1.8  # lower bound of the log odds ratio of an induced feature
 ROUNDS = 12
 UNLABELLED = 0.1  # weight of a row without a label beside one with a label, where there are any
 SELECTED = 1_024  # features of the classifier, besides the listed words
-SAMPLE = 20_000  # rows, chosen by a hash of the text, that the classifier is fitted to
+SAMPLE = 20_000  # distinct texts, those with the smallest hashes, that the classifier is fitted to
 FOLDS, HELD_OUT = 5, 0
 
 # Word lists of the voters.
@@ -244,6 +244,20 @@ class Classifier:
         return float(sigmoid(sum(map(self.weights.__getitem__, self.features(text))) + self.constant))
 
 
+def sampled(rows: DataFrame, known: DataFrame, wanted: int) -> DataFrame:
+    """``(text, n, marked, toxic)``: the ``wanted`` distinct texts of ``rows(doc_id, text)`` with the smallest hashes.
+
+    ``n`` rows have the text; ``marked`` of them have a label, ``toxic`` the label 1.
+    """
+    keyed = rows.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"), F.xxhash64("text", F.lit(13)).alias("mix"))
+    sums = [F.count("*").alias("n"), F.count("label").alias("marked"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")]
+    texts = keyed.join(known, "doc_id", "left").groupBy("digest", "mix").agg(*sums)
+    chosen = materialise(texts.orderBy("mix", "digest").limit(wanted).drop("mix"), "sample", wanted)
+    # Copies of a text are joined in their task first, so only one a task is moved.
+    found = rows.select("text", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest")).join(F.broadcast(chosen), "digest")
+    return found.groupBy("digest", "n", "marked", "toxic").agg(F.first("text").alias("text")).drop("digest")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     """A classifier of ``docs(doc_id, text)``, trained outside the held-out fold."""
     rows = docs.select("doc_id", full_text("text").alias("text"))
@@ -259,8 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     prior = float(np.log(model.share / (1 - model.share)))
     if not n:
         return Classifier({}, prior)
-    below = int((1 << 30) * min(1.0, SAMPLE / n))
-    sample = open_rows.filter(F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1 << 30)) <= below).join(known, "doc_id", "left")
+    sample = sampled(open_rows, known, SAMPLE)
     empty = Classifier(dict.fromkeys(chosen, 0.0), prior)
 
     def example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,13 +283,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
                 continue
             cast = np.frombuffer(b"".join(map(voters, texts)), np.uint8).reshape(len(texts), -1)
             p = model.posterior(cast.astype(np.int64))
-            label = np.array([np.nan if x is None else 0.01 + 0.98 * x for x in batch.column("label").to_pylist()], float)
+            n, marked, toxic = (batch.column(c).to_numpy().astype(float) for c in ("n", "marked", "toxic"))
+            yes = 0.01 * marked + 0.98 * toxic + (n - marked) * p
             words = [[str(f) for f in empty.features(t)] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(np.where(np.isnan(label), p, label))], ["words", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(yes), pa.array(n - yes)], ["words", "yes", "no"])
 
-    small = materialise(sample.mapInArrow(example, "words array<string>, p double"), "examples")
+    small = materialise(sample.mapInArrow(example, "words array<string>, yes double, no double"), "examples")
     vocabulary = CountVectorizerModel.from_vocabulary([str(f) for f in chosen], inputCol="words", outputCol="features")
-    sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("share")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("share"))))
+    sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("yes").alias("share")), F.struct(F.lit(0.0).alias("label"), F.col("no").alias("share"))))
     examples = vocabulary.transform(small).select("features", sides.alias("side")).select("features", "side.label", "side.share").filter("share > 0.001")
     linear = LogisticRegression(weightCol="share", regParam=1e-4, maxIter=60, standardization=False).fit(examples)
     return Classifier(dict(zip(chosen, linear.coefficients.toArray().tolist())), float(linear.intercept))
