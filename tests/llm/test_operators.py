@@ -98,6 +98,18 @@ def test_mix_misses_by_less_than_a_document(spark):
         assert abs(r["t"] - r["g"]) < 205
 
 
+def test_rows_of_one_id_are_dealt_to_several_blocks(spark, monkeypatch):
+    largest = []
+    real = mixing.rounded
+    monkeypatch.setattr(mixing, "rounded", lambda shares, *rest: (largest.append(shares.groupBy("source", "block").count().agg(F.max("count")).head()[0]), real(shares, *rest))[1])
+    for same in ("cast(7 as bigint)", "cast(null as bigint)"):
+        often = spark.range(9000).selectExpr("id as rid", f"if(id < 6000, {same}, id) as doc_id", "'a' as source", "5 + id % 7 as size")
+        out = mixing.mix(often, weights=(1,), share=0.5).cache()
+        assert out.count() == 9000 and out.select("rid").distinct().count() == 9000
+        assert abs(out.agg(F.sum("taken")).head()[0] - out.head()["target"]) <= 11
+    assert max(largest) < 1.2 * mixing.BLOCK
+
+
 def whole(texts):
     from tokenizers import Tokenizer
 

@@ -10,7 +10,9 @@ therefore miss its target by less than one document.
 
 Nulls: a null source is a source of its own, ranked last; a null text has no words. Documents
 without words take none. Repeated rows are documents of their own. An empty table gives an
-empty table. The result depends on the rows only, not on their order or partitions.
+empty table. The result depends on the rows only, not on their order or partitions; but rows
+of an id that stands in more than ``REPEATS`` rows are dealt to blocks by their row numbers, so
+that no block holds them all.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.llm.common import documents, fresh, full_text
-from themeloom.operators.joins import small_lookup
-from themeloom.session import dense_ids, materialise
+from themeloom.operators.joins import lookup, small_lookup
+from themeloom.session import dense_ids, materialise, materialise_counted
 
 WEIGHTS = (3, 1, 2)  # by rank of the source, repeating
 SHARE = 1.5  # of all words
 CAP = 2.0  # copies at most
 BLOCK = 2_048  # documents paired in one task step
+REPEATS = 128  # rows of one id from which on they are dealt to blocks by their numbers too
 BRANCH = 64  # blocks that meet in one block of the next level
 SEED = 7
 WORD = r"[^\x20\x09-\x0D]+"
@@ -134,13 +137,17 @@ def rounded(shares: DataFrame, deepest: int, seed: int = SEED) -> DataFrame:
 
 def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """``(rid, doc_id, size, source_size, target, copies, taken)`` from ``(rid, doc_id, source, size)``."""
-    sized = materialise(sized.select("rid", "doc_id", "source", "size"), "sized")
+    sized, rows = materialise_counted(sized.select("rid", "doc_id", "source", "size").withColumn("_place", F.xxhash64("doc_id", F.lit(seed))), "sized")
     goal = targets(sized, weights, share, cap)
     named = lambda df: df.withColumns({"_name": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull()})
     blocks = F.ceil(F.col("docs") / BLOCK).cast("bigint")
     goal = materialise(named(goal).withColumn("blocks", blocks), "targets").drop("source")
     deepest = goal.agg(F.max("blocks").alias("most")).head()["most"] or 1
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    repeated, n_repeated = materialise_counted(sized.groupBy("_place").agg(F.count("*").alias("n")).filter(F.col("n") > REPEATS).select("_place", F.lit(True).alias("_often")), "repeated")
+    if n_repeated:
+        dealt = F.when(F.col("_often"), F.xxhash64("_place", "rid")).otherwise(F.col("_place"))
+        sized = lookup(sized, repeated, ["_place"], "rid", rows).withColumn("_place", dealt).drop("_often")
     shares = (
         small_lookup(named(sized), goal, ["_name", "_none"], "rid", "goal")
         .withColumn("x", expected)
@@ -148,7 +155,7 @@ def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CA
             "rid",
             "doc_id",
             "source",
-            F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).alias("block"),
+            F.pmod(F.col("_place"), F.col("blocks")).alias("block"),
             "size",
             "source_size",
             "target",
@@ -176,5 +183,5 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    sized = docs.select(F.lit(0).cast("bigint").alias("rid"), "doc_id", "source", words("text").alias("size"))
+    sized = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", words("text").alias("size"))
     return mix(sized).select("doc_id", "size", "source_size", "target", "taken", "copies")
