@@ -10,8 +10,8 @@ hold it linked. It is summed over the links of each text in two parts: of pairs
 there can only be ``HEAVY`` of them the counts travel with the tasks; the rows of the others,
 none of which is hot, are joined.
 
-Both tokenizers cut a text before a single space that stands between two words, so the distinct
-words of a batch are tokenised and aligned once too, and texts are put together from them. That
+Both tokenizers cut a text before a single space that stands between two words, so a word that
+was met before isn't tokenised and aligned again, and texts are put together from words. That
 the pieces give the bytes back is checked for each word; a text with other white space, or with a
 word that fails, is tokenised whole, and has no tokens if its bytes don't come back.
 
@@ -40,6 +40,7 @@ from themeloom.operators.joins import lookup
 from themeloom.session import materialise
 
 BATCH_CHARACTERS = 2 << 20  # of text aligned at once
+KEPT_WORDS = 400_000  # aligned words remembered by a task before it starts anew
 JOINED = 4_096  # words tokenised as one string
 LARGE_GROUP = 1 << 20  # links of one group from which they are counted by distinct ids
 HEAVY = 500_000  # pairs whose counts travel with the tasks: those with more than 1 / HEAVY of all entries
@@ -131,6 +132,26 @@ class Ragged:
         return np.arange(sizes.sum()) + np.repeat(self.begin[runs] - (np.cumsum(sizes) - sizes), sizes)
 
 
+class Found:
+    """Tokens of numbered strings by both sides, in the order in which they were found."""
+
+    def __init__(self, n: int):
+        self.place = np.full(n, -1, "i8")  # of a string among those found
+        self.n = 0
+        self.flat: tuple[list, list] = ([np.zeros(0, "i8")], [np.zeros(0, "i8")])
+        self.sizes: tuple[list, list] = ([np.zeros(0, "i8")], [np.zeros(0, "i8")])
+
+    def add(self, numbers: np.ndarray, both: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.place[numbers] = np.arange(self.n, self.n + len(numbers))
+        self.n += len(numbers)
+        for side, (flat, sizes) in enumerate(both):
+            self.flat[side].append(flat)
+            self.sizes[side].append(sizes)
+
+    def tokens(self) -> tuple[Ragged, Ragged]:
+        return tuple(Ragged(np.concatenate(flat), np.concatenate(sizes)) for flat, sizes in zip(self.flat, self.sizes))
+
+
 class Units:
     """Strings that were tokenised and aligned for themselves, numbered as they were added."""
 
@@ -174,6 +195,20 @@ class Units:
         cuts = np.concatenate([[0], np.cumsum(size_a + size_b)]).tolist()
         self.shown = ["".join(written[i:j])[:-1] for i, j in zip(cuts, cuts[1:])]
 
+    @classmethod
+    def none(cls, a: Side, b: Side) -> "Units":
+        return cls(a, b, *Found(0).tokens())
+
+    def plus(self, other: "Units") -> "Units":
+        """These units, and behind them the others."""
+        out = object.__new__(Units)
+        for name in MEASURES:
+            setattr(out, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        out.codes = Ragged(*(np.concatenate([getattr(x.codes, part) for x in (self, other)]) for part in ("flat", "sizes")))
+        out.large = self.large | {len(self.shown) + u: pairs for u, pairs in other.large.items()}
+        out.shown = self.shown + other.shown
+        return out
+
 
 _tables: dict[tuple[int, int], list[str]] = {}
 
@@ -185,31 +220,13 @@ def _written(size_a: int, size_b: int) -> list[str]:
     return _tables[size_a, size_b]
 
 
-class Found:
-    """Tokens of numbered strings by both sides, in the order in which they were found."""
-
-    def __init__(self, n: int):
-        self.place = np.full(n, -1, "i8")  # of a string among those found
-        self.n = 0
-        self.flat: tuple[list, list] = ([np.zeros(0, "i8")], [np.zeros(0, "i8")])
-        self.sizes: tuple[list, list] = ([np.zeros(0, "i8")], [np.zeros(0, "i8")])
-
-    def add(self, numbers: np.ndarray, both: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.place[numbers] = np.arange(self.n, self.n + len(numbers))
-        self.n += len(numbers)
-        for side, (flat, sizes) in enumerate(both):
-            self.flat[side].append(flat)
-            self.sizes[side].append(sizes)
-
-    def tokens(self) -> tuple[Ragged, Ragged]:
-        return tuple(Ragged(np.concatenate(flat), np.concatenate(sizes)) for flat, sizes in zip(self.flat, self.sizes))
-
-
 class Aligner:
     def __init__(self, spec: str, model: bytes):
         self.a, self.b = ByteLevel(spec), Pieces(model)
         self.by_word = self.a.by_word and self.b.by_word
         self.codes = code_type(self.a.size, self.b.size)
+        self.known = {"": -1}
+        self.units = Units.none(self.a, self.b)
 
     def _spelt(self, side: Side, ids: list[int], raw: bytes) -> bool:
         return side.text_of(ids) == raw
@@ -243,27 +260,32 @@ class Aligner:
 
     def align(self, texts: list[str]) -> list[dict]:
         """For each text (not empty) its measures and its linked pairs with their times."""
+        if len(self.known) > KEPT_WORDS:
+            self.known, self.units = {"": -1}, Units.none(self.a, self.b)
         cut: list[list[str] | None] = [text.split(" ") if self.by_word else None for text in texts]
-        known = dict.fromkeys(chain.from_iterable(words or () for words in cut))
-        odd = {word for word in known if not word or word[0].isspace() or word[-1].isspace()}
-        if odd:
-            cut = [None if words is None or not odd.isdisjoint(words) else words for words in cut]
-            known = dict.fromkeys(chain.from_iterable(words or () for words in cut))
-        known = dict(zip(known, range(len(known))))
-        found = Found(len(known) + len(texts))
-        self._words(list(known), found)
-        bad = {word for word, k in known.items() if found.place[k] < 0}
-        if bad:
-            cut = [None if words is None or not bad.isdisjoint(words) else words for words in cut]
-        whole = [k for k, words in enumerate(cut) if words is None]
-        self._whole([texts[k] for k in whole], [len(known) + k for k in whole], found)
-        units = Units(self.a, self.b, *found.tokens())
-        runs: list[np.ndarray] = []
-        for k, words in enumerate(cut):
-            places = found.place[list(map(known.__getitem__, words)) if words is not None else [len(known) + k]]
-            runs.append(places[places >= 0])  # a text that doesn't come back has no tokens
+        self._learn([word for word in dict.fromkeys(chain.from_iterable(words or () for words in cut)) if word not in self.known])
+        runs = [np.array(list(map(self.known.__getitem__, words or ("",))), "i8") for words in cut]
+        whole = [k for k, run in enumerate(runs) if run.min() < 0]
+        units = self.units
+        if whole:
+            found = Found(len(whole))
+            self._whole([texts[k] for k in whole], list(range(len(whole))), found)
+            units = units.plus(Units(self.a, self.b, *found.tokens()))
+            for k, place in zip(whole, found.place.tolist()):  # a text that doesn't come back has no tokens
+                runs[k] = np.array([] if place < 0 else [len(self.units.shown) + place], "i8")
         return list(self._texts(units, runs))
 
+    def _learn(self, words: list[str]) -> None:
+        """Number new words as units; -1 stands for one that must not be cut from its text."""
+        whole = [not word or word[0].isspace() or word[-1].isspace() for word in words]
+        self.known.update((word, -1) for word, odd in zip(words, whole) if odd)
+        words = [word for word, odd in zip(words, whole) if not odd]
+        found = Found(len(words))
+        self._words(words, found)
+        first = len(self.units.shown)
+        self.known.update(zip(words, np.where(found.place < 0, -1, first + found.place).tolist()))
+        self.units = self.units.plus(Units(self.a, self.b, *found.tokens()))
+
     def _texts(self, units: Units, runs: list[np.ndarray]) -> Iterator[dict]:
         flat = np.concatenate(runs) if runs else np.zeros(0, "i8")
         sizes = np.array([len(r) for r in runs], "i8")
