@@ -1,12 +1,13 @@
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from themeloom.functions import vectors as v
-from themeloom.operators import assign, embedding as em, transport
+from themeloom.operators import assign, embedding as em, represent, transport
 
 RNG = np.random.default_rng(7)
 POINTS = RNG.normal(size=(60, 8))
@@ -119,11 +120,56 @@ def test_hashed_embedding(spark, monkeypatch, dim):
         assert np.allclose(found[i], unit(expected))
 
 
-def test_word_embedding(spark):
-    words = spark.createDataFrame([("gato",), ("ñu",)], "term string")
-    found = {r["term"]: r["embedding"] for r in em.word_embedding(words).collect()}
-    for word, vector in found.items():
-        assert np.allclose(vector, sign_vector(word, 64) / 8)
+def test_learned_words(spark):
+    texts = ["gato gato perro", "", "sol", "gato luna sol cielo", "a", "perro luna", "sol"]
+    docs = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "doc_id bigint, tokens array<string>")
+    hashed = em.hashed_embedding(docs, length="length")
+    expected, seen = {}, {}
+    for text in texts:
+        words = [w for w in text.split() if len(w) > 1]
+        weight = {w: 1 + math.log(words.count(w)) for w in words}
+        total = sum((weight[w] * sign_vector(w, 64) for w in weight), np.zeros(64))
+        for w in weight:
+            others = (total - weight[w] * sign_vector(w, 64)) / np.linalg.norm(total)
+            expected[w] = expected.get(w, 0) + weight[w] * others
+            seen[w] = seen.get(w, 0) + words.count(w)
+    found = {r["term"]: r for r in em.learned_words(hashed, length="length").collect()}
+    assert {w: r["n"] for w, r in found.items()} == seen
+    assert all(np.allclose(found[w]["embedding"], unit(expected[w])) for w in seen)
+    assert {r["term"] for r in em.learned_words(hashed, 2, length="length").collect()} == {w for w, n in seen.items() if n > 1}
+    alone = em.hashed_embedding(docs.filter("doc_id in (1, 2, 6)"), length="length")
+    assert em.learned_words(alone, length="length").count() == 0  # a word that never has company
+
+
+def test_learned_words_of_given_vectors(spark):
+    docs = spark.createDataFrame(
+        [(["ab", "cd"], [1.0, 0.0, 0.0]), (["cd", "cd"], [0.0, 2.0, 0.0]), (["ef"], None)],
+        "tokens array<string>, embedding array<double>",
+    )
+    found = {r["term"]: r["embedding"] for r in em.learned_words(docs).collect()}
+    assert np.allclose(found["ab"], [1, 0, 0]) and np.allclose(found["cd"], unit([1, 2 * (1 + math.log(2)), 0]))
+    assert set(found) == {"ab", "cd"}
+
+
+def test_top_words_of_separate_vocabularies(spark):
+    """Every word of a topic occurs in a document of that topic."""
+    rng = random.Random(8)
+    words = {t: [f"w{t}{a}{b}" for a in "abcdefgh" for b in "abcdefgh"] for t in range(4)}
+    rows = [(i, i % 4, [rng.choice(words[i % 4]) for _ in range(30)]) for i in range(400)]
+    docs = em.hashed_embedding(spark.createDataFrame(rows, "doc_id int, topic int, tokens array<string>"), length="length")
+    scores = assign.word_scores(em.learned_words(docs, length="length"), assign.topic_centroids(docs))
+    top = represent.top_terms(scores, 50).collect()
+    assert len(top) == 200 and all(r["term"] in words[r["topic"]] for r in top)
+    shares = transport.word_shares(em.learned_words(docs, length="length"), assign.topic_centroids(docs))
+    assert all(r["term"] in words[r["topic"]] for r in represent.top_terms(shares, 15, "weight").collect())
+
+
+@pytest.mark.parametrize("cells", [assign.MAX_DRIVER_CELLS, 0])
+def test_zero_vector_has_no_topic(spark, cells):
+    docs = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 3.0]), (3, None)], "doc_id int, embedding array<double>")
+    topics = spark.createDataFrame([(0, [1.0, 0.1]), (1, [0.1, 1.0])], "topic int, vector array<double>")
+    found = {r["doc_id"]: (r["topic"], round(r["score"], 6)) for r in assign.nearest_topic(docs, topics, max_cells=cells).collect()}
+    assert found == {1: (-1, 0.0), 2: (1, 0.995037), 3: (-1, 0.0)}
 
 
 def test_hash_dim_is_checked():

@@ -98,8 +98,11 @@ def nearest(vector: Column, ids: list[int], topics: np.ndarray) -> Column:
 
     @vector_function("struct<topic:int,score:double>")
     def best(vectors: pa.Array) -> pa.Array:
-        rows = unit_rows(matrix_of(vectors))
+        rows = matrix_of(vectors)
         kept = present(vectors)
+        nonzero = rows.any(axis=1) if len(rows) else np.zeros(0, bool)
+        kept[kept] = nonzero  # a zero vector is near no topic
+        rows = unit_rows(rows[nonzero])
         topic = np.full(len(vectors), -1, dtype="i4")
         score = np.zeros(len(vectors))
         at = np.flatnonzero(kept)
@@ -181,14 +184,15 @@ def word_vector(word: Column, dim: int = HASH_DIM) -> Column:
 
 
 def document_vector(bag: Column, dim: int = HASH_DIM) -> Column:
-    """Sum of the sign vectors of a document's words, each times ``1 + ln n``, at length 1.
+    """``struct<vector, length>``: the sum of the sign vectors of a document's words, each times
+    ``1 + ln n``, scaled to length 1, and the length it had.
 
     A random projection of the document's log-count vector: cosines are kept up to noise of
     about ``1 / sqrt(dim)``, and documents and words share one space. Null without words.
     """
     check_hash_dim(dim)
 
-    @vector_function("array<double>")
+    @vector_function("struct<vector:array<double>,length:double>")
     def vector(digests: pa.Array, weights: pa.Array) -> pa.Array:
         sizes = digests.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
@@ -205,7 +209,10 @@ def document_vector(bag: Column, dim: int = HASH_DIM) -> Column:
                 out[filled] = np.add.reduceat(rows, ends[filled] - sizes[filled] - begin, axis=0)
             first = last
         nonzero = out.any(axis=1)
-        return lists_of(unit_rows(out[nonzero]), nonzero)
+        length = pa.array(np.sqrt((out * out).sum(axis=1)))
+        return pa.StructArray.from_arrays(
+            [lists_of(unit_rows(out[nonzero]), nonzero), length], names=["vector", "length"], mask=pa.array(~nonzero)
+        )
 
     return vector(
         F.transform(bag, lambda b: digest(b["term"])),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import vectors as v
@@ -15,23 +16,59 @@ from themeloom.functions.arrays import bag_of_words
 from themeloom.operators.vocabulary import MIN_LENGTH
 
 MAX_PCA_DIM = 1_000
+ALONE = 1e-9  # a sum of neighbours no longer than this is a rounding error
 MAX_DRIVER_WEIGHTS = 50_000_000  # words x dim held by the driver while Word2Vec trains
 
 
-def hashed_embedding(docs: DataFrame, dim: int = v.HASH_DIM, tokens: str = "tokens") -> DataFrame:
+def _bag(tokens: str) -> Column:
+    return bag_of_words(F.filter(F.col(tokens), lambda w: F.length(w) >= MIN_LENGTH))
+
+
+def hashed_embedding(docs: DataFrame, dim: int = v.HASH_DIM, tokens: str = "tokens", length: str | None = None) -> DataFrame:
     """Add ``embedding``: a unit vector made of the words alone, no model and no shuffle.
 
-    Null for a document without words. ``word_embedding`` gives words in the same space.
+    Null for a document without words. ``length`` names a further column for the length the
+    vector had, which ``learned_words`` needs to tell a word's own part in it.
     """
-    long_enough = F.filter(F.col(tokens), lambda w: F.length(w) >= MIN_LENGTH)
-    return docs.withColumn("_bag", bag_of_words(long_enough)).withColumn(
-        "embedding", v.document_vector(F.col("_bag"), dim)
-    ).drop("_bag")
+    found = docs.withColumn("_bag", _bag(tokens)).withColumn("_hashed", v.document_vector(F.col("_bag"), dim)).drop("_bag")
+    if length is not None:
+        found = found.withColumn(length, F.col("_hashed.length"))
+    return found.withColumn("embedding", F.col("_hashed.vector")).drop("_hashed")
 
 
-def word_embedding(words: DataFrame, dim: int = v.HASH_DIM) -> DataFrame:
-    """``(term, embedding)`` for a table with a ``term`` column."""
-    return words.select("term", v.word_vector(F.col("term"), dim).alias("embedding"))
+def learned_words(
+    docs: DataFrame, min_count: int = 1, tokens: str = "tokens", embedding: str = "embedding", length: str | None = None
+) -> DataFrame:
+    """``(term, n, embedding)``: each word as the company it keeps, in the space of the documents.
+
+    A word's vector is the sum of the vectors of the documents that hold it, each times
+    ``1 + ln n``, at length 1 (random indexing). With ``length``, the column that
+    ``hashed_embedding`` adds, the word's own sign vector is taken out of every one of them, so
+    that only its neighbours count; vectors of an encoder have no such part. A word that never
+    stands beside another, or is found fewer than ``min_count`` times, has no row. One aggregate
+    by word over numbers that each task adds up first; nothing is held by the driver.
+    """
+    known = docs.filter(F.col(embedding).isNotNull())
+    first = known.select(F.size(embedding).alias("d")).head()
+    dim = first["d"] if first else 1
+    rows = known.select(
+        F.inline(_bag(tokens)), F.col(embedding).alias("_x"), (F.col(length) if length else F.lit(None).cast("double")).alias("_length")
+    )
+    weight = 1.0 + F.log(F.col("n").cast("double"))
+    rows = rows.withColumn("_w", weight)
+    sums = rows.groupBy("term").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("_w") * F.col("_w") / F.col("_length")).alias("_own"),
+        *[F.sum(F.col("_w") * F.get("_x", F.lit(j))).alias(f"_s{j}") for j in range(dim)],
+    )
+    company = F.array(*[f"_s{j}" for j in range(dim)])
+    if length is not None:
+        # word_vector is at length 1, the sign vector in a document's sum at length sqrt(dim).
+        own = F.col("_own") * F.lit(math.sqrt(dim))
+        company = F.zip_with(company, v.word_vector(F.col("term"), dim), lambda x, s: x - own * s)
+    learned = sums.filter(F.col("n") >= min_count).select("term", "n", company.alias("_company"))
+    squares = F.aggregate("_company", F.lit(0.0), lambda s, x: s + x * x)
+    return learned.filter(F.sqrt(squares) > ALONE).select("term", "n", v.unit(F.col("_company")).alias("embedding"))
 
 
 def encoded(

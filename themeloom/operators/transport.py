@@ -141,5 +141,6 @@ def word_shares(words: DataFrame, topics: DataFrame, temperature: float = 0.5, e
     near = long_weights(apart, ids, "term").select(
         "topic", "term", F.exp(-F.col("weight") / F.lit(temperature)).alias("near")
     )
-    totals = near.groupBy("topic").agg(F.sum("near").alias("total"))
+    # One row per topic, of topics that fit the driver: words stay where they are.
+    totals = F.broadcast(near.groupBy("topic").agg(F.sum("near").alias("total")))
     return near.join(totals, "topic").select("topic", "term", (F.col("near") / F.col("total")).alias("weight"))

@@ -182,10 +182,16 @@ def build() -> dict[str, str]:
         f", lang_centre AS (SELECT topic, list(x ORDER BY j) AS c FROM (SELECT {lang_number} AS topic, j, avg(x) AS x"
         " FROM embedded JOIN documents USING (doc_id) GROUP BY ALL) GROUP BY topic)"
     )
-    word_vec = (
-        ", word_vec AS (SELECT term, list(s / 8.0 ORDER BY j) AS w FROM signs"
-        " WHERE term IN (SELECT term FROM terms GROUP BY term HAVING sum(n) >= 2) GROUP BY term)"
-        ", word_score AS (SELECT topic, term, list_cosine_similarity(w, c) AS score FROM word_vec, lang_centre)"
+    learned = (
+        ", norms AS (SELECT doc_id, sqrt(sum(x * x)) AS len FROM raw GROUP BY doc_id)"
+        ", word_sum AS (SELECT term, j, sum((1 + ln(n)) * x) AS y FROM terms JOIN embedded USING (doc_id) GROUP BY ALL)"
+        ", word_own AS (SELECT term, sum(n) AS n, sum(pow(1 + ln(n), 2) / len) AS o FROM terms JOIN norms USING (doc_id) GROUP BY term)"
+        ", word_all AS (SELECT term, any_value(n) AS n, list(y - s * o ORDER BY j) AS w, sqrt(sum(pow(y - s * o, 2))) AS len"
+        " FROM word_sum JOIN signs USING (term, j) JOIN word_own USING (term) GROUP BY term)"
+        ", word_vec AS (SELECT term, n, list_transform(w, lambda x: x / len) AS w FROM word_all WHERE len > 1e-9)"
+    )
+    word_vec = learned + (
+        ", word_score AS (SELECT topic, term, list_cosine_similarity(w, c) AS score FROM word_vec, lang_centre WHERE n >= 2)"
         ", word_rank AS (SELECT topic, term, score,"
         " row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, term) AS rank FROM word_score)"
     )
@@ -217,9 +223,8 @@ def build() -> dict[str, str]:
         ", vocab AS (SELECT term, count(*) AS df, sum(n) AS cf FROM terms GROUP BY term {having}"
         " ORDER BY cf DESC, term LIMIT 5000)"
     )
-    word_softmax = ", vocab AS (SELECT DISTINCT term FROM terms)" + (
-        ", word_near AS (SELECT topic, term, exp(-pow(list_distance(w, c), 2) / 0.5) AS e FROM"
-        " (SELECT term, list(s / 8.0 ORDER BY j) AS w FROM signs WHERE term IN (SELECT term FROM vocab) GROUP BY term), lang_centre)"
+    word_softmax = learned + (
+        ", word_near AS (SELECT topic, term, exp(-pow(list_distance(w, c), 2) / 0.5) AS e FROM word_vec, lang_centre)"
         ", word_share AS (SELECT topic, term, e / sum(e) OVER (PARTITION BY topic) AS weight FROM word_near)"
         ", topic_words AS (SELECT topic, string_agg(term, ' ' ORDER BY k) AS keywords FROM (SELECT topic, term,"
         " row_number() OVER (PARTITION BY topic ORDER BY round(weight, 9) DESC, term) AS k FROM word_share)"
@@ -351,7 +356,8 @@ def build() -> dict[str, str]:
         " FROM ranked WHERE rank <= 5 GROUP BY topic) USING (topic)"
     )
     sql["doc_embedding"] = (
-        with_(terms, embedded) + f"SELECT doc_id, j::INTEGER AS dim, {shown('x')} AS value FROM embedded"
+        with_(terms, embedded)
+        + f"SELECT doc_id, j::INTEGER AS dim, {shown('x')} AS value FROM documents LEFT JOIN embedded USING (doc_id)"
     )
     sql["topic_centroids"] = with_(vectors) + f"SELECT topic, i::INTEGER AS dim, {shown('x')} AS value FROM means"
     sql["doc_topic_affinity"] = with_(nearest) + f"SELECT vec_id, topic, {shown('score')} AS score FROM found"
@@ -390,8 +396,8 @@ def build() -> dict[str, str]:
         ", db AS (SELECT doc_id, topic, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id"
         " ORDER BY round(weight, 9) DESC, topic) AS k FROM dw) WHERE k = 1)"
         f", kept AS (SELECT doc_id, array_to_string({keep_words('tok')}, ' ') AS text FROM cleaned)"
-        f" SELECT doc_id, text, topic, {shown('weight')} AS confidence, keywords AS topic_words"
-        " FROM kept JOIN db USING (doc_id) JOIN topic_words USING (topic)"
+        f" SELECT doc_id, text, coalesce(topic, -1) AS topic, {shown('coalesce(weight, 0.0)')} AS confidence, keywords AS topic_words"
+        " FROM kept LEFT JOIN db USING (doc_id) LEFT JOIN topic_words USING (topic)"
     )
     sql["coherence_umass"] = (
         with_(terms, pairs) + f"SELECT topic, {shown('sum(ln((d_ij + 1) / d_i))')} AS coherence FROM pair GROUP BY topic"

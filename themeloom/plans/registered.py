@@ -17,6 +17,7 @@ from themeloom.functions.arrays import shown
 from themeloom.functions.lemmas import lemma_table
 from themeloom.functions.stopwords import stopword_list, stopword_table
 from themeloom.operators import assign, cleaning, density, embedding as em, evaluate, lda, represent, transport, vocabulary
+from themeloom.operators.joins import small_lookup
 from themeloom.plans import models
 from themeloom.session import materialise
 from themeloom.sources import corpus
@@ -53,7 +54,7 @@ def language_topic() -> Column:
 
 def language_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a vector and their language as topic."""
-    return em.hashed_embedding(cleaned(spark, folder).withColumn("topic", language_topic()))
+    return em.hashed_embedding(cleaned(spark, folder).withColumn("topic", language_topic()), length="length")
 
 
 def quality_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +65,8 @@ def quality_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 def stored_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Words and vector of each document, written once for queries that read them repeatedly."""
-    return materialise(language_docs(spark, folder).select("doc_id", "lang", "source", "topic", "tokens", "embedding"), "docs")
+    docs = language_docs(spark, folder)
+    return materialise(docs.select("doc_id", "lang", "source", "topic", "tokens", "embedding", "length"), "docs")
 
 
 def stored_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,7 +175,7 @@ def clean_text(spark, folder):
 
 def clean_pages(spark, folder):
     pages = corpus.read_table(spark, f"{folder}/pages.parquet", "page_id")
-    return cleaning.clean_corpus(pages, "html", key="page_id").select("page_id", "clean_text", "n_words")
+    return cleaning.clean_corpus(pages, "html").select("page_id", "clean_text", "n_words")
 
 
 def stopword_union(spark, folder):
@@ -268,7 +270,7 @@ def doc_keywords(spark, folder):
 
 
 def doc_embedding(spark, folder):
-    docs = language_docs(spark, folder).select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+    docs = language_docs(spark, folder).select("doc_id", F.posexplode_outer("embedding").alias("dim", "value"))
     return docs.withColumn("value", shown(F.col("value")))
 
 
@@ -292,9 +294,7 @@ def topic_count(spark, folder):
 
 
 def language_word_scores(docs: DataFrame) -> DataFrame:
-    counts = vocabulary.doc_terms(docs).groupBy("term").agg(F.sum("n").alias("n"))
-    words = em.word_embedding(counts.filter(F.col("n") >= 2))
-    return assign.word_scores(words, assign.topic_centroids(docs))
+    return assign.word_scores(em.learned_words(docs, 2, length="length"), assign.topic_centroids(docs))
 
 
 def topic_words_cosine(spark, folder):
@@ -339,7 +339,7 @@ def doc_topic_wide(spark, folder):
 
 
 def _nearest_words(docs: DataFrame) -> DataFrame:
-    words = em.word_embedding(vocabulary.vocabulary(vocabulary.doc_terms(docs)))
+    words = materialise(em.learned_words(docs, length="length"), "words")
     shares = transport.word_shares(words, assign.topic_centroids(docs), WORD_TEMPERATURE)
     return represent.keywords(represent.top_terms(shares, 15, "weight"), 15, " ")
 
@@ -351,11 +351,15 @@ def ot_topic_words(spark, folder):
 
 def doc_confidence_report(spark, folder):
     docs = stored_docs(spark, folder)
-    with_vector = docs.drop("topic").filter(F.col("embedding").isNotNull())
-    shared, ids = assign.topic_shares(with_vector, assign.topic_centroids(docs), TEMPERATURE)
+    shared, ids = assign.topic_shares(docs.drop("topic"), assign.topic_centroids(docs), TEMPERATURE)
     best = shared.select("doc_id", F.array_join("tokens", " ").alias("text"), assign.best_share(ids, F.col("shares")).alias("b"))
-    found = best.select("doc_id", "text", "b.topic", shown(F.col("b.confidence")).alias("confidence"))
-    return found.join(_nearest_words(docs), "topic").withColumnRenamed("keywords", "topic_words")
+    found = best.select(
+        "doc_id",
+        "text",
+        F.coalesce("b.topic", F.lit(-1)).alias("topic"),
+        shown(F.coalesce("b.confidence", F.lit(0.0))).alias("confidence"),
+    )
+    return small_lookup(found, _nearest_words(docs), ["topic"], "doc_id", "words").withColumnRenamed("keywords", "topic_words")
 
 
 # Evaluation, search, distribution
