@@ -1,5 +1,7 @@
 """Fitted models: shapes, sums, numbering and repeatability."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,14 +81,54 @@ def test_lda(docs):
     for table, by in ((fitted.topic_term, "topic"), (fitted.doc_topic, "doc_id")):
         sums = [r["s"] for r in table.groupBy(by).agg(F.sum("weight").alias("s")).collect()]
         assert sums == pytest.approx([1.0] * len(sums), abs=1e-6)
-    bounds = lda.perplexity(fitted).head()
-    assert bounds["log_likelihood"] < 0 < bounds["log_perplexity"]
     again = lda.fit_lda(docs, k=4, iterations=5, max_vocab=2_000)
     a = {(r["topic"], r["term"]): r["weight"] for r in fitted.topic_term.collect()}
     b = {(r["topic"], r["term"]): r["weight"] for r in again.topic_term.collect()}
     assert a == pytest.approx(b, rel=1e-6)
 
 
+def planted(spark, seed=3, n=240, k=3, start=0):
+    """Documents of two topics each; topics have words of their own and share some."""
+    rng = random.Random(seed)
+    words = [[f"t{t}w{i}" for i in range(30)] for t in range(k)]
+    rows = []
+    for d in range(n):
+        main = d % k
+        rows.append((start + d, [rng.choice(words[main if rng.random() < 0.9 else rng.randrange(k)]) for _ in range(40)] + ["common"] * 3))
+    return spark.createDataFrame(rows, "doc_id bigint, tokens array<string>")
+
+
+@pytest.mark.parametrize("pairs", [lda.WORDS_PER_BLOCK, 500])
+def test_lda_finds_planted_topics(spark, monkeypatch, pairs):
+    monkeypatch.setattr(lda, "WORDS_PER_BLOCK", pairs)
+    monkeypatch.setattr(lda, "CELLS", 600)
+    fitted = lda.fit_lda(planted(spark), k=3, iterations=20)
+    best = {r["doc_id"]: max(range(3), key=lambda t: r["shares"][t]) for r in fitted.shares.collect()}
+    pairs = {(d % 3, t) for d, t in best.items()}
+    assert len(pairs) == 3 and len({t for _, t in pairs}) == 3
+    unseen = planted(spark, seed=9, n=30, start=1_000)
+    more = lda.perplexity(fitted, unseen).head()
+    assert more["n_words"] == sum(sum(i % 2 for i in range(len(r["tokens"]))) for r in unseen.collect())
+    less = lda.perplexity(lda.fit_lda(planted(spark), k=3, iterations=1), unseen).head()
+    assert more["log_perplexity"] < less["log_perplexity"] - 0.3
+    done = {r["doc_id"]: r["n_words"] for r in lda.completion(fitted, unseen.unionByName(spark.createDataFrame([(5, ["unknown"] * 4), (6, []), (7, None)], unseen.schema))).collect()}
+    assert done[5] == done[6] == done[7] == 0 and len(done) == 33
+
+
+def test_lda_of_nothing(spark):
+    fitted = lda.fit_lda(spark.createDataFrame([(1, []), (2, None)], "doc_id bigint, tokens array<string>"), k=2, iterations=2)
+    assert fitted.topic_term.count() == 0
+    assert [(r["shares"], r["known"]) for r in fitted.shares.collect()] == [([0.5, 0.5], False)] * 2
+
+
+def test_lda_keeps_nothing_on_the_driver(docs, monkeypatch):
+    """One row of totals at a time comes back, however many words and documents there are."""
+    rows, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: rows.append(collect(self)) or rows[-1])
+    lda.fit_lda(docs, k=4, iterations=1)
+    assert rows and all(len(found) == 1 and len(found[0]) <= 4 for found in rows)
+
+
 def test_lda_model(docs):
     model = models.lda_topics(docs, k=4, iterations=3, max_vocab=1_000)
     assert model.keywords(5).count() == 4
@@ -94,7 +136,6 @@ def test_lda_model(docs):
     assert topics[10_000] == -1 and set(topics.values()) == {-1, 0, 1, 2, 3}
 
 
-def test_lda_refuses_what_the_driver_cannot_hold(docs, monkeypatch):
-    monkeypatch.setattr(lda, "MAX_DRIVER_WEIGHTS", 100)
-    with pytest.raises(ValueError, match="max_vocab"):
-        lda.fit_lda(docs, k=4, max_vocab=1_000)
+def test_one_topic_takes_all_known_documents(docs):
+    topics = check(models.lda_topics(docs, k=1, iterations=1), docs, 50)
+    assert topics.pop(10_000) == -1 and set(topics.values()) == {0}

@@ -1,87 +1,321 @@
-"""Latent Dirichlet allocation by MLlib, returned as long tables."""
+"""Latent Dirichlet allocation as tables: expected counts of topics by word and by document.
+
+All expected counts are taken at once in every round (collapsed variational inference of order
+zero without the exclusion of a word's own count). Word k's share of topic t is
+``(eta + count) / (terms * eta + total)``, a document's ``(alpha + count) / (k * alpha + words)``,
+and a word in a document is dealt to the topics in proportion to the product of both.
+
+Documents lie in blocks of about ``WORDS_PER_BLOCK`` distinct words; inside a block a word is a
+number. A round sends the counts of a word to the blocks that hold it, one row for each block
+however often it occurs there, works through each block as a matrix, and adds up what the blocks
+return by word. Neither the vocabulary nor the weights are ever in one place: only one total for
+each topic reaches the driver. Rounds start from a hash of the words, so they can be repeated.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.operators.vocabulary import MIN_LENGTH, count_vectorizer, doc_terms, vocabulary
-from themeloom.session import materialise, spread
+from themeloom.functions.arrays import bag_of_words
+from themeloom.operators.vocabulary import MIN_LENGTH
+from themeloom.session import materialise
 
-MAX_DRIVER_WEIGHTS = 20_000_000  # topics x terms held by the driver
+WORDS_PER_BLOCK = 1_000_000  # (document, word) pairs that one task holds
+LEAST_IN_BLOCK = 20_000  # fewer aren't worth a task
+CELLS = 4_000_000  # numbers worked on at once
+STATE = "block int, row bigint, places array<int>, counts array<double>, scored array<double>, weights array<double>, at int, term string"
 
 
 @dataclass
 class LdaResult:
     topic_term: DataFrame  # topic from 0, term, weight: shares of a topic, summing to 1
     doc_topic: DataFrame  # doc_id, topic, weight: shares of a document, summing to 1
-    vocab: DataFrame
-    model: LDAModel
-    vectors: DataFrame
+    shares: DataFrame  # doc_id, shares in topic order, known: whether the document has a word of the vocabulary
+    words: DataFrame  # term, counts: expected number of occurrences for each topic
+    totals: list[float]  # for each topic
+    n_terms: int
+    alpha: float
+    eta: float
+
+
+# Blocks of documents
+
+
+def _bag(tokens: Column) -> Column:
+    return bag_of_words(F.filter(tokens, lambda w: F.length(w) >= MIN_LENGTH))
+
+
+def _term_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("row", F.inline(F.arrays_zip("terms", "counts", "scored"))).withColumnRenamed("terms", "term")
+
+
+def _in_vocabulary(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``rows`` with only the words of ``vocab(term)``; rows may lose all of them."""
+    kept = (
+        _term_rows(rows)
+        .join(vocab, "term", "left_semi")
+        .groupBy("row")
+        .agg(F.sort_array(F.collect_list(F.struct("term", "counts", "scored"))).alias("_kept"))
+    )
+    return kept.select("row", *[F.col(f"_kept.{old}").alias(new) for old, new in (("term", "terms"), ("counts", "counts"), ("scored", "scored"))])
+
+
+def _numbered_words(table: pa.Table) -> pa.Table:
+    """One block: the words of its documents as numbers, and a row that says which word has which."""
+    block = table.column("block")[0].as_py()
+    terms = table.column("terms").combine_chunks()
+    words = terms.flatten().dictionary_encode()
+    n = table.num_rows
+    ends = np.cumsum(terms.value_lengths().to_numpy())
+    places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), words.indices.cast(pa.int32()))
+    v = len(words.dictionary)
+    numbers = pa.list_(pa.float64())
+    return pa.table(
+        {
+            "block": pa.array([block] * (n + v), pa.int32()),
+            "row": pa.concat_arrays([table.column("row").combine_chunks(), pa.nulls(v, pa.int64())]),
+            "places": pa.concat_arrays([places, pa.nulls(v, pa.list_(pa.int32()))]),
+            **{
+                name: pa.concat_arrays([table.column(name).combine_chunks().cast(numbers), pa.nulls(v, numbers)])
+                for name in ("counts", "scored")
+            },
+            "weights": pa.nulls(n + v, numbers),
+            "at": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(v), pa.int32())]),
+            "term": pa.concat_arrays([pa.nulls(n, pa.string()), words.dictionary.cast(pa.string())]),
+        }
+    )
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Stored blocks of ``rows(row, terms, counts, scored)``, which must have words."""
+    pairs = rows.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n")).head()["n"]
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-pairs // WORDS_PER_BLOCK), min(cores, -(-pairs // LEAST_IN_BLOCK)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
+    return materialise(dealt.groupBy("block").applyInArrow(_numbered_words, STATE), name)
+
+
+# One round
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    places = table.column("places").combine_chunks()
+    sizes = places.value_lengths().to_numpy()
+    flat = [table.column(c).combine_chunks().flatten().to_numpy() for c in ("counts", "scored")]
+    return sizes, places.flatten().to_numpy(), *flat
+
+
+def _word_shares(route: pa.Table, n_terms: int, totals: np.ndarray, eta: float) -> np.ndarray:
+    """Share of each topic that a word has, by the word's number in the block."""
+    k = len(totals)
+    counts = route.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, k)
+    out = np.empty_like(counts)
+    out[route.column("at").to_numpy()] = (eta + counts) / (n_terms * eta + totals)
+    return out
+
+
+def _topics_of(places: np.ndarray, counts: np.ndarray, sizes: np.ndarray, weights: np.ndarray, words: np.ndarray, alpha: float):
+    """Expected counts of words by topic, and the documents' shares that follow from them."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    dealt = weights[owner] * words[places]
+    dealt *= (counts / dealt.sum(axis=1))[:, None]
+    begins = np.cumsum(sizes) - sizes
+    sums = np.add.reduceat(dealt, begins, axis=0) + alpha
+    return dealt, sums / sums.sum(axis=1, keepdims=True)
+
+
+def _slices(sizes: np.ndarray, k: int):
+    """Runs of documents with about ``CELLS`` numbers to work on, and their runs of words."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        begin = ends[first] - sizes[first]
+        last = max(first + 1, int(np.searchsorted(ends, begin + CELLS // k, side="right")))
+        yield slice(first, last), slice(begin, ends[last - 1])
+        first = last
+
+
+def _round(docs: pa.Table, route: pa.Table, n_terms: int, totals: np.ndarray, alpha: float, eta: float, inner: int) -> pa.Table:
+    k = len(totals)
+    words = _word_shares(route, n_terms, totals, eta)
+    sizes, places, counts, _ = _columns(docs)
+    given = docs.column("weights").combine_chunks()
+    weights = given.flatten().to_numpy().reshape(-1, k) if given.null_count == 0 else np.full((len(sizes), k), 1.0 / k)
+    found, sums = np.empty_like(weights), np.zeros_like(words)
+    for rows, span in _slices(sizes, k):
+        found[rows] = weights[rows]
+        for _ in range(inner):
+            dealt, found[rows] = _topics_of(places[span], counts[span], sizes[rows], found[rows], words, alpha)
+        for topic in range(k):
+            sums[:, topic] += np.bincount(places[span], dealt[:, topic], len(words))
+    n, v = len(sizes), len(words)
+    numbers = pa.list_(pa.float64())
+
+    def lists(matrix: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, matrix.size + 1, k).astype("i4")), pa.array(matrix.ravel()))
+
+    at = route.column("at").combine_chunks()
+    return pa.table(
+        {
+            "block": pa.array([docs.column("block")[0].as_py()] * (n + v), pa.int32()),
+            "row": pa.concat_arrays([docs.column("row").combine_chunks(), pa.nulls(v, pa.int64())]),
+            "places": pa.concat_arrays([docs.column("places").combine_chunks(), pa.nulls(v, pa.list_(pa.int32()))]),
+            "counts": pa.concat_arrays([docs.column("counts").combine_chunks(), pa.nulls(v, numbers)]),
+            "scored": pa.nulls(n + v, numbers),
+            "weights": pa.concat_arrays([lists(found), lists(sums[at.to_numpy()])]),
+            "at": pa.concat_arrays([pa.nulls(n, pa.int32()), at]),
+            "term": pa.concat_arrays([pa.nulls(n, pa.string()), route.column("term").combine_chunks()]),
+        }
+    )
+
+
+def _routed(state: DataFrame, words: DataFrame) -> DataFrame:
+    """A word's counts for every block that holds it. A word is in a block once, so none is hot."""
+    routed = state.filter(F.col("term").isNotNull()).select("block", "at", "term").join(words, "term")
+    # New names for the same columns: both sides of the cogroup come from one table.
+    return routed.select(*[F.col(c).alias(c) for c in ("block", "at", "term", "counts")])
+
+
+def _step(
+    state: DataFrame, words: DataFrame, n_terms: int, totals: list[float], alpha: float, eta: float, inner: int
+) -> tuple[DataFrame, DataFrame]:
+    docs = state.filter(F.col("row").isNotNull())
+    work = partial(_round, n_terms=n_terms, totals=np.array(totals), alpha=alpha, eta=eta, inner=inner)
+    both = docs.groupBy("block").cogroup(_routed(state, words).groupBy("block"))
+    state = materialise(both.applyInArrow(lambda docs, route: work(docs, route), STATE), "lda-round")
+    parts = state.filter(F.col("term").isNotNull())
+    sums = parts.groupBy("term").agg(*[F.sum(F.get("weights", F.lit(i))).alias(f"_{i}") for i in range(len(totals))])
+    added = sums.select("term", F.array(*[f"_{i}" for i in range(len(totals))]).alias("counts"))
+    return state, materialise(added, "lda-words")
+
+
+def _totals(words: DataFrame, k: int) -> list[float]:
+    return list(words.agg(*[F.sum(F.get("counts", F.lit(i))) for i in range(k)]).head())
+
+
+def _start(vocab: DataFrame, k: int) -> DataFrame:
+    """Counts to begin with: a word's occurrences, times 0.5 to 1.5 by a hash of word and topic."""
+    def share(topic: int) -> Column:
+        digest = F.md5(F.concat("term", F.lit(f":{topic}")))
+        return 0.5 + F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2**32)
+
+    return vocab.select("term", F.array(*[F.col("cf") * share(i) for i in range(k)]).alias("counts"))
 
 
 def fit_lda(
     docs: DataFrame,
     k: int = 8,
     iterations: int = 10,
-    seed: int = 42,
+    inner: int = 3,
     alpha: float = 0.1,
     eta: float = 0.01,
     min_df: int = 1,
     max_vocab: int | None = None,
-    fraction: float = 1.0,
-    offset: float = 1.0,
     key: str = "doc_id",
 ) -> LdaResult:
-    """Variational inference over all documents in every iteration.
-
-    ``fraction`` below 1 makes the iterations mini-batches, the usual choice for a corpus
-    that is far larger than the topics need; ``offset``, which slows the first steps down,
-    should then be raised (MLlib's own default is 1024). Topics x vocabulary live on the driver, which
-    refuses more than ``MAX_DRIVER_WEIGHTS`` of them rather than drop terms unasked; the
-    documents stay where they are. A document without a word of the vocabulary takes no part
-    in the fit and gets all topics in equal shares.
+    """Topics of ``docs(key, tokens)`` after ``iterations`` rounds over all documents.
+
+    In each round a document's topics are found again ``inner`` times before its words count.
+    ``min_df`` and ``max_vocab`` (the most frequent words, ties alphabetical) are options that
+    leave words out; by default all take part. A document without a word of the vocabulary
+    takes no part and gets all topics in equal shares.
     """
-    terms = doc_terms(docs, key)
-    vocab = vocabulary(terms, min_df, max_vocab)
-    vectorizer = count_vectorizer(vocab)
-    if k * len(vectorizer.vocabulary) > MAX_DRIVER_WEIGHTS:
-        raise ValueError("topics x terms exceed the driver: lower max_vocab")
-    none = F.array().cast("array<string>")
-    long_enough = docs.select(key, F.coalesce(F.filter("tokens", lambda w: F.length(w) >= MIN_LENGTH), none).alias("tokens"))
-    counted = spread(materialise(vectorizer.transform(long_enough).select(key, "features"), "lda-counts"), key)
-    vectors = counted.filter(F.size(F.unwrap_udt("features")["indices"]) > 0)
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    model = LDA(
-        k=k,
-        maxIter=iterations,
-        seed=seed,
-        optimizer="online",
-        docConcentration=[alpha] * k,
-        topicConcentration=eta,
-        optimizeDocConcentration=False,
-        subsamplingRate=fraction,
-        learningOffset=offset,
-    ).fit(vectors)
-    vectors.unpersist()
-    weights = model.describeTopics(len(vectorizer.vocabulary)).select(
-        "topic", F.inline(F.arrays_zip(F.col("termIndices").alias("term_id"), F.col("termWeights").alias("weight")))
-    )
-    topic_term = weights.join(vocab, "term_id").select("topic", "term", "weight")
-    shares = vector_to_array("topicDistribution")
+    bag = _bag(F.col("tokens"))
+    every = materialise(
+        docs.select(key, F.monotonically_increasing_id().alias("row"), bag.alias("_bag")).select(
+            key, "row", F.col("_bag.term").alias("terms"), F.col("_bag.n").cast("array<double>").alias("counts")
+        ),
+        "lda-docs",
+    ).withColumn("scored", F.array_repeat(F.lit(0.0), F.size("terms")))
+    vocab = _term_rows(every).groupBy("term").agg(F.count("*").alias("df"), F.sum("counts").alias("cf"))
+    if min_df > 1:
+        vocab = vocab.filter(F.col("df") >= min_df)
+    if max_vocab is not None:
+        vocab = vocab.orderBy(F.desc("cf"), "term").limit(max_vocab)
+    vocab = materialise(vocab, "lda-vocabulary")
+    rows = every.filter(F.size("terms") > 0).drop(key)
+    if min_df > 1 or max_vocab is not None:
+        rows = materialise(_in_vocabulary(rows, vocab), "lda-rows")
+    state = _blocks(rows, "lda-blocks")
+    words = materialise(_start(vocab, k), "lda-words")
+    n_terms = vocab.count()
+    for _ in range(iterations if n_terms else 0):
+        state, words = _step(state, words, n_terms, _totals(words, k), alpha, eta, inner)
+    totals = [x or 0.0 for x in _totals(words, k)]
+    spread = F.array(*[(F.lit(eta) + F.get("counts", F.lit(i))) / F.lit(n_terms * eta + t) for i, t in enumerate(totals)])
+    topic_term = words.select("term", F.posexplode(spread).alias("topic", "weight")).select("topic", "term", "weight")
+    fitted = state.filter(F.col("row").isNotNull()).select("row", F.col("weights").alias("_shares"))
     equal = F.array_repeat(F.lit(1.0 / k), k)
-    known = F.exists(shares, lambda w: w > 0)  # MLlib gives a document without known words zeros
-    doc_topic = model.transform(counted).select(key, F.posexplode(F.when(known, shares).otherwise(equal)).alias("topic", "weight"))
-    return LdaResult(topic_term, doc_topic, vocab, model, vectors)
+    shares = materialise(
+        every.select(key, "row").join(fitted, "row", "left").select(
+            key, F.coalesce("_shares", equal).alias("shares"), F.col("_shares").isNotNull().alias("known")
+        ),
+        "lda-shares",
+    )
+    doc_topic = shares.select(key, F.posexplode("shares").alias("topic", "weight"))
+    return LdaResult(topic_term, doc_topic, shares, words, totals, n_terms, alpha, eta)
+
+
+# Documents that took no part
+
+
+def _completed(docs: pa.Table, route: pa.Table, n_terms: int, totals: np.ndarray, alpha: float, eta: float, steps: int) -> pa.Table:
+    """Topics of each document from its observed words, and the log-likelihood of the others."""
+    k = len(totals)
+    words = _word_shares(route, n_terms, totals, eta)
+    sizes, places, counts, scored = _columns(docs)
+    likelihood = np.zeros(len(sizes))
+    weights = np.full((len(sizes), k), 1.0 / k)
+    for rows, span in _slices(sizes, k):
+        for _ in range(steps):
+            _, weights[rows] = _topics_of(places[span], counts[span], sizes[rows], weights[rows], words, alpha)
+        owner = np.repeat(np.arange(rows.start, rows.stop), sizes[rows])
+        each = scored[span] * np.log((weights[owner] * words[places[span]]).sum(axis=1))
+        likelihood[rows] = np.add.reduceat(each, np.cumsum(sizes[rows]) - sizes[rows])
+    n_scored = np.add.reduceat(scored, np.cumsum(sizes) - sizes)
+    return pa.table({"row": docs.column("row"), "log_likelihood": pa.array(likelihood), "n_words": pa.array(n_scored.astype("i8"))})
+
+
+def completion(result: LdaResult, docs: DataFrame, steps: int = 20, key: str = "doc_id") -> DataFrame:
+    """``(key, log_likelihood, n_words)`` of documents that took no part in the fit.
+
+    The words at even places of ``tokens`` (from 0) tell a document's topics, in ``steps`` rounds
+    with the topics held; those at odd places are scored. Words the fit doesn't know are left
+    out of both. A document without a known word has 0 for both numbers.
+    """
+    even = _bag(F.filter("tokens", lambda w, i: i % 2 == 0))
+    odd = _bag(F.filter("tokens", lambda w, i: i % 2 == 1))
+    listed = F.concat(
+        F.transform(even, lambda b: F.struct(b["term"].alias("term"), b["n"].cast("double").alias("counts"), F.lit(0.0).alias("scored"))),
+        F.transform(odd, lambda b: F.struct(b["term"].alias("term"), F.lit(0.0).alias("counts"), b["n"].cast("double").alias("scored"))),
+    )
+    every = materialise(
+        docs.select(key, F.monotonically_increasing_id().alias("row"), listed.alias("_both")).select(
+            key, "row", *[F.col(f"_both.{old}").alias(new) for old, new in (("term", "terms"), ("counts", "counts"), ("scored", "scored"))]
+        ),
+        "held-out",
+    )
+    rows = materialise(_in_vocabulary(every.drop(key), result.words.select("term")), "held-out-rows")
+    state = _blocks(rows, "held-out-blocks")
+    work = partial(
+        _completed, n_terms=result.n_terms, totals=np.array(result.totals), alpha=result.alpha, eta=result.eta, steps=steps
+    )
+    both = state.filter(F.col("row").isNotNull()).groupBy("block").cogroup(_routed(state, result.words).groupBy("block"))
+    found = both.applyInArrow(lambda docs, route: work(docs, route), "row bigint, log_likelihood double, n_words bigint")
+    return every.select(key, "row").join(found, "row", "left").select(
+        key, F.coalesce("log_likelihood", F.lit(0.0)).alias("log_likelihood"), F.coalesce("n_words", F.lit(0)).alias("n_words")
+    )
 
 
-def perplexity(result: LdaResult) -> DataFrame:
-    """``(log_likelihood, log_perplexity)`` of the corpus, bounds by the model."""
-    spark = result.vectors.sparkSession
-    row = (result.model.logLikelihood(result.vectors), result.model.logPerplexity(result.vectors))
-    return spark.createDataFrame([row], "log_likelihood double, log_perplexity double")
+def perplexity(result: LdaResult, held_out: DataFrame, steps: int = 20, key: str = "doc_id") -> DataFrame:
+    """``(n_words, log_likelihood, log_perplexity)`` of the scored words of documents not fitted."""
+    sums = completion(result, held_out, steps, key).agg(
+        F.sum("n_words").alias("n_words"), F.sum("log_likelihood").alias("log_likelihood")
+    )
+    return sums.select("n_words", "log_likelihood", (-F.col("log_likelihood") / F.col("n_words")).alias("log_perplexity"))

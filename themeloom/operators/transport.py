@@ -20,7 +20,7 @@ class TransportResult:
     topics: DataFrame  # topic, vector
     doc_topic: DataFrame  # doc_id, topic, weight: shares of a document, summing to 1
     weights: np.ndarray  # share of the corpus each topic was asked to take
-    shares: DataFrame  # doc_id, shares in topic order
+    shares: DataFrame  # doc_id, shares in topic order, known: whether the document has a vector
 
 
 def _plan_rows(x: np.ndarray, topics: np.ndarray, scale: np.ndarray, epsilon: float) -> np.ndarray:
@@ -118,8 +118,9 @@ def _result(vectors: DataFrame, topics: np.ndarray, scale: np.ndarray, epsilon:
             yield pd.Series(list(rows), index=batch.index)
 
     moved = F.pandas_udf(plan, "array<double>").asNondeterministic()(F.col("embedding"))
-    known = vectors.filter(F.col("embedding").isNotNull()).select(key, moved.alias("shares"))
-    unknown = vectors.filter(F.col("embedding").isNull()).select(key, F.array_repeat(F.lit(1.0 / k), k).alias("shares"))
+    known = vectors.filter(F.col("embedding").isNotNull()).select(key, moved.alias("shares"), F.lit(True).alias("known"))
+    equal = F.array_repeat(F.lit(1.0 / k), k).alias("shares")
+    unknown = vectors.filter(F.col("embedding").isNull()).select(key, equal, F.lit(False).alias("known"))
     shares = known.unionByName(unknown)
     spark = vectors.sparkSession
     table = spark.createDataFrame(

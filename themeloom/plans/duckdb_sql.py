@@ -247,6 +247,35 @@ def build() -> dict[str, str]:
         ", of_b AS (SELECT b, sum(n) AS n FROM pair GROUP BY b)"
     )
 
+    held = "(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 5 = 0)"
+
+    def lda_rounds(fitted: str, rounds: int = 2) -> str:
+        """``lam`` and ``beta`` of the words, ``th`` of the documents in ``fitted``, for each round."""
+        sql = (
+            f", cf AS (SELECT term, sum(n) AS cf FROM {fitted} GROUP BY term)"
+            ", ks AS (SELECT unnest(range(8))::INTEGER AS k)"
+            ", lam0 AS (SELECT term, k, cf * (0.5 + ('0x' || substr(md5(term || ':' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE) AS l"
+            " FROM cf, ks)"
+        )
+        for r in range(rounds + 1):
+            sql += (
+                f", tot{r} AS (SELECT k, sum(l) AS s FROM lam{r} GROUP BY k)"
+                f", beta{r} AS (SELECT term, k, (0.01 + l) / (0.01 * (SELECT count(*) FROM cf) + s) AS b FROM lam{r} JOIN tot{r} USING (k))"
+            )
+            if r < rounds:
+                sql += lda_step(fitted, f"beta{r}", f"th{r}" if r else "", f"phi{r + 1}", f"th{r + 1}")
+                sql += f", lam{r + 1} AS (SELECT term, k, sum(v) AS l FROM phi{r + 1} GROUP BY ALL)"
+        return sql
+
+    def lda_step(words: str, beta: str, before: str, phi: str, after: str) -> str:
+        weight, given = ("w", f" JOIN {before} USING (doc_id, k)") if before else ("1.0::DOUBLE", "")
+        return (
+            f", {phi} AS (SELECT doc_id, term, k, n * p / sum(p) OVER (PARTITION BY doc_id, term) AS v FROM"
+            f" (SELECT doc_id, term, k, n, b * {weight} AS p FROM {words} JOIN {beta} USING (term){given}))"
+            f", {after} AS (SELECT doc_id, k, (0.1 + x) / sum(0.1 + x) OVER (PARTITION BY doc_id) AS w FROM"
+            f" (SELECT doc_id, k, sum(v) AS x FROM {phi} GROUP BY ALL))"
+        )
+
     def with_(*parts: str) -> str:
         return "WITH " + "".join(parts) + " "
 
@@ -445,6 +474,32 @@ def build() -> dict[str, str]:
         + f"SELECT source, topic, n, {shown('n / sum(n) OVER (PARTITION BY source)')} AS share FROM"
         " (SELECT source, topic, count(*) AS n FROM everyone GROUP BY ALL)"
     )
+    sql["lda_round"] = (
+        with_(terms, lda_rounds("terms"))
+        + f"SELECT doc_id, k AS topic, {shown('coalesce(w, 1.0 / 8)')} AS weight FROM documents CROSS JOIN ks"
+        " LEFT JOIN th2 USING (doc_id, k)"
+    )
+    sql["lda_round_words"] = (
+        with_(terms, lda_rounds("terms"))
+        + f"SELECT topic, rank::INTEGER AS rank, term, {shown('b')} AS weight FROM (SELECT k AS topic, term, b,"
+        " row_number() OVER (PARTITION BY k ORDER BY round(b, 9) DESC, term) AS rank FROM beta2) WHERE rank <= 20"
+    )
+    sql["lda_completion"] = (
+        with_(terms)
+        + f", fitted AS (SELECT * FROM terms WHERE NOT {held})"
+        + lda_rounds("fitted")
+        + f", kept AS (SELECT doc_id, {keep_words('tok')} AS k FROM cleaned WHERE {held})"
+        ", placed AS (SELECT doc_id, unnest(k) AS term, unnest(range(len(k))) % 2 AS odd FROM kept)"
+        ", half AS (SELECT doc_id, term, odd, count(*) AS n FROM placed WHERE length(term) >= 2 AND term IN (SELECT term FROM cf) GROUP BY ALL)"
+        ", seen AS (SELECT doc_id, term, n FROM half WHERE odd = 0)"
+        + lda_step("seen", "beta2", "", "q1", "u1")
+        + lda_step("seen", "beta2", "u1", "q2", "u2")
+        + ", chance AS (SELECT h.doc_id, term, any_value(n) AS n, sum(b * coalesce(w, 1.0 / 8)) AS p FROM half h JOIN beta2 USING (term)"
+        " LEFT JOIN u2 ON u2.doc_id = h.doc_id AND u2.k = beta2.k WHERE odd = 1 GROUP BY h.doc_id, term)"
+        ", sums AS (SELECT doc_id, sum(n * ln(p)) AS l, sum(n)::BIGINT AS n FROM chance GROUP BY doc_id)"
+        f" SELECT doc_id, {shown('coalesce(l, 0.0)')} AS log_likelihood, coalesce(n, 0) AS n_words FROM documents"
+        f" LEFT JOIN sums USING (doc_id) WHERE {held}"
+    )
     coordinates = ", ".join(
         f"sum(CASE WHEN j & {bit} = 0 THEN x ELSE -x END) / 8.0 AS x{i}" for i, bit in enumerate((1, 2, 4, 8, 16))
     )

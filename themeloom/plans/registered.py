@@ -432,8 +432,39 @@ def lda_topics(spark, folder):
     return model.keywords(5)
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """A fifth of the documents, by a hash of their id."""
+    digest = F.md5(F.col(doc_id).cast("string"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 5 == 0
+
+
 def lda_perplexity(spark, folder):
-    return lda.perplexity(lda.fit_lda(_model_docs(spark, folder)))
+    """Of documents that took no part in the fit."""
+    docs = _model_docs(spark, folder)
+    return lda.perplexity(lda.fit_lda(docs.filter(~held_out())), docs.filter(held_out()))
+
+
+ROUNDS = 2  # as many as the SQL unrolls
+
+
+def lda_round(spark, folder):
+    """Two rounds from the hashed start: the documents' shares."""
+    doc_topic = lda.fit_lda(_model_docs(spark, folder), iterations=ROUNDS, inner=1).doc_topic
+    return doc_topic.withColumn("weight", shown(F.col("weight")))
+
+
+def lda_round_words(spark, folder):
+    """Two rounds from the hashed start: the words of each topic."""
+    topic_term = lda.fit_lda(_model_docs(spark, folder), iterations=ROUNDS, inner=1).topic_term
+    return represent.top_terms(topic_term, 20, "weight").withColumn("weight", shown(F.col("weight")))
+
+
+def lda_completion(spark, folder):
+    """Two rounds on four fifths of the documents, half of the words of the others completed."""
+    docs = _model_docs(spark, folder)
+    fitted = lda.fit_lda(docs.filter(~held_out()), iterations=ROUNDS, inner=1)
+    scored = lda.completion(fitted, docs.filter(held_out()), steps=ROUNDS)
+    return scored.withColumn("log_likelihood", shown(F.col("log_likelihood")))
 
 
 def word2vec_embedding(spark, folder):
@@ -542,6 +573,9 @@ QUERIES: dict[str, Query] = {
     "lda_fit": lda_fit,
     "lda_topics": lda_topics,
     "lda_perplexity": lda_perplexity,
+    "lda_round": lda_round,
+    "lda_round_words": lda_round_words,
+    "lda_completion": lda_completion,
     "word2vec_embedding": word2vec_embedding,
     "embedding_pca": embedding_pca,
     "density_cluster": density_cluster,
