@@ -83,43 +83,78 @@ def numbered(clusters, points, min_size=2):
     return topics
 
 
-def stable_clusters(points, min_size, finest, levels):
-    """The merge tree as nested Python objects, then the best cut of it."""
+def whole(points):
+    lows = [min(x) for x in zip(*points.values())]
+    extent = max(max(x) - min(x) for x in zip(*points.values())) or 1.0
+    return {k: [min(math.floor((x - low) / extent * 2.0**40), 2**40 - 1) for x, low in zip(p, lows)] for k, p in points.items()}
+
+
+def pair_levels(points):
+    """For every pair the finest level at which a cell of one of the shifted trees holds both."""
+    placed = whole(points)
+    shifts = 2 * math.ceil(len(next(iter(points.values()))) / 2) + 1
+    step = 2**40 // shifts
+    return {
+        (a, b): max(
+            41 - max(((x + s * step) ^ (y + s * step)).bit_length() for x, y in zip(placed[a], placed[b])) for s in range(shifts)
+        )
+        for a, b in itertools.combinations(points, 2)
+    }
+
+
+def stable_clusters(points, min_size):
+    """The merge tree as nested Python objects, then the best cut of it: (members, {member: strength})."""
+    levels = pair_levels(points)
+    finest = max([level for level in levels.values() if level <= 40], default=0)
     live = {}  # group -> cluster
-    sets = Sets()
-    for level in range(levels):
-        side = finest * 2**level
-        groups, sets = groups_at(points, side, sets)
+    groups = []
+    came = {}  # point -> side at which it came to a cluster
+    for level in range(finest, 0, -1):
+        side = 2.0 ** (1 - level)
+        sets = Sets()
+        for (a, b), shared in levels.items():
+            if shared >= level:
+                sets.join(a, b)
+        found = defaultdict(set)
+        for k in points:
+            found[sets.find(k)].add(k)
+        groups = list(found.values())
         new = {}
         for members in groups:
             inside = [c for g, c in live.items() if set(g) <= members]
             gain = len(members) / (2 * side)
             if len(members) < min_size:
                 continue
+            for k in members:
+                came.setdefault(k, side)
             if len(inside) == 1:
                 cluster = inside[0]
                 cluster["stability"] += gain
                 cluster["members"] = members
             else:
-                cluster = {"stability": gain, "members": members, "inside": inside}
+                cluster = {"stability": gain, "members": members, "inside": inside, "born": side}
             new[frozenset(members)] = cluster
         live = new
-    n_groups = len(groups)
+        if len(groups) == 1:
+            break
 
     def best(cluster):
         parts = [best(c) for c in cluster["inside"]]
         below = sum(p[0] for p in parts)
         if cluster["stability"] >= below:
-            return cluster["stability"], [cluster["members"]]
+            return cluster["stability"], [cluster]
         return below, [m for p in parts for m in p[1]]
 
     chosen = []
     for cluster in live.values():
-        if n_groups > 1:
+        if len(groups) > 1:
             chosen += best(cluster)[1]
         else:
             chosen += [m for c in cluster["inside"] for m in best(c)[1]]
-    return chosen
+    strength = {k: 0.0 for k in points}
+    for c in chosen:
+        strength.update({k: c["born"] / max(came[k], c["born"]) for k in c["members"]})
+    return [c["members"] for c in chosen], strength
 
 
 def cloud(seed, d=2):
@@ -142,21 +177,36 @@ def test_groups_at_one_scale(spark, any_join, side):
     assert found == {**numbered(groups_at(points, side)[0], points), 500: -1}
 
 
+def clustered(spark, points, min_size=2, extra=()):
+    rows = density.density_clusters(frame(spark, points, extra), min_size).collect()
+    assert len(rows) == len(points) + len(extra)
+    return {r["doc_id"]: r["topic"] for r in rows}, {r["doc_id"]: r["strength"] for r in rows}
+
+
 @pytest.mark.parametrize("seed, d, min_size", [(2, 3, 2), (3, 2, 5)])
 def test_stable_clusters(spark, seed, d, min_size):
     points = cloud(seed, d)
-    found = density.density_clusters(frame(spark, points, [500]), min_size, finest=1 / 32, levels=6).collect()
-    expected = numbered(stable_clusters(points, min_size, 1 / 32, 6), points, min_size)
-    assert {r["doc_id"]: r["topic"] for r in found} == {**expected, 500: -1}
-    assert len(set(expected.values())) > 2
+    topics, strength = clustered(spark, points, min_size, [500])
+    groups, expected = stable_clusters(points, min_size)
+    assert topics == {**numbered(groups, points, min_size), 500: -1}
+    assert strength == pytest.approx({**expected, 500: 0.0})
+    assert len(set(topics.values())) > 2
+    for topic in set(topics.values()) - {-1}:
+        assert max(strength[k] for k, t in topics.items() if t == topic) == 1.0
 
 
 def test_stable_clusters_salted(spark, monkeypatch):
     monkeypatch.setattr(joins, "PLAIN_ROWS", -1)
     points = cloud(4)
-    found = density.density_clusters(frame(spark, points), 2, finest=1 / 8, levels=3).collect()
-    expected = numbered(stable_clusters(points, 2, 1 / 8, 3), points)
-    assert {r["doc_id"]: r["topic"] for r in found} == expected
+    topics, _ = clustered(spark, points)
+    assert topics == numbered(stable_clusters(points, 2)[0], points)
+
+
+def test_scale_is_that_of_the_data(spark):
+    points = cloud(5)
+    found = clustered(spark, points)
+    for factor in (2.0**-7, 2.0**7):
+        assert clustered(spark, {k: tuple(x * factor + 0.0 for x in p) for k, p in points.items()}) == found
 
 
 def test_linked_points_are_near_and_near_points_linked(spark):
@@ -173,10 +223,10 @@ def test_linked_points_are_near_and_near_points_linked(spark):
     assert density.linked_groups(frame(spark, {1: (0.0, 0.0), 2: (5.0, 5.0)}), 0.3).filter("topic <> -1").isEmpty()
 
 
-def test_every_point_an_outlier(spark):
-    points = {i: (float(10 * i), 0.0) for i in range(5)}
-    found = density.density_clusters(frame(spark, points), levels=2).collect()
-    assert {r["topic"] for r in found} == {-1} and len(found) == 5
+@pytest.mark.parametrize("points", [{1: (0.0, 0.0), 2: (7.0, 1.0)}, {i: (3.0, 4.0) for i in range(6)}, {1: (1.0,)}])
+def test_one_group_of_all_is_no_cluster(spark, points):
+    topics, strength = clustered(spark, points)
+    assert set(topics.values()) == {-1} and set(strength.values()) == {0.0}
 
 
 def test_no_vectors_at_all(spark):

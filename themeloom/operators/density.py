@@ -1,28 +1,37 @@
 """Density clustering of points in a few dimensions, without distances between pairs.
 
-Single linkage at doubling scales. At side ``s`` two points are linked when they share a
-cell in one of ``d + 1`` grids of that side, shifted along the diagonal by ``s / (d + 1)``
-each: points closer than ``s / (d + 1)`` in every coordinate always share one, points
-further apart than ``s`` in some coordinate never do. Going from fine to coarse, groups
-merge into larger groups; the tree of merges is then cut where clusters are most stable
-(excess of mass).
-
-Work is per occupied cell, never per pair: copies and crowds fall into one cell and count
-once. Every step is an aggregate with map-side combine or a salted lookup, so one huge
-cluster does not end up in one task.
+``linked_groups`` is single linkage at one scale: two points are linked when they share a cell
+in one of ``d + 1`` grids of that side, shifted along the diagonal.
+
+``density_clusters`` takes its scales from the data. The extent of the points is halved again
+and again, so the cells of all scales form a tree; ``D + 1`` such trees (``D`` the even number
+from ``d`` on) are shifted along the diagonal by ``1 / (D + 1)`` of the extent each, which brings
+near points into one cell of a size near their distance in at least one of them. Along the
+bits of its coordinates, interleaved, every cell of a tree is one run of points, so the links of
+a tree at all scales are those between neighbours in that order, each as strong as the finest
+cell that holds both. The components of all scales come out of one loop. Going from fine to
+coarse, groups merge into larger groups; the tree of merges is then cut where clusters are most
+stable (excess of mass).
+
+No pair of points is formed but that of neighbours, and copies count once. Every step is a range
+sort, an aggregate with map-side combine or a salted lookup, so one huge cluster does not end up
+in one task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from themeloom.functions.vectors import vector_function
 from themeloom.operators.joins import lookup
 from themeloom.session import dense_ids, materialise, materialise_counted
 
 OUTLIER = -1
-FINEST_SIDE = 1 / 64
-LEVELS = 7
+BITS = 40  # of a coordinate, the extent being 1: doubles of this size tell no more apart
+PLACES = 1 << 40  # ids of points at one scale
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -91,8 +100,8 @@ def _dimension(points: DataFrame, coordinates: str) -> int:
     return row["d"] if row else 0
 
 
-def numbered(members: DataFrame, key: str, group: str, min_size: int, rows: int) -> DataFrame:
-    """``(key, topic)``: groups numbered from 0 by size, then by smallest member.
+def numbered(members: DataFrame, key: str, group: str, min_size: int, rows: int, *carry: str) -> DataFrame:
+    """``(key, topic)`` and ``carry``: groups numbered from 0 by size, then by smallest member.
 
     No group, or one with fewer than ``min_size`` members, is -1.
     """
@@ -103,7 +112,7 @@ def numbered(members: DataFrame, key: str, group: str, min_size: int, rows: int)
         .filter(F.col("n") >= min_size)
     )
     topics = dense_ids(sizes, [F.desc("n"), F.col("first")], "topic").select(group, F.col("topic").cast("int").alias("topic"))
-    return lookup(members, topics, [group], key, rows).select(key, F.coalesce("topic", F.lit(OUTLIER)).alias("topic"))
+    return lookup(members, topics, [group], key, rows).select(key, F.coalesce("topic", F.lit(OUTLIER)).alias("topic"), *carry)
 
 
 def linked_groups(points: DataFrame, side: float, min_size: int = 2, key: str = "doc_id", coordinates: str = "reduced") -> DataFrame:
@@ -123,32 +132,84 @@ def linked_groups(points: DataFrame, side: float, min_size: int = 2, key: str =
     return found.unionByName(rest)
 
 
-def density_clusters(
-    points: DataFrame,
-    min_size: int = 2,
-    key: str = "doc_id",
-    coordinates: str = "reduced",
-    finest: float = FINEST_SIDE,
-    levels: int = LEVELS,
-) -> DataFrame:
-    """``(key, topic)``: the most stable clusters over all scales; -1 for what is in none.
+def _placed(points: DataFrame, coordinates: str, d: int) -> DataFrame:
+    """Add ``atom``: whole coordinates of ``BITS`` bits, the widest dimension spanning them all."""
+    at = [F.get(coordinates, F.lit(i)) for i in range(d)]
+    bounds = points.agg(*[f(x) for x in at for f in (F.min, F.max)]).head()
+    lows = list(bounds[::2])
+    extent = max((high - low for low, high in zip(lows, bounds[1::2]) if low is not None), default=0.0) or 1.0
+    whole = [F.least(F.floor((x - F.lit(low)) / F.lit(extent) * F.lit(2.0**BITS)), F.lit(2**BITS - 1)) for x, low in zip(at, lows)]
+    return points.withColumn("atom", F.array(*[w.cast("bigint") for w in whole]))
+
+
+def _interleaved(atoms: pa.Array) -> pa.Array:
+    """The bits of all coordinates in turn, the highest of each first."""
+    n = len(atoms)
+    numbers = atoms.flatten().to_numpy(zero_copy_only=False).astype(">u8").reshape(n, -1)
+    bits = np.unpackbits(numbers.view("u1").reshape(n, numbers.shape[1], 8), axis=2)[:, :, 63 - BITS :]
+    packed = np.packbits(bits.transpose(0, 2, 1).reshape(n, -1), axis=1)
+    return pa.array([row.tobytes() for row in packed], pa.binary())
+
+
+def _neighbours(items: DataFrame, d: int) -> DataFrame:
+    """``(a, b, level)``: neighbours in the order of a tree, and the finest level whose cell holds both.
+
+    Level 1 has cells of the whole extent, each further level cells of half the side.
+    """
+    shifts = 2 * -(-d // 2) + 1
+    step = 2**BITS // shifts
+    trees = items.select("item", "atom", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))).alias("tree"))
+    moved = F.transform("atom", lambda x: x + F.col("tree") * F.lit(step)).alias("atom")
+    coded = trees.select("item", "tree", moved).withColumn("code", vector_function("binary")(_interleaved)(F.col("atom")))
+    ordered = dense_ids(coded, [F.col("tree"), F.col("code")], "place").drop("code")
+    ordered = materialise(ordered, "neighbours")
+    after = ordered.select(
+        (F.col("place") - 1).alias("place"), "tree", F.col("item").alias("b"), F.col("atom").alias("_atom")
+    )
+    differ = F.array_max(F.zip_with("atom", "_atom", lambda x, y: x.bitwiseXOR(y)))
+    level = F.lit(BITS + 1) - F.when(differ == 0, 0).otherwise(F.length(F.bin(differ)))
+    return ordered.join(after, ["place", "tree"]).select(F.col("item").alias("a"), "b", level.alias("level"))
+
+
+def _groups_of_all_levels(items: DataFrame, d: int) -> tuple[DataFrame, int]:
+    """``(level, comp, root)`` of every item linked to another one at a level, and the finest such level."""
+    finest = Observation()
+    links = _neighbours(items, d).filter("level >= 1").groupBy("a", "b").agg(F.max("level").alias("level"))
+    links = materialise(links.observe(finest, F.max("level").alias("level")), "links")
+    at = F.col("at").cast("bigint") * PLACES
+    edges = links.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("level")))).select(
+        (at + F.col("a")).alias("a"), (at + F.col("b")).alias("b")
+    )
+    labels = components(edges)
+    level = F.floor(F.col("id") / PLACES).cast("int")
+    split = labels.select(level.alias("level"), (F.col("id") % PLACES).alias("comp"), (F.col("label") % PLACES).alias("root"))
+    return split, finest.get["level"] or 0
+
+
+def density_clusters(points: DataFrame, min_size: int = 2, key: str = "doc_id", coordinates: str = "reduced") -> DataFrame:
+    """``(key, topic, strength)``: the most stable clusters over all scales; -1 for what is in none.
 
     A group with ``min_size`` points is a cluster; it lives from the scale where it forms
     until it merges with another cluster, gaining ``points / (2 * side)`` of stability per
-    scale. A cluster is kept when that is at least what the clusters inside it gain.
+    scale. A cluster is kept when that is at least what the clusters inside it gain. The group
+    of all points is none. Scales are those of the data: points a hundred times as far apart
+    give the same clusters.
+
+    ``strength`` says how early a point belonged: the side at which the cluster formed, over the
+    side at which the point came to a cluster; 1 for those in at its start, 0 for outliers.
     """
     points = materialise(points.select(key, coordinates), "coordinates")
     d = _dimension(points, coordinates)
+    outlier = [F.lit(OUTLIER).alias("topic"), F.lit(0.0).alias("strength")]
     if d == 0:
-        return points.select(key, F.lit(OUTLIER).alias("topic"))
-    placed = _atoms(points.filter(F.col(coordinates).isNotNull()).select(key, coordinates), coordinates, finest, d)
+        return points.select(key, *outlier)
+    placed = _placed(points.filter(F.col(coordinates).isNotNull()).select(key, coordinates), coordinates, d)
     placed, n_points = materialise_counted(placed.select(key, "atom"), "points")
-    # The number of items bounds the groups, their places and the clusters.
-    items, n_items = materialise_counted(
-        placed.groupBy("atom").agg(F.min(key).alias("item"), F.count("*").alias("n")), "items"
-    )
+    # The number of items bounds the groups and the clusters.
+    items = placed.groupBy("atom").agg(F.min(key).alias("first"), F.count("*").alias("n"))
+    items, n_items = materialise_counted(dense_ids(items, [F.col("first")], "item").drop("first"), "items")
+    labels, finest = _groups_of_all_levels(items, d)
 
-    places = items.select(F.col("item").alias("comp"), "atom")
     groups = items.select(
         F.col("item").alias("comp"),
         "n",
@@ -156,32 +217,30 @@ def density_clusters(
         F.lit(0.0).alias("stability"),
         F.lit(0.0).alias("inside"),
     )
+    n_groups = n_items
     parts = []
-    for level in range(levels):
-        side = finest * 2**level
-        if level:
-            coarser = F.transform("atom", lambda x: F.floor(x / 2)).alias("atom")
-            places = materialise(places.select("comp", coarser).distinct(), "places")
-        merged = components(_links(places, d)).select(F.col("id").alias("comp"), F.col("label").alias("root"))
+    for step, level in enumerate(range(finest, 0, -1)):
+        merged = labels.filter(F.col("level") == level).select("comp", "root")
         joined = groups.join(merged, "comp", "left").withColumn("root", F.coalesce("root", "comp"))
-        groups, n_groups = materialise_counted(_grown(joined, level, side, min_size), "groups")
+        groups, n_groups = materialise_counted(_grown(joined, step, 2.0 ** (1 - level), min_size), "groups", n_groups)
         now_in = groups.select(F.col("comp").alias("root"), F.col("node").alias("parent"))
-        parts.append(_branches(lookup(joined, now_in, ["root"], "comp", n_items)))
+        parts.append(_branches(lookup(joined, now_in, ["root"], "comp", n_items), step))
         if n_groups == 1:
             break
-        of_atom = places.withColumn("_row", F.xxhash64("atom"))
-        places = lookup(of_atom, merged, ["comp"], "_row", n_items).select(F.coalesce("root", "comp").alias("comp"), "atom")
 
     # What is left at the coarsest scale; a group that holds everything is no cluster.
     left_over = groups.withColumn("root", F.lit(None).cast("bigint")).withColumn("parent", F.lit(None).cast("string"))
-    tree = _branches(left_over).withColumn("kept", F.col("kept") & F.lit(n_groups > 1))
+    tree = _branches(left_over, finest).withColumn("kept", F.col("kept") & F.lit(n_groups > 1))
     for part in parts:
         tree = tree.unionByName(part)
-    chosen = _topmost(tree, levels, 2 * n_items)
-    atoms = items.select("atom", _lone(F.col("item")).alias("node")).join(chosen, "node").select("atom", "cluster")
-    members = materialise(lookup(placed, atoms, ["atom"], key, n_points).select(key, "cluster"), "members")
-    rest = points.filter(F.col(coordinates).isNull()).select(key, F.lit(OUTLIER).alias("topic"))
-    return numbered(members, key, "cluster", min_size, n_points).unionByName(rest)
+    chosen = _topmost(tree, finest + 1, 2 * n_items)
+    born = F.split("cluster", ":")[0].cast("int")
+    strength = F.pow(F.lit(2.0), -F.greatest(F.col("joined") - born, F.lit(0)).cast("double"))
+    atoms = items.select("atom", _lone(F.col("item")).alias("node")).join(chosen, "node").select("atom", "cluster", strength.alias("strength"))
+    members = materialise(lookup(placed, atoms, ["atom"], key, n_points).select(key, "cluster", "strength"), "members")
+    rest = points.filter(F.col(coordinates).isNull()).select(key, *outlier)
+    found = numbered(members, key, "cluster", min_size, n_points, "strength")
+    return found.withColumn("strength", F.when(F.col("topic") == OUTLIER, 0.0).otherwise(F.col("strength"))).unionByName(rest)
 
 
 def _lone(comp: Column) -> Column:
@@ -189,15 +248,17 @@ def _lone(comp: Column) -> Column:
     return F.concat(F.lit("."), comp.cast("string"))
 
 
-def _branches(joined: DataFrame) -> DataFrame:
-    """``(node, parent, kept)`` of the groups that became part of another one at some scale.
+def _branches(joined: DataFrame, step: int) -> DataFrame:
+    """``(node, parent, kept, joined)`` of the groups that became part of another one at some scale.
 
-    ``joined`` holds the groups before, with the ``root`` they are now in and its cluster.
+    ``joined`` holds the groups before, with the ``root`` they are now in and its cluster; the
+    column ``joined`` is the step at which a group came to a cluster.
     """
     return joined.select(
         F.coalesce("node", _lone(F.col("comp"))).alias("node"),
         F.coalesce("parent", _lone(F.col("root"))).alias("parent"),
         (F.col("node").isNotNull() & (F.col("stability") >= F.col("inside"))).alias("kept"),
+        F.when(F.col("parent").isNotNull(), F.lit(step)).alias("joined"),
     ).filter(F.col("parent").isNull() | (F.col("node") != F.col("parent")))
 
 
@@ -228,18 +289,22 @@ def _grown(joined: DataFrame, level: int, side: float, min_size: int) -> DataFra
 
 
 def _topmost(tree: DataFrame, levels: int, rows: int) -> DataFrame:
-    """``(node, cluster)``: the highest kept cluster among a node and the ones around it."""
+    """``(node, cluster, joined)``: the highest kept cluster among a node and the ones around it, and the
+    step at which the node came to any."""
     found = materialise(
-        tree.select("node", F.col("parent").alias("up"), F.when(F.col("kept"), F.col("node")).alias("cluster")), "tree"
+        tree.select("node", F.col("parent").alias("up"), F.when(F.col("kept"), F.col("node")).alias("cluster"), "joined"), "tree"
     )
     reach = 1
     while reach <= levels:
-        above = found.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("cluster").alias("_cluster"))
+        above = found.select(
+            F.col("node").alias("up"), F.col("up").alias("_up"), F.col("cluster").alias("_cluster"), F.col("joined").alias("_joined")
+        )
         found = materialise(
             lookup(found, above, ["up"], "node", rows).select(
-                "node", F.col("_up").alias("up"), F.coalesce("_cluster", "cluster").alias("cluster")
+                "node", F.col("_up").alias("up"), F.coalesce("_cluster", "cluster").alias("cluster"),
+                F.coalesce("joined", "_joined").alias("joined"),
             ),
             "tree",
         )
         reach *= 2
-    return found.select("node", "cluster")
+    return found.select("node", "cluster", "joined")
