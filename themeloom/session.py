@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
-
+_stages: dict[str, str] = {}  # the folder of the stage that each application is in
 
 ROWS_PER_FILE = 100_000  # of a stored table whose rows are few and narrow
 
@@ -59,18 +59,45 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
-def materialise(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a stored table or a folder of them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def begin_stage(spark: SparkSession, name: str) -> None:
+    """Tables stored from now on belong to a stage of this name; those of the stage before are deleted.
+
+    For jobs in steps that write a result each: nothing that reads the tables of a stage may be
+    left when the next one begins. Tables stored outside any stage stay.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _stages:
+        forget(spark, _stages[app])
+    _stages[app] = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def end_stages(spark: SparkSession) -> None:
+    """Delete the tables of the last stage and store what follows outside any."""
+    path = _stages.pop(spark.sparkContext.applicationId, None)
+    if path is not None:
+        forget(spark, path)
+
+
+def materialise(df: DataFrame, name: str, most: int | None = None, staged: bool = True) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back.
 
     Cuts lineage like a checkpoint does, and the table read back has a known size, so that
     later joins on it are planned from facts; columns not needed are not read. ``most`` is a
     bound of its rows if the caller knows one: few narrow rows go into few files, where a
-    file for each shuffle partition would cost more than the rows.
+    file for each shuffle partition would cost more than the rows. The table goes when the
+    stage it belongs to ends (``begin_stage``), unless ``staged`` is False.
     """
     spark = df.sparkSession
     if most is not None:
         df = df.coalesce(most // ROWS_PER_FILE + 1)
-    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = _stages.get(spark.sparkContext.applicationId) if staged else None
+    path = f"{folder or scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
