@@ -40,11 +40,16 @@ FOLDS, HELD_OUT = 4, 2
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """``(text, y, mix)`` of the labelled rows; ``mix`` is a hash of the text for sampling."""
+    """``(text, y, mix, digest)`` of the labelled rows; ``mix`` is a hash of the text for sampling.
+
+    Both hashes are made before the join, so that whoever needs only them moves no text.
+    """
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
-    return docs.select("doc_id", full_text("text").alias("text")).join(known, F.col("doc_id") == F.col("_id")).select(
-        "text", "y", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)).alias("mix")
+    text = full_text("text")
+    hashed = docs.select("doc_id", text.alias("text")).select(
+        "doc_id", "text", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)).alias("mix"), _digest("text").alias("digest")
     )
+    return hashed.join(known.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "y", "mix", "digest")
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -110,8 +115,8 @@ def _curve(margin: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[fl
 def sampled(rows: DataFrame, texts: DataFrame, wanted: int) -> DataFrame:
     """``(text, mix, n0, n1, in0, in1)``: of each class the ``wanted`` distinct texts with the smallest hashes.
 
-    ``texts(digest, mix, n0, n1)`` are the distinct texts of ``rows(text)`` with their rows of each
-    class; ``in0`` and ``in1`` say for which class a text was drawn.
+    ``texts(digest, mix, n0, n1)`` are the distinct texts with their labelled rows of each class, and
+    ``rows(text)`` any rows that hold these texts; ``in0`` and ``in1`` say for which class a text was drawn.
     """
     picked = [texts.filter(F.col(f"n{y}") > 0).orderBy("mix", "digest").limit(wanted).withColumn("of", F.lit(y)) for y in (0, 1)]
     chosen = picked[0].union(picked[1]).groupBy("digest", "mix", "n0", "n1").agg(*[F.max((F.col("of") == y).cast("int")).alias(f"in{y}") for y in (0, 1)])
@@ -128,11 +133,15 @@ def _digest(text: str) -> Column:
 def distinct_texts(rows: DataFrame) -> DataFrame:
     """``(digest, mix, n0, n1)``: the distinct texts of ``rows(text, y, mix)`` with their rows of each class."""
     counts = [F.count(F.when(F.col("y") == y, 1)).alias(f"n{y}") for y in (0, 1)]
-    return materialise(rows.groupBy(_digest("text").alias("digest"), "mix").agg(*counts), "texts")
+    digest = F.col("digest") if "digest" in rows.columns else _digest("text")
+    return materialise(rows.groupBy(digest.alias("digest"), "mix").agg(*counts), "texts")
 
 
-def fit(rows: DataFrame) -> Model:
-    """A model of ``rows(text, y, mix)``."""
+def fit(rows: DataFrame, docs: DataFrame | None = None) -> Model:
+    """A model of ``rows(text, y, mix)``; the texts of its sample are read from ``docs(text)`` if given.
+
+    Labelled texts are moved once, to be counted by class.
+    """
     texts = distinct_texts(rows)
     size = texts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).head()
     n0, n1 = size["n0"] or 0, size["n1"] or 0
@@ -150,7 +159,8 @@ def fit(rows: DataFrame) -> Model:
             features = [ngrams(t, BITS).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("mix", "n0", "n1", "in0", "in1")), pa.array(features, pa.binary())], ["mix", "n0", "n1", "in0", "in1", "held"])
 
-    chosen = sampled(rows, texts, wanted).mapInArrow(held, "mix bigint, n0 bigint, n1 bigint, in0 int, in1 int, held binary")
+    source = rows if docs is None else docs.select(full_text("text").alias("text"))
+    chosen = sampled(source, texts, wanted).mapInArrow(held, "mix bigint, n0 bigint, n1 bigint, in0 int, in1 int, held binary")
     got = sorted(chosen.collect(), key=lambda r: (r["mix"], r["held"]))  # 2 * wanted rows at most
     parts = {y: [(np.frombuffer(r["held"], "<i4"), r[f"n{y}"], y) for r in got if r[f"in{y}"]] for y in (0, 1)}
     cut = {y: max(1, (2 * len(parts[y])) // 3) for y in (0, 1)}
@@ -191,13 +201,13 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
     """The rows of ``docs`` whose text scores ``least`` or more; the same columns."""
-    score: Column = scored(fit(training_rows(docs, labels)), docs.sparkSession)(F.col("text"))
+    score: Column = scored(fit(training_rows(docs, labels), docs), docs.sparkSession)(F.col("text"))
     return docs.filter(score >= least)
 
 
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    model = fit(training_rows(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+    model = fit(training_rows(docs, spark.read.parquet(f"{folder}/labels.parquet")), docs)
     score = scored(model, spark)(F.col("text"))
     return docs.select("doc_id", in_fold("doc_id", FOLDS, HELD_OUT).alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= KEEP).cast("int")
