@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 STEMS = (4, 5, 6, 7, 8)  # letters of a word that count as its stem
 KEPT = 600_000  # words that a task remembers something of
+KEPT_HASHES = 150_000  # words whose hash it remembers; another one costs little
 
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         value = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-        if len(self) < KEPT:
+        if len(self) < KEPT_HASHES:
             self[word] = value
         return value
 

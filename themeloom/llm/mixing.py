@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import documents, fresh, full_text
+from themeloom.llm.common import documents, fresh, full_text, with_row_ids
 from themeloom.operators.joins import lookup, small_lookup
 from themeloom.session import dense_ids, materialise, materialise_counted
 
@@ -173,12 +173,12 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     ``docs`` has ``doc_id``, ``source`` and ``text``.
     """
     rid = fresh(docs, "_rid")
-    stored = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "unmixed")
+    stored = with_row_ids(docs, rid)
     sized = stored.select(F.col(rid).alias("rid"), "doc_id", F.col("source").cast("string").alias("source"), words("text").alias("size"))
     copies = mix(sized, **options).filter("copies > 0").select(F.col("rid").alias(rid), F.col("copies").alias(fresh(docs, "_copies")))
     count = copies.columns[1]
     again = F.explode(F.array_repeat(F.lit(0), F.col(count).cast("int"))).alias(fresh(docs, "_again"))
-    return stored.join(copies, rid).select(*docs.columns, again).select(*docs.columns)
+    return stored.join(copies.hint("merge"), rid).select(*docs.columns, again).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import documents, fresh, full_text
+from themeloom.llm.common import documents, fresh, full_text, with_row_ids
 from themeloom.llm.features import _hashes
 from themeloom.llm.links import linked_components, shared_buckets
 from themeloom.llm.token_counts import in_bytes
@@ -185,10 +185,11 @@ def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` with one row of each class; the same columns."""
     rid = fresh(docs, "_rid")
-    stored = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "copies")
+    stored = with_row_ids(docs, rid)
     classes = near_classes(stored.select(F.col(rid).alias("doc_id"), "text"), least)
     kept = classes.filter("doc_id = class_id").select(F.col("doc_id").alias(rid))
-    return stored.join(kept, rid, "left_semi").select(*docs.columns)
+    # Both sides are moved at every size; a broadcast would stop being one as the rows grow.
+    return stored.join(kept.hint("merge"), rid, "left_semi").select(*docs.columns)
 
 
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

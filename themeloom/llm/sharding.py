@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions.arrays import let
-from themeloom.llm.common import documents, fresh, full_text, utf8_crc32
-from themeloom.session import dense_ids, materialise
+from themeloom.llm.common import documents, fresh, full_text, utf8_crc32, with_row_ids
+from themeloom.session import dense_ids
 
 ROUNDS = 6
 WALK = 8  # passes through the network in one expression; the rest is walked in further ones
@@ -124,11 +124,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = SEED) -> DataF
     """
     docs = docs.drop("shard", "slot")
     rid = fresh(docs, "_rid")
-    stored = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "unsharded")
+    stored = with_row_ids(docs, rid)
     text = full_text("text")
     narrow = stored.select("doc_id", utf8_crc32(text).alias("crc"), F.col(rid).alias("rid"))
     placed = shard(narrow, ["doc_id", "crc", "rid"], shards, seed).select(F.col("rid").alias(rid), "shard", "slot")
-    return stored.join(placed, rid).select(*docs.columns, "shard", "slot")
+    return stored.join(placed.hint("merge"), rid).select(*docs.columns, "shard", "slot")
 
 
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:

@@ -262,7 +262,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     """A classifier of ``docs(doc_id, text)``, trained outside the held-out fold."""
     rows = docs.select("doc_id", full_text("text").alias("text"))
     known = materialise(known_labels(labels), "known")
-    counts, low, strength = marking(rows.join(known, "doc_id").select("text", F.col("label").cast("double").alias("weight")))
+    # Labels are of the training fold, so only its texts are moved, and at every size in the same way.
+    training = rows.filter(~in_fold("doc_id", FOLDS, HELD_OUT)).join(known.hint("merge"), "doc_id")
+    counts, low, strength = marking(training.select("text", F.col("label").cast("double").alias("weight")))
     voters = Voters(induced_lists(low))
     model = label_model(rows, known, voters)
     best = np.argsort(-strength, kind="stable")[:SELECTED]
