@@ -87,7 +87,7 @@ def test_lda(docs):
     assert a == pytest.approx(b, rel=1e-6)
 
 
-def planted(spark, seed=3, n=240, k=3, start=0):
+def planted(spark, seed=3, n=150, k=3, start=0):
     """Documents of two topics each; topics have words of their own and share some."""
     rng = random.Random(seed)
     words = [[f"t{t}w{i}" for i in range(30)] for t in range(k)]
@@ -102,7 +102,7 @@ def planted(spark, seed=3, n=240, k=3, start=0):
 def test_lda_finds_planted_topics(spark, monkeypatch, pairs):
     monkeypatch.setattr(lda, "WORDS_PER_BLOCK", pairs)
     monkeypatch.setattr(lda, "CELLS", 600)
-    fitted = lda.fit_lda(planted(spark), k=3, iterations=20)
+    fitted = lda.fit_lda(planted(spark), k=3, iterations=12)
     best = {r["doc_id"]: max(range(3), key=lambda t: r["shares"][t]) for r in fitted.shares.collect()}
     pairs = {(d % 3, t) for d, t in best.items()}
     assert len(pairs) == 3 and len({t for _, t in pairs}) == 3
