@@ -98,6 +98,37 @@ def test_mix_misses_by_less_than_a_document(spark):
         assert abs(r["t"] - r["g"]) < 205
 
 
+def test_short_documents_carry_the_rest(spark):
+    """Long documents and short ones in each source: no source misses by more than a short one."""
+    lengths = [4000, 1500, 900, 350] + [20 + i for i in range(100)] + [5 + i % 9 for i in range(40)]
+    rows = [(1000 * s + i, 1000 * s + i, f"s{s}", n) for s in range(20) for i, n in enumerate(lengths)]
+    frame = spark.createDataFrame(rows, "rid bigint, doc_id bigint, source string, size bigint")
+    for seed in range(3):
+        out = mixing.mix(frame, weights=(3, 1, 2, 5), share=0.7, seed=seed)
+        out = out.join(frame.select("rid", "source"), "rid").groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g"))
+        missed = [abs(r["t"] - r["g"]) for r in out.collect()]
+        assert max(missed) < 15, max(missed)
+
+
+def test_sharing_out_keeps_sums_and_expectations():
+    size, part = [100, 9, 0, 8, 7, 30] + [20] * 20, [0.3, 0.2, 0.5, 0.9, 1.0, 0.5] + [0.4] * 20
+    words = sum(s * p for s, p in zip(size, part))
+    for value, wanted in ((0.1, 1), (0.9, 0)):
+        moved = list(part)
+        assert mixing._shared_out(size, moved, 1, 0.3, 100, lambda: value) == wanted
+        assert sum(s * p for s, p in zip(size[1:], moved[1:])) + 100 * wanted == pytest.approx(words)
+        assert moved[2] == 0.5 and moved[4] == 1.0 and all(0 <= p <= 1 for p in moved)
+        expected = [0.3 * a + 0.7 * b for a, b in zip(*(_after(size, part, v) for v in (0.1, 0.9)))]
+        assert expected[1:] == pytest.approx(part[1:])
+    assert mixing._shared_out(size, list(part), 24, 0.3, 100, lambda: 0.1) is None
+
+
+def _after(size, part, value):
+    moved = list(part)
+    mixing._shared_out(size, moved, 1, 0.3, 100, lambda: value)
+    return moved
+
+
 def test_rows_of_one_id_are_dealt_to_several_blocks(spark, monkeypatch):
     largest = []
     real = mixing.rounded

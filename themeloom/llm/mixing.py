@@ -6,7 +6,10 @@ moved at random from one to the other, so that expectations hold and the sum of
 exactly the same, until one of the two is 0 or 1. Blocks of documents are worked through side
 by side; each leaves one document undecided, and these are paired again, block by block, up a
 tree until one per source is left, whose last fraction is drawn. A source's taken words
-therefore miss its target by less than one document.
+therefore miss its target by less than one document, and that a short one where there are short
+ones: documents of like length are paired, long before short, and one that only much shorter
+ones are left for is drawn at once, the words it takes too many or too few being shared out over
+all of these, in proportion to what each can bear. Expectations and sums hold in this step too.
 
 Nulls: a null source is a source of its own, ranked last; a null text has no words. Documents
 without words take none. Repeated rows are documents of their own. An empty table gives an
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +37,7 @@ CAP = 2.0  # copies at most
 BLOCK = 2_048  # documents paired in one task step
 REPEATS = 128  # rows of one id from which on they are dealt to blocks by their numbers too
 BRANCH = 64  # blocks that meet in one block of the next level
+LONGER = 2  # times the next document's length from which on a document isn't paired with it
 SEED = 7
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -73,14 +78,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 def _paired(rows: pd.DataFrame, level: int, seed: int, last: bool) -> pd.DataFrame:
     """Round the fractions of one block; all but one row end with ``part`` 0."""
-    # Long documents first: what is left undecided at the end is then a short one.
     rows = rows.sort_values(["size", "doc_id", "rid"], ascending=[False, True, True], kind="stable", na_position="first")
     head = rows.iloc[0]
     draw = random.Random(f"{seed}/{head['source']}/{level}/{head['block']}").random
     size, part = rows["size"].tolist(), rows["part"].tolist()
     more = [0] * len(part)
     held = -1
-    for j, p in enumerate(part):
+    for j in range(len(part)):
+        if held >= 0 and 0.0 < part[j] < 1.0 and size[held] > LONGER * size[j] > 0:
+            settled = _shared_out(size, part, j, part[held], size[held], draw)
+            if settled is not None:
+                more[held], part[held], held = settled, 0.0, -1
+        p = part[j]
         if not 0.0 < p < 1.0 or size[j] == 0:
             more[j], part[j] = (1 if p >= 1.0 else 0), 0.0
             continue
@@ -106,6 +115,25 @@ def _paired(rows: pd.DataFrame, level: int, seed: int, last: bool) -> pd.DataFra
     return rows.assign(copies=rows["copies"] + more, part=part)
 
 
+def _shared_out(size: list[int], part: list[float], begin: int, chance: float, whole: int, draw) -> int | None:
+    """Draw whether a document of ``whole`` words is taken (1, with ``chance``) or not (0), and let the rows
+    from ``begin`` on make up for it; None, and nothing done, where they can bear neither."""
+    lengths, parts = np.array(size[begin:], float), np.array(part[begin:], float)
+    bears = np.where((lengths > 0) & (parts > 0) & (parts < 1), parts * (1 - parts), 0.0)
+    room = float(lengths @ bears)
+    inside = parts[bears > 0]
+    if not len(inside):
+        return None
+    less, more = whole * (1 - chance), whole * chance  # words that the others lose, or gain
+    possible = [more * inside.max() <= room, less * (1 - inside.min()) <= room]  # not taken, taken
+    if not any(possible):
+        return None
+    taken = int(draw() < chance) if all(possible) else int(possible[1])
+    moved = parts + (-less if taken else more) * bears / room
+    part[begin:] = np.where(bears > 0, np.clip(moved, 0.0, 1.0), parts).tolist()
+    return taken
+
+
 def _step(level: int, seed: int, last: bool):
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         return _paired(rows, level, seed, last)
