@@ -76,12 +76,17 @@ def clean_corpus(
     lang: str = "lang",
     letters: bool = False,
     urls_first: bool = False,
+    surface: bool = False,
 ) -> DataFrame:
     """The whole cleaning job: adds ``tokens``, ``clean_text`` and ``n_words``.
 
+    Stopwords are looked for among the lemmas; with ``surface`` a word whose form in the text is
+    listed goes too, whatever its lemma.
     A document left without words keeps its row, with an empty text and a count of 0.
     """
     out = with_tokens(docs, text, letters, urls_first)
+    if surface:
+        out = without_stopwords(out, *languages)
     if lemmas is not None:
         out = lemmatise(out, lemmas, lang)
     return (

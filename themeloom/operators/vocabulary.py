@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.arrays import bag_of_words
@@ -56,14 +56,14 @@ def class_counts(terms: DataFrame, topic: str = "topic") -> DataFrame:
     )
 
 
-def _counts_and_sizes(terms: DataFrame, topic: str) -> tuple[DataFrame, DataFrame]:
-    """Class counts with ``_words``, the size of the class, and the sizes alone.
+def _counts_and_sizes(terms: DataFrame, topic: str) -> tuple[DataFrame, DataFrame, int]:
+    """Class counts with ``_words``, the size of the class, the sizes alone, and the number of counts.
 
     The counts are stored, so that the texts behind ``terms`` are read once.
     """
     counts, rows = materialise_counted(class_counts(terms, topic), "class-counts")
     sizes = counts.groupBy("topic").agg(F.sum("n").alias("_words"))
-    return lookup(counts, sizes, ["topic"], "term", rows), sizes
+    return lookup(counts, sizes, ["topic"], "term", rows), sizes, rows
 
 
 def class_tfidf(terms: DataFrame, topic: str = "topic", outlier: int | None = None) -> DataFrame:
@@ -74,14 +74,15 @@ def class_tfidf(terms: DataFrame, topic: str = "topic", outlier: int | None = No
     """
     if outlier is not None:
         terms = terms.filter(F.col(topic) != outlier)
-    counts, sizes = _counts_and_sizes(terms, topic)
+    counts, sizes, rows = _counts_and_sizes(terms, topic)
     mean_words = sizes.agg(F.avg("_words")).scalar()
-    over_classes = F.sum("n").over(Window.partitionBy("term"))
-    inverse = F.log1p(mean_words / over_classes)
-    return counts.select("topic", "term", "n", (F.col("n") / F.col("_words") * inverse).alias("score"))
+    # Added up in each task first; a term of all classes is looked up like any other.
+    over_classes = counts.groupBy("term").agg(F.sum("n").alias("_total"))
+    inverse = F.log1p(mean_words / F.col("_total"))
+    return lookup(counts, over_classes, ["term"], "topic", rows).select("topic", "term", "n", (F.col("n") / F.col("_words") * inverse).alias("score"))
 
 
 def class_shares(terms: DataFrame, topic: str = "topic") -> DataFrame:
     """``(topic, term, weight)``: the share of the words of a class; sums to 1 per class."""
-    counts, _ = _counts_and_sizes(terms, topic)
+    counts, _, _ = _counts_and_sizes(terms, topic)
     return counts.select("topic", "term", (F.col("n") / F.col("_words")).alias("weight"))

@@ -12,13 +12,14 @@ from themeloom.plans.models import TopicModel
 from themeloom.session import materialise
 
 
-def quality(models: dict[str, TopicModel], terms: DataFrame, n_words: int = 10) -> DataFrame:
+def quality(models: dict[str, TopicModel], terms: DataFrame, n_words: int = 10, n_docs: int | None = None) -> DataFrame:
     """``(model, n_topics, umass, npmi, diversity)``, coherence as the mean over topics.
 
     ``terms`` has one row per document and term (``vocabulary.doc_terms``); store it first,
-    since each model reads it. Outliers are no topic.
+    since each model reads it. ``n_docs`` is the number of documents, those without a term
+    included, which ``terms`` doesn't know; by default those with one. Outliers are no topic.
     """
-    n_docs = terms.agg(F.countDistinct("doc_id")).scalar()
+    n_docs = terms.agg(F.countDistinct("doc_id")).scalar() if n_docs is None else F.lit(n_docs)
     rows = []
     for name, model in models.items():
         top = materialise(model.top.filter((F.col("rank") <= n_words) & (F.col("topic") >= 0)), "top")

@@ -312,6 +312,11 @@ def build() -> dict[str, str]:
         f" lem AS (SELECT doc_id, {lemmas('tok')} AS tok FROM tok), kept AS (SELECT doc_id, {keep_words('tok')} AS k FROM lem)"
         " SELECT doc_id, array_to_string(k, ' ') AS clean_text, len(k)::INTEGER AS n_words FROM kept"
     )
+    sql["clean_text_surface"] = (
+        f"WITH tok AS (SELECT doc_id, lang, {keep_words(tokens('t'))} AS tok FROM (SELECT doc_id, lang, {clean('m')} AS t FROM {wrapped})),"
+        f" lem AS (SELECT doc_id, {lemmas('tok')} AS tok FROM tok), kept AS (SELECT doc_id, {keep_words('tok')} AS k FROM lem)"
+        " SELECT doc_id, array_to_string(k, ' ') AS clean_text, len(k)::INTEGER AS n_words FROM kept"
+    )
     sql["clean_pages"] = (
         f"WITH kept AS (SELECT page_id, {keep_words(tokens('t'))} AS k FROM (SELECT page_id, {clean('html')} AS t FROM pages))"
         " SELECT page_id, array_to_string(k, ' ') AS clean_text, len(k)::INTEGER AS n_words FROM kept"

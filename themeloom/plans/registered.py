@@ -173,6 +173,13 @@ def clean_text(spark, folder):
     return out.select("doc_id", "clean_text", "n_words")
 
 
+def clean_text_surface(spark, folder):
+    """Stopwords go by their form in the text as well as by their lemma."""
+    docs = documents(spark, folder).withColumn("text", in_markdown())
+    out = cleaning.clean_corpus(docs, lemmas=lemma_table(spark), surface=True)
+    return out.select("doc_id", "clean_text", "n_words")
+
+
 def clean_pages(spark, folder):
     pages = corpus.read_table(spark, f"{folder}/pages.parquet", "page_id")
     return cleaning.clean_corpus(pages, "html").select("page_id", "clean_text", "n_words")
@@ -533,6 +540,7 @@ QUERIES: dict[str, Query] = {
     "lemma_lookup": lemma_lookup,
     "stopword_filter": stopword_filter,
     "clean_text": clean_text,
+    "clean_text_surface": clean_text_surface,
     "clean_pages": clean_pages,
     "stopword_union": stopword_union,
     "stopword_sample": stopword_sample,
