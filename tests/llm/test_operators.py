@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -345,6 +346,34 @@ def test_leaks_are_found_and_nothing_else(spark):
     assert decontaminate.find_leaks(table, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cells", [1, 40, 1 << 20])
+def test_block_bounds_lose_no_candidate(monkeypatch, cells):
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, rng.choices(vocabulary, k=rng.randint(5, 30)), []) for k in range(70)]
+    df = {w: sum(w in q for _, q, _ in items) for w in vocabulary}
+    index = decontaminate.Index([(*x, df) for x in items], len(items), 17.0)
+    texts = [rng.choices(vocabulary + ["other"] * 90, k=n) for n in (0, 3, 64, 65, 200, 700)]
+    monkeypatch.setattr(decontaminate, "CELLS", cells)
+    for group in index.classes:
+        terms = np.array([group.term.get(w, -1) for t in texts for w in t], np.int32)
+        got = {(d, p, i): s for d, p, i, s in zip(*(x.tolist() for x in group.candidates([len(t) for t in texts], terms)))}
+        weight = {}
+        for w, k in group.term.items():
+            for posting in range(group.item_at[k], group.item_at[k + 1]):
+                weight[w, group.item[posting]] = group.share[posting]
+        wanted = {}
+        for doc, text in enumerate(texts):
+            for place in range(0, max(1, len(text)), group.length):
+                held = set(text[place : place + 2 * group.length])
+                for item in range(len(group.items)):
+                    share = sum(weight.get((w, item), 0.0) for w in held)
+                    if share >= decontaminate.THRESHOLD:
+                        wanted[doc, place, item] = share
+        assert got.keys() == wanted.keys() and got
+        assert all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
+
+
 def test_edited_copies_and_questions_alone_are_leaks():
     pick = np.random.default_rng(9)
     items, df = [], {}

@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,7 @@ SHORTEST = 64
 BLOCK = 16
 K1, B = 1.2, 0.75
 INDEX_BYTES = 16 << 20
+CELLS = 1 << 20  # passages times blocks whose bounds are added up at a time
 WORD = re.compile(r"\w+")
 ANSWER = re.compile(r"(?s)^(.*[.!?:])\s+(\S.*)$")
 
@@ -110,6 +112,7 @@ class Class:
         self.blocks = len(rows) // BLOCK + 1
         self.block = pairs % self.blocks
         self.block_most = np.maximum.reduceat(self.share, first)
+        self.pair_at = np.append(first, len(term))
         self.block_at = np.searchsorted(pairs // self.blocks, np.arange(len(self.term) + 1))
         self.most = np.maximum.reduceat(self.share, self.item_at[:-1])
 
@@ -129,32 +132,35 @@ class Class:
         # A passage is a piece and the next one; the last piece of a document closes the one before.
         front = piece > 0
         passage = np.concatenate((here, here[front] - 1))
-        key = np.unique(passage * len(self.term) + np.concatenate((term, term[front])))
+        key = _distinct(passage * len(self.term) + np.concatenate((term, term[front])))
         passage, term = key // len(self.term), key % len(self.term)
         bound = np.bincount(passage, self.most[term], int(pieces.sum()))
         alive = bound[passage] >= THRESHOLD
         passage, term = passage[alive], term[alive]
-        # Blocks of the passages that are left.
-        row, posting = _spread(self.block_at, term)
-        key, back = np.unique(passage[row] * self.blocks + self.block[posting], return_inverse=True)
-        reach = np.bincount(back, self.block_most[posting], len(key)) >= THRESHOLD
-        live = key[reach]
-        if not len(live):
+        found = [self._scored(passage[a:b], term[a:b]) for a, b in _ranges(passage, max(1, CELLS // self.blocks))]
+        if not found:
             none = np.zeros(0, np.int64)
             return none, none, none, np.zeros(0)
-        few = np.isin(passage, live // self.blocks)
-        passage, term = passage[few], term[few]
-        row, posting = _spread(self.item_at, term)
-        within = np.isin(passage[row] * self.blocks + self.item[posting] // BLOCK, live)
-        row, posting = row[within], posting[within]
-        n = len(self.items)
-        key, back = np.unique(passage[row] * n + self.item[posting], return_inverse=True)
-        share = np.bincount(back, self.share[posting], len(key))
-        found = share >= THRESHOLD
-        passage, item, share = key[found] // n, key[found] % n, share[found]
+        passage, item, share = (np.concatenate(x) for x in zip(*found))
         of = np.searchsorted(base, passage, side="right") - 1
         return of, (passage - base[of]) * self.length, item, share
 
+    def _scored(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(passage, item, share)`` at the threshold or above; passages ascend and their range is short."""
+        low = passage[0]
+        row, pair = _spread(self.block_at, term)
+        cell = (passage[row] - low) * self.blocks + self.block[pair]
+        reach = np.bincount(cell, self.block_most[pair]) >= THRESHOLD
+        kept = reach[cell]
+        cell, pair = cell[kept], pair[kept]
+        live = np.flatnonzero(reach)
+        rank = np.cumsum(reach) - 1
+        entry, posting = _spread(self.pair_at, pair)
+        share = np.bincount(rank[cell[entry]] * BLOCK + self.item[posting] % BLOCK, self.share[posting])
+        found = np.flatnonzero(share >= THRESHOLD)
+        at = live[found // BLOCK]
+        return low + at // self.blocks, at % self.blocks * BLOCK + found % BLOCK, share[found]
+
     def verified(self, text: list[str], place: int, item: int) -> tuple[float, float] | None:
         """Found shares of the question and the answer, if the item, or the question alone, is there."""
         _, question, answer = self.items[item]
@@ -219,6 +225,21 @@ def _spread(at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[term], count)
 
 
+def _distinct(key: np.ndarray) -> np.ndarray:
+    """The distinct keys in order; sorting numbers beats hashing them."""
+    key = np.sort(key)
+    return key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+
+
+def _ranges(passage: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
+    """Ends of the runs of a sorted ``passage`` that span at most ``width`` numbers."""
+    begin = 0
+    while begin < len(passage):
+        end = int(np.searchsorted(passage, passage[begin] + width))
+        yield begin, end
+        begin = end
+
+
 def _shingles(every: list[str]) -> list[tuple]:
     size = min(SHINGLE, len(every))
     return [tuple(every[k : k + size]) for k in range(len(every) - size + 1)]
@@ -291,7 +312,7 @@ def _hits(index: Index, ids: list, texts: list[str]) -> list[dict]:
     best: dict[tuple[int, int], tuple] = {}  # by document and item, the whole item before its question
     for group in index.classes:
         number = group.term.get
-        terms = np.fromiter((number(w, -1) for w in every), np.int32, len(every))
+        terms = np.fromiter(map(number, every, repeat(-1)), np.int32, len(every))
         for doc, place, item, share in zip(*(x.tolist() for x in group.candidates(lengths, terms))):
             key, rank = (doc, group.number[item]), (not group.asked_only[item], share)
             if key in best and best[key][0] >= rank:
