@@ -283,6 +283,10 @@ def build() -> dict[str, str]:
     sql["corpus_scan"] = (
         f"SELECT doc_id, source AS name, {stripped('text')} AS text, {words(stripped('text'))} AS n_words FROM documents"
     )
+    sql["corpus_folder"] = (
+        "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, lpad(doc_id::VARCHAR, 20, '0') || '.txt' AS name,"
+        f" coalesce({stripped('text')}, '') AS text, coalesce({words(stripped('text'))}, 0) AS n_words FROM documents"
+    )
     sql["corpus_profile"] = (
         "SELECT lang, source, count(*) AS n_docs, sum(w)::BIGINT AS n_words, min(w) AS min_words, max(w) AS max_words,"
         f" {shown('sum(w) / count(*)')} AS avg_words FROM (SELECT lang, source, {words('text')} AS w FROM documents)"

@@ -7,6 +7,7 @@ its quality label (-1 where it has none), the label of a vector.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,7 @@ from themeloom.functions.stopwords import stopword_list, stopword_table
 from themeloom.operators import assign, cleaning, density, embedding as em, evaluate, lda, represent, transport, vocabulary
 from themeloom.operators.joins import small_lookup
 from themeloom.plans import models
-from themeloom.session import materialise
+from themeloom.session import materialise, scratch_folder
 from themeloom.sources import corpus
 
 LANGUAGE_TOPICS = ["de", "en", "es", "fr"]  # topic number = place in this list
@@ -124,6 +125,14 @@ def corpus_scan(spark, folder):
     return corpus.corpus_frame(documents(spark, folder), "doc_id", "source", "text")
 
 
+def corpus_folder(spark, folder):
+    """Documents written as one text file each and read back from the folder."""
+    docs = documents(spark, folder).withColumn("name", F.concat(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit(".txt")))
+    texts = f"{scratch_folder(spark)}/texts-{uuid.uuid4().hex}"
+    corpus.write_text_folder(docs, texts, "name", "text")
+    return corpus.read_text_folder(spark, texts, "*.txt")
+
+
 def corpus_profile(spark, folder):
     return corpus.corpus_profile(documents(spark, folder), "lang", "source").withColumn("avg_words", shown(F.col("avg_words")))
 
@@ -529,6 +538,7 @@ def ot_topics_fit(spark, folder):
 
 QUERIES: dict[str, Query] = {
     "corpus_scan": corpus_scan,
+    "corpus_folder": corpus_folder,
     "corpus_profile": corpus_profile,
     "word_counts": word_counts,
     "clean_html": clean_html,

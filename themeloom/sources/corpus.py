@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
 from themeloom.session import dense_ids, spread
+from themeloom.sources import folder as folder_source
 
 
 def read_table(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -19,10 +20,39 @@ def read_text_folder(
 ) -> DataFrame:
     """``(doc_id, name, text, n_words)``: one row per UTF-8 file, in file-name order.
 
-    Ids come from the listing alone (no content is read for it), so no text is sorted; the
-    texts join them by path. Spark's file sources pass over files of no length:
-    ``keep_empty`` finds them by a second reading, which a large corpus may want to save.
+    Files of no length are empty documents, unless ``keep_empty`` is False. Ids, texts and empty
+    files come from one reading (``sources.folder``); a store that only Spark's own readers open is
+    read by those.
     """
+    if not folder_source.reachable(folder):
+        return _read_by_spark(spark, folder, pattern, keep_empty)
+    spark.dataSource.register(folder_source.TextFolder)
+    files = (
+        spark.read.format("text_folder")
+        .options(pattern=pattern, keepEmpty=keep_empty, tasks=spark.sparkContext.defaultParallelism)
+        .load(folder)
+    )
+    return corpus_frame(files, "doc_id", "name", "value")
+
+
+def write_text_folder(docs: DataFrame, folder: str, name: str, text: str) -> None:
+    """One UTF-8 file for each row; a null text is an empty file.
+
+    A name has to be a file name of its own: null and repeated ones, and those that a folder of
+    documents does not show, raise before anything is written, as does a folder that is there.
+    """
+    if folder_source.reachable(folder):
+        raise FileExistsError(folder)
+    files = docs.select(F.col(name).alias("name"), F.col(text).alias("value"))
+    unfit = F.col("name").isNull() | F.col("name").rlike("^$|^[._]|/") | (F.col("n") > 1)
+    if files.groupBy("name").agg(F.count("*").alias("n")).filter(unfit).limit(1).count():
+        raise ValueError(f"{name} holds a null, repeated or unfit file name")
+    docs.sparkSession.dataSource.register(folder_source.TextFolder)
+    files.write.format("text_folder").mode("append").save(folder)
+
+
+def _read_by_spark(spark: SparkSession, folder: str, pattern: str, keep_empty: bool) -> DataFrame:
+    """The same rows by Spark's file sources, which pass over files of no length; a second reading finds them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
     if keep_empty:
         whole = spark.sparkContext.wholeTextFiles(f"{folder}/{pattern}")
