@@ -42,6 +42,43 @@ LEMMAS = {
 }
 
 
+# For each lemma's ending, stems of some words and the endings of their regular forms.
+PARADIGMS = {
+    "en": [
+        ("", "walk talk play open jump", "s ed ing"),
+        ("y", "tr carr stud", "ies ied ying"),
+    ],
+    "es": [
+        ("ar", "habl trabaj cant compr llev mir", "o as a amos an é aste ó aron ando ado aba aban"),
+        ("er", "com beb corr vend aprend", "o es e emos en í iste ió ieron iendo ido ía ían"),
+        ("ir", "viv part sub escrib recib", "o es e imos en í iste ió ieron iendo ido ía ían"),
+        ("ión", "nac canc reg estac", "iones"),
+        ("dad", "ciu ver e", "dades"),
+    ],
+    "fr": [
+        ("er", "parl aim donn chant march", "e es ons ez ent ais ait aient é ée és ées ant"),
+        ("tion", "na ac por sta", "tions"),
+        ("eau", "bat cad chât", "eaux"),
+    ],
+    "de": [
+        ("en", "mach sag lern spiel", "e st t te ten test"),
+        ("ung", "zeit wohn rechn", "ungen"),
+        ("heit", "frei krank ein", "heiten"),
+    ],
+}
+
+
+def paradigm_rows() -> list[tuple[str, str, str]]:
+    """Regular forms, built from their stems and endings."""
+    return [
+        (lang, stem + ending, stem + own)
+        for lang, table in PARADIGMS.items()
+        for own, stems, endings in table
+        for stem in stems.split()
+        for ending in endings.split()
+    ]
+
+
 def lemma_rows() -> list[tuple[str, str, str]]:
     return [
         (lang, form, lemma)
@@ -53,3 +90,8 @@ def lemma_rows() -> list[tuple[str, str, str]]:
 
 def lemma_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(lemma_rows(), "lang string, form string, lemma string")
+
+
+def inflected_table(spark: SparkSession) -> DataFrame:
+    """The irregular forms and some regular ones, from which rules can be learned."""
+    return spark.createDataFrame(lemma_rows() + paradigm_rows(), "lang string, form string, lemma string")

@@ -12,7 +12,7 @@ import zipfile
 import pyspark
 
 from themeloom.functions import patterns as p
-from themeloom.functions.lemmas import lemma_rows
+from themeloom.functions.lemmas import lemma_rows, paradigm_rows
 from themeloom.functions.text import entity_names
 
 
@@ -307,6 +307,34 @@ def build() -> dict[str, str]:
     sql["lemma_lookup"] = (
         f"WITH {cleaned} SELECT doc_id, array_to_string({lemmas('tok')}, ' ') AS lemmas FROM cleaned"
     )
+    listed_forms = ", ".join("(" + ", ".join(map(text, row)) + ")" for row in lemma_rows() + paradigm_rows())
+    rules = (
+        f"listed(lang, form, lemma) AS (VALUES {listed_forms}), known AS (SELECT lang, form, arg_min(lemma, (itself, lemma)) AS lemma FROM"
+        " (SELECT lang, form, lemma, 0 AS itself FROM listed UNION ALL SELECT lang, lemma, lemma, 1 FROM listed) GROUP BY ALL),"
+        " edits AS (SELECT lang, form, lemma,"
+        " len(list_filter(range(1, least(length(form), length(lemma)) + 1), lambda i: form[:i] = lemma[:i])) AS same FROM known),"
+        " ends AS (SELECT lang, form, (length(form) - same)::INTEGER AS cut, lemma[same + 1:] AS added,"
+        " unnest(range(1, length(form) + 1)) AS n FROM edits),"
+        " rules AS (SELECT lang, right(form, n) AS suffix, cut, added FROM ends WHERE n >= cut GROUP BY lang, right(form, n), cut, added HAVING count(*) >= 2"
+        " QUALIFY row_number() OVER (PARTITION BY lang, right(form, n) ORDER BY count(*) DESC, cut, added) = 1),"
+        f" said AS (SELECT DISTINCT lang, unnest(tok) AS form FROM (SELECT lang, {tokens('t')} AS tok FROM (SELECT lang, {clean('text')} AS t FROM documents))),"
+        " chosen AS (SELECT s.lang, s.form, arg_max((r.suffix, r.cut, r.added), length(r.suffix)) AS rule FROM said s"
+        " JOIN rules r ON s.lang = r.lang AND ends_with(s.form, r.suffix) AND r.cut < length(s.form)"
+        " ANTI JOIN known k ON s.lang = k.lang AND s.form = k.form GROUP BY ALL)"
+    )
+    sql["lemma_guess"] = (
+        f"WITH {rules}, lemmas AS (SELECT * FROM known UNION ALL"
+        " SELECT lang, form, left(form, length(form) - rule[2]) || rule[3] FROM chosen),"
+        f" said_at AS (SELECT doc_id, lang, unnest(tok) AS form, generate_subscripts(tok, 1) AS place FROM"
+        f" (SELECT doc_id, lang, {tokens('t')} AS tok FROM (SELECT doc_id, lang, {clean('text')} AS t FROM documents))),"
+        " joined AS (SELECT doc_id, string_agg(coalesce(lemma, form), ' ' ORDER BY place) AS lemmas"
+        " FROM said_at LEFT JOIN lemmas USING (lang, form) GROUP BY doc_id)"
+        " SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(lemmas, '') END AS lemmas FROM documents LEFT JOIN joined USING (doc_id)"
+    )
+    sql["lemma_rule_use"] = (
+        f"WITH {rules} SELECT r.lang, r.suffix, r.cut, r.added, count(c.form) AS n_words FROM rules r"
+        " LEFT JOIN chosen c ON c.lang = r.lang AND c.rule[1] = r.suffix GROUP BY ALL"
+    )
     sql["stopword_filter"] = (
         f"WITH {cleaned}, kept AS (SELECT doc_id, {keep_words('tok')} AS k FROM cleaned)"
         " SELECT doc_id, len(k)::INTEGER AS n, array_to_string(k, ' ') AS words FROM kept"

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
 from themeloom.functions.arrays import shown
-from themeloom.functions.lemmas import lemma_table
+from themeloom.functions.lemmas import inflected_table, lemma_table
 from themeloom.functions.stopwords import stopword_list, stopword_table
-from themeloom.operators import assign, cleaning, density, embedding as em, evaluate, lda, represent, transport, vocabulary
+from themeloom.operators import assign, cleaning, density, embedding as em, evaluate, lda, lemma_rules, represent, transport, vocabulary
 from themeloom.operators.joins import small_lookup
 from themeloom.plans import models
 from themeloom.session import materialise, scratch_folder
@@ -172,6 +172,22 @@ def lemma_lookup(spark, folder):
     return words.select("doc_id", F.array_join("tokens", " ").alias("lemmas"))
 
 
+def lemma_guess(spark, folder):
+    """Lemmas of all words: listed ones by the table, others by the rules learned from it."""
+    words = lemma_rules.lemmatise(cleaning.with_tokens(documents(spark, folder)), inflected_table(spark))
+    return words.select("doc_id", F.array_join("tokens", " ").alias("lemmas"))
+
+
+def lemma_rule_use(spark, folder):
+    """Each rule, with the distinct words of the documents that it gives a lemma to."""
+    table = inflected_table(spark)
+    words = cleaning.with_tokens(documents(spark, folder)).select("lang", F.explode(F.array_distinct("tokens")).alias("form")).distinct()
+    unseen = words.join(lemma_rules.known_forms(table).select("lang", "form"), ["lang", "form"], "left_anti")
+    rules = lemma_rules.learn(table)
+    used = lemma_rules.longest_endings(unseen, rules).groupBy("lang", "suffix").agg(F.count("*").alias("n_words"))
+    return rules.join(used, ["lang", "suffix"], "left").withColumn("n_words", F.coalesce("n_words", F.lit(0)))
+
+
 def stopword_filter(spark, folder):
     return cleaned(spark, folder).select("doc_id", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("words"))
 
@@ -548,6 +564,8 @@ QUERIES: dict[str, Query] = {
     "letters_only": letters_only,
     "tokens": tokens,
     "lemma_lookup": lemma_lookup,
+    "lemma_guess": lemma_guess,
+    "lemma_rule_use": lemma_rule_use,
     "stopword_filter": stopword_filter,
     "clean_text": clean_text,
     "clean_text_surface": clean_text_surface,
