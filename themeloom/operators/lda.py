@@ -5,31 +5,40 @@ zero without the exclusion of a word's own count). Word k's share of topic t is
 ``(eta + count) / (terms * eta + total)``, a document's ``(alpha + count) / (k * alpha + words)``,
 and a word in a document is dealt to the topics in proportion to the product of both.
 
-Documents lie in blocks of about ``WORDS_PER_BLOCK`` distinct words; inside a block a word is a
-number. A round sends the counts of a word to the blocks that hold it, one row for each block
-however often it occurs there, works through each block as a matrix, and adds up what the blocks
-return by word. Neither the vocabulary nor the weights are ever in one place: only one total for
-each topic reaches the driver. Rounds start from a hash of the words, so they can be repeated.
+Documents lie in blocks of up to ``WORDS_PER_BLOCK`` (document, word) pairs, one for each core if
+they are fewer; inside a block a word is a number. Blocks stay where they are, packed and kept on
+local disk. Each word has an owner among the blocks that hold it. A round has two halves, in which
+blocks write to each other: ``_dealt`` works through a block as matrices and sends what it has
+counted to the owners, ``_added`` adds that up and sends the new counts to the holders. Both sides
+know the order of the words between them, so a letter holds numbers and nothing else, and a word
+that only one block holds is in none. Neither the vocabulary nor the weights are ever in one place:
+only one total for each topic reaches the driver. Rounds start from a hash of the words, so they can
+be repeated; the letters of a round are deleted when the next one is stored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.arrays import bag_of_words
 from themeloom.operators.vocabulary import MIN_LENGTH
-from themeloom.session import materialise
+from themeloom.session import forget, materialise, release_shuffles, stored_at
 
-WORDS_PER_BLOCK = 1_000_000  # (document, word) pairs that one task holds
+WORDS_PER_BLOCK = 16_000_000  # (document, word) pairs that one task holds, 8 bytes each
 LEAST_IN_BLOCK = 20_000  # fewer aren't worth a task
+PAIRS_PER_ROW = 1_000_000  # of a block, packed into one row
 CELLS = 4_000_000  # numbers worked on at once
-STATE = "block int, row bigint, places array<int>, counts array<double>, scored array<double>, weights array<double>, at int, term string"
+BLOCK = "block int, chunk int, row binary, sizes binary, places binary, counts binary, scored binary, at int, term string, n bigint"
+INDEX = "owner int, holder int, owned binary, held binary"
+LETTER = "block int, kind string, sender int, numbers binary"
 
 
 @dataclass
@@ -67,57 +76,94 @@ def _in_vocabulary(rows: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def _numbered_words(table: pa.Table) -> pa.Table:
-    """One block: the words of its documents as numbers, and a row that says which word has which."""
+    """One block: its documents packed, the words as numbers, and a row that says which word has which."""
     block = table.column("block")[0].as_py()
     terms = table.column("terms").combine_chunks()
     words = terms.flatten().dictionary_encode()
-    n = table.num_rows
-    ends = np.cumsum(terms.value_lengths().to_numpy())
-    places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), words.indices.cast(pa.int32()))
-    v = len(words.dictionary)
-    numbers = pa.list_(pa.float64())
-    return pa.table(
+    sizes = terms.value_lengths().to_numpy().astype("i4")
+    places = words.indices.to_numpy().astype("i4")
+    numbers = {name: table.column(name).combine_chunks().flatten().to_numpy().astype("i4") for name in ("counts", "scored")}
+    row = table.column("row").to_numpy()
+    rows = [
         {
-            "block": pa.array([block] * (n + v), pa.int32()),
-            "row": pa.concat_arrays([table.column("row").combine_chunks(), pa.nulls(v, pa.int64())]),
-            "places": pa.concat_arrays([places, pa.nulls(v, pa.list_(pa.int32()))]),
-            **{
-                name: pa.concat_arrays([table.column(name).combine_chunks().cast(numbers), pa.nulls(v, numbers)])
-                for name in ("counts", "scored")
-            },
-            "weights": pa.nulls(n + v, numbers),
-            "at": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(v), pa.int32())]),
-            "term": pa.concat_arrays([pa.nulls(n, pa.string()), words.dictionary.cast(pa.string())]),
+            "block": block, "chunk": i, "row": row[docs].tobytes(), "sizes": sizes[docs].tobytes(), "places": places[span].tobytes(),
+            **{name: flat[span].tobytes() for name, flat in numbers.items()},
         }
-    )
+        for i, (docs, span) in enumerate(_slices(sizes, PAIRS_PER_ROW))
+    ]
+    v = len(words.dictionary)
+    of_word = {"block": pa.array([block] * v, pa.int32()), "at": pa.array(np.arange(v), pa.int32()), "term": words.dictionary.cast(pa.string())}
+    of_word["n"] = pa.array(np.bincount(places, numbers["counts"], v).astype("i8"))
+    schema = _arrow(BLOCK)
+    packed = pa.Table.from_pylist(rows, schema)
+    listed = pa.table([of_word.get(f.name, pa.nulls(v, f.type)) for f in schema], schema)
+    return pa.concat_tables([packed, listed])
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
+    kinds["array<double>"] = pa.list_(pa.float64())
+    return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
 
 
-def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Stored blocks of ``rows(row, terms, counts, scored)``, which must have words."""
+def _block_ids(rows: DataFrame, n: int) -> Column:
+    """``n`` numbers that a hash partitioning into ``n`` parts puts into one part each, as an array."""
+    numbers = rows.sparkSession.range(64 * n + 64).select(F.col("id").cast("int").alias("id"))
+    firsts = numbers.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("id"))
+    return F.array(*[F.lit(i) for i in firsts.agg(F.array_sort(F.collect_list("id"))).head()[0]])
+
+
+def _blocks(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Stored blocks of ``rows(row, terms, counts, scored)`` that have words, and how many there are at most."""
     pairs = rows.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n")).head()["n"]
     cores = rows.sparkSession.sparkContext.defaultParallelism
     n = max(1, -(-pairs // WORDS_PER_BLOCK), min(cores, -(-pairs // LEAST_IN_BLOCK)))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
-    return materialise(dealt.groupBy("block").applyInArrow(_numbered_words, STATE), name)
+    at = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    dealt = rows.filter(F.size("terms") > 0).withColumn("block", F.get(_block_ids(rows, n), at))
+    # One number for each part: the blocks are dealt evenly, and no part holds two.
+    return materialise(dealt.repartition(n, "block").groupBy("block").applyInArrow(_numbered_words, BLOCK), name), n
+
+
+def _packed_docs(blocks: DataFrame) -> DataFrame:
+    return blocks.filter(F.col("chunk").isNotNull()).select("block", "chunk", "row", "sizes", "places", "counts", "scored")
+
+
+def _index(words: DataFrame) -> DataFrame:
+    """``INDEX``: the numbers that two blocks have for the words of the one that the other one holds.
+
+    ``words(term, owner, owned, holders)``; a block is a holder of its own words.
+    """
+    links = words.select("owner", "owned", F.inline("holders").alias("holder", "held"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        owned, held = (table.column(c).to_numpy() for c in ("owned", "held"))
+        order = np.argsort(owned)
+        row = {"owner": table.column("owner")[0].as_py(), "holder": table.column("holder")[0].as_py()}
+        row |= {"owned": owned[order].astype("i4").tobytes(), "held": held[order].astype("i4").tobytes()}
+        return pa.Table.from_pylist([row], _arrow(INDEX))
+
+    return materialise(links.groupBy("owner", "holder").applyInArrow(pack, INDEX), "lda-index")
+
+
+def _held(table: DataFrame, n: int) -> DataFrame:
+    """Rows that lie with their block until ``unpersist``, so that a round moves letters only."""
+    return table.repartition(n, "block").persist(StorageLevel.DISK_ONLY)
 
 
 # One round
 
 
-def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    places = table.column("places").combine_chunks()
-    sizes = places.value_lengths().to_numpy()
-    flat = [table.column(c).combine_chunks().flatten().to_numpy() for c in ("counts", "scored")]
-    return sizes, places.flatten().to_numpy(), *flat
+def _bytes(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    """The numbers packed in the rows of a column, one after the other."""
+    parts = [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _word_shares(route: pa.Table, n_terms: int, totals: np.ndarray, eta: float) -> np.ndarray:
-    """Share of each topic that a word has, by the word's number in the block."""
-    k = len(totals)
-    counts = route.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, k)
-    out = np.empty_like(counts)
-    out[route.column("at").to_numpy()] = (eta + counts) / (n_terms * eta + totals)
-    return out
+def _columns(docs: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Sizes, places, counts and scored counts of each packed row of documents, in order."""
+    for one in docs:
+        counts, scored = (np.frombuffer(one[c], "i4").astype("f8") if one[c] is not None else None for c in ("counts", "scored"))
+        yield np.frombuffer(one["sizes"], "i4"), np.frombuffer(one["places"], "i4"), counts, scored
 
 
 def _topics_of(places: np.ndarray, counts: np.ndarray, sizes: np.ndarray, weights: np.ndarray, words: np.ndarray, alpha: float):
@@ -130,82 +176,133 @@ def _topics_of(places: np.ndarray, counts: np.ndarray, sizes: np.ndarray, weight
     return dealt, sums / sums.sum(axis=1, keepdims=True)
 
 
-def _slices(sizes: np.ndarray, k: int):
-    """Runs of documents with about ``CELLS`` numbers to work on, and their runs of words."""
-    ends = np.cumsum(sizes)
+def _slices(sizes: np.ndarray, pairs: int):
+    """Runs of documents with about so many pairs, and their runs of words."""
+    ends = np.cumsum(sizes, dtype="i8")
     first = 0
     while first < len(sizes):
         begin = ends[first] - sizes[first]
-        last = max(first + 1, int(np.searchsorted(ends, begin + CELLS // k, side="right")))
+        last = max(first + 1, int(np.searchsorted(ends, begin + pairs, side="right")))
         yield slice(first, last), slice(begin, ends[last - 1])
         first = last
 
 
-def _round(docs: pa.Table, route: pa.Table, n_terms: int, totals: np.ndarray, alpha: float, eta: float, inner: int) -> pa.Table:
-    k = len(totals)
-    words = _word_shares(route, n_terms, totals, eta)
-    sizes, places, counts, _ = _columns(docs)
-    given = docs.column("weights").combine_chunks()
-    weights = given.flatten().to_numpy().reshape(-1, k) if given.null_count == 0 else np.full((len(sizes), k), 1.0 / k)
-    found, sums = np.empty_like(weights), np.zeros_like(words)
-    for rows, span in _slices(sizes, k):
-        found[rows] = weights[rows]
-        for _ in range(inner):
-            dealt, found[rows] = _topics_of(places[span], counts[span], sizes[rows], found[rows], words, alpha)
-        for topic in range(k):
-            sums[:, topic] += np.bincount(places[span], dealt[:, topic], len(words))
-    n, v = len(sizes), len(words)
-    numbers = pa.list_(pa.float64())
-
-    def lists(matrix: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, matrix.size + 1, k).astype("i4")), pa.array(matrix.ravel()))
-
-    at = route.column("at").combine_chunks()
-    return pa.table(
-        {
-            "block": pa.array([docs.column("block")[0].as_py()] * (n + v), pa.int32()),
-            "row": pa.concat_arrays([docs.column("row").combine_chunks(), pa.nulls(v, pa.int64())]),
-            "places": pa.concat_arrays([docs.column("places").combine_chunks(), pa.nulls(v, pa.list_(pa.int32()))]),
-            "counts": pa.concat_arrays([docs.column("counts").combine_chunks(), pa.nulls(v, numbers)]),
-            "scored": pa.nulls(n + v, numbers),
-            "weights": pa.concat_arrays([lists(found), lists(sums[at.to_numpy()])]),
-            "at": pa.concat_arrays([pa.nulls(n, pa.int32()), at]),
-            "term": pa.concat_arrays([pa.nulls(n, pa.string()), route.column("term").combine_chunks()]),
-        }
-    )
-
-
-def _routed(state: DataFrame, words: DataFrame) -> DataFrame:
-    """A word's counts for every block that holds it. A word is in a block once, so none is hot."""
-    routed = state.filter(F.col("term").isNotNull()).select("block", "at", "term").join(words, "term")
-    # New names for the same columns: both sides of the cogroup come from one table.
-    return routed.select(*[F.col(c).alias(c) for c in ("block", "at", "term", "counts")])
-
-
-def _step(
-    state: DataFrame, words: DataFrame, n_terms: int, totals: list[float], alpha: float, eta: float, inner: int
-) -> tuple[DataFrame, DataFrame]:
-    docs = state.filter(F.col("row").isNotNull())
-    work = partial(_round, n_terms=n_terms, totals=np.array(totals), alpha=alpha, eta=eta, inner=inner)
-    both = docs.groupBy("block").cogroup(_routed(state, words).groupBy("block"))
-    state = materialise(both.applyInArrow(lambda docs, route: work(docs, route), STATE), "lda-round")
-    parts = state.filter(F.col("term").isNotNull())
-    sums = parts.groupBy("term").agg(*[F.sum(F.get("weights", F.lit(i))).alias(f"_{i}") for i in range(len(totals))])
-    added = sums.select("term", F.array(*[f"_{i}" for i in range(len(totals))]).alias("counts"))
-    return state, materialise(added, "lda-words")
+def _letters(rows: list[tuple]) -> pa.Table:
+    schema = _arrow(LETTER)
+    return pa.table([pa.array(column, kind) for column, kind in zip(zip(*rows), schema.types)], schema) if rows else schema.empty_table()
+
+
+def _by_kind(letters: pa.Table, k: int) -> dict[str, dict[int, np.ndarray]]:
+    """Kind of letter and sender, in the senders' order: sums come out alike whenever letters arrive."""
+    found: dict[str, dict[int, np.ndarray]] = {}
+    for one in sorted(letters.to_pylist(), key=lambda one: one["sender"]):
+        found.setdefault(one["kind"], {})[one["sender"]] = np.frombuffer(one["numbers"], "f8").reshape(-1, k)
+    return found
+
+
+def _dealt(held: pa.Table, letters: pa.Table, n_terms: int, k: int, alpha: float, eta: float, inner: int) -> pa.Table:
+    """One block: its documents' new shares, and what it counted, for the owners of the words."""
+    packed = held.to_pylist()
+    me = packed[0]["block"]
+    index = {one["owner"]: np.frombuffer(one["held"], "i4") for one in packed if one["held"] is not None}
+    docs = sorted((one for one in packed if one["chunk"] is not None), key=lambda one: one["chunk"])
+    found = _by_kind(letters, k)
+    totals = sum(found["totals"].values())[0]
+    words = np.empty((sum(len(at) for at in index.values()), k))
+    for owner, at in index.items():
+        words[at] = (eta + found["counts"][owner]) / (n_terms * eta + totals)
+    given = found.get("weights", {})
+    sums, out = np.zeros_like(words), []
+    for one, (sizes, places, counts, _) in zip(docs, _columns(docs)):
+        weights = given[one["chunk"]].copy() if given else np.full((len(sizes), k), 1.0 / k)
+        for rows, span in _slices(sizes, CELLS // k):
+            for _ in range(inner):
+                dealt, weights[rows] = _topics_of(places[span], counts[span], sizes[rows], weights[rows], words, alpha)
+            for topic in range(k):
+                sums[:, topic] += np.bincount(places[span], dealt[:, topic], len(words))
+        out.append((me, "weights", one["chunk"], weights.tobytes()))
+    out += [(owner, "sums", me, sums[at].tobytes()) for owner, at in index.items()]
+    return _letters(out)
+
+
+def _added(owned: pa.Table, letters: pa.Table, blocks: list[int], k: int) -> pa.Table:
+    """One block: the new counts of its own words, for all that hold them, and their total, for all blocks."""
+    if not letters.num_rows:  # a block that owns no word and got no letter
+        return _letters([])
+    found = _by_kind(letters, k)
+    index = {one["holder"]: np.frombuffer(one["owned"], "i4") for one in owned.to_pylist()}
+    me = letters.column("block")[0].as_py()
+    own = index.get(me, np.zeros(0, "i4"))
+    counts = np.zeros((max((int(at.max()) for at in index.values() if len(at)), default=-1) + 1, k))
+    for holder, numbers in found.get("sums", {}).items():
+        counts[index[holder]] += numbers
+    out = [(holder, "counts", me, counts[at].tobytes()) for holder, at in index.items()]
+    out += [(block, "totals", me, counts[own].sum(axis=0).tobytes()) for block in blocks]
+    out += [(me, "weights", chunk, numbers.tobytes()) for chunk, numbers in found.get("weights", {}).items()]
+    return _letters(out)
+
+
+def _first_letters(words: pa.Table, k: int) -> pa.Table:
+    """The counts that one block's own words begin with, as if it alone had counted them."""
+    me = words.column("block")[0].as_py()
+    at, counts = words.column("owned").to_numpy(), words.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, k)
+    return _letters([(me, "sums", me, counts[np.argsort(at)].tobytes())])
+
+
+def _together(table: DataFrame, letters: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    # New names for the same columns: both sides may come from one table.
+    letters = letters.select(*[F.col(c).alias(c) for c in letters.columns])
+    return table.groupBy("block").cogroup(letters.groupBy("block")).applyInArrow(lambda rows, sent: work(rows, sent), schema)
+
+
+def _replaced(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """``new``, stored; ``old`` and the shuffled letters that led from it are deleted."""
+    stored = materialise(new, name)
+    forget(stored.sparkSession, stored_at(old))
+    release_shuffles(stored.sparkSession)
+    return stored
 
 
 def _totals(words: DataFrame, k: int) -> list[float]:
     return list(words.agg(*[F.sum(F.get("counts", F.lit(i))) for i in range(k)]).head())
 
 
-def _start(vocab: DataFrame, k: int) -> DataFrame:
+def _owned_words(blocks: DataFrame) -> DataFrame:
+    """``(term, cf, owner, owned, holders)``: the block a word belongs to and its number there; all its blocks and numbers."""
+    places = F.array_sort(F.collect_list(F.struct(F.col("block").alias("holder"), F.col("at").alias("held"))))
+    words = blocks.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("cf"), places.alias("holders"))
+    owner = F.get("holders", F.pmod(F.xxhash64("term"), F.size("holders")).cast("int"))
+    chosen = words.withColumn("_owner", owner)
+    return materialise(
+        chosen.select("term", "cf", F.col("_owner.holder").alias("owner"), F.col("_owner.held").alias("owned"), "holders"), "lda-vocabulary"
+    )
+
+
+def _start(vocab: DataFrame, k: int, *carry: str) -> DataFrame:
     """Counts to begin with: a word's occurrences, times 0.5 to 1.5 by a hash of word and topic."""
     def share(topic: int) -> Column:
         digest = F.md5(F.concat("term", F.lit(f":{topic}")))
         return 0.5 + F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2**32)
 
-    return vocab.select("term", F.array(*[F.col("cf") * share(i) for i in range(k)]).alias("counts"))
+    return vocab.select(*carry, F.array(*[F.col("cf") * share(i) for i in range(k)]).alias("counts"))
+
+
+def _lists(matrix: np.ndarray) -> pa.Array:
+    n, k = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k).astype("i4")), pa.array(matrix.ravel()))
+
+
+def _named(words: pa.Table, letters: pa.Table, k: int) -> pa.Table:
+    """The words of one block and their counts, which are in the order of the words' numbers."""
+    by_number = words.take(np.argsort(words.column("owned").to_numpy()))
+    numbers = _bytes(letters, "numbers", "f8").reshape(-1, k)
+    return pa.table({"term": by_number.column("term").combine_chunks().cast(pa.string()), "counts": _lists(numbers)})
+
+
+def _shares(docs: pa.Table, letters: pa.Table, k: int) -> pa.Table:
+    rows = _bytes(docs.sort_by("chunk"), "row", "i8")
+    numbers = _bytes(letters.sort_by("sender"), "numbers", "f8").reshape(-1, k) if letters.num_rows else np.full((len(rows), k), 1.0 / k)
+    return pa.table({"row": pa.array(rows), "_shares": _lists(numbers)})
 
 
 def fit_lda(
@@ -229,35 +326,50 @@ def fit_lda(
     bag = _bag(F.col("tokens"))
     every = materialise(
         docs.select(key, F.monotonically_increasing_id().alias("row"), bag.alias("_bag")).select(
-            key, "row", F.col("_bag.term").alias("terms"), F.col("_bag.n").cast("array<double>").alias("counts")
+            key, "row", F.col("_bag.term").alias("terms"), F.col("_bag.n").cast("array<int>").alias("counts")
         ),
         "lda-docs",
-    ).withColumn("scored", F.array_repeat(F.lit(0.0), F.size("terms")))
-    vocab = _term_rows(every).groupBy("term").agg(F.count("*").alias("df"), F.sum("counts").alias("cf"))
-    if min_df > 1:
-        vocab = vocab.filter(F.col("df") >= min_df)
-    if max_vocab is not None:
-        vocab = vocab.orderBy(F.desc("cf"), "term").limit(max_vocab)
-    vocab = materialise(vocab, "lda-vocabulary")
-    rows = every.filter(F.size("terms") > 0).drop(key)
+    ).withColumn("scored", F.array_repeat(F.lit(0), F.size("terms")))
+    rows = every.drop(key)
     if min_df > 1 or max_vocab is not None:
-        rows = materialise(_in_vocabulary(rows, vocab), "lda-rows")
-    state = _blocks(rows, "lda-blocks")
-    words = materialise(_start(vocab, k), "lda-words")
-    n_terms = vocab.count()
+        vocab = _term_rows(every).groupBy("term").agg(F.count("*").alias("df"), F.sum("counts").alias("cf")).filter(F.col("df") >= min_df)
+        if max_vocab is not None:
+            vocab = vocab.orderBy(F.desc("cf"), "term").limit(max_vocab)
+        rows = materialise(_in_vocabulary(rows.filter(F.size("terms") > 0), vocab), "lda-rows")
+    blocks, n_blocks = _blocks(rows, "lda-blocks")
+    words = _owned_words(blocks)
+    n_terms = words.count()
+    index = _index(words)
+    as_holder = index.select(F.col("holder").alias("block"), "owner", "held")
+    held = _held(_packed_docs(blocks).drop("row", "scored").withColumn("scored", F.lit(None).cast("binary")).unionByName(as_holder, True), n_blocks)
+    owned = _held(index.select(F.col("owner").alias("block"), "holder", "owned"), n_blocks)
+    started = _start(words.withColumnRenamed("owner", "block"), k, "block", "owned")
+    first = started.groupBy("block").applyInArrow(lambda table: _first_letters(table, k), LETTER)
+    holders = list(blocks.agg(F.array_sort(F.collect_set("block"))).head()[0])
+    add = partial(_added, blocks=holders, k=k)
+    deal = partial(_dealt, n_terms=n_terms, k=k, alpha=alpha, eta=eta, inner=inner)
+    letters = materialise(_together(owned, first, add, LETTER), "lda-letters")
     for _ in range(iterations if n_terms else 0):
-        state, words = _step(state, words, n_terms, _totals(words, k), alpha, eta, inner)
+        letters = _replaced(letters, _together(owned, _together(held, letters, deal, LETTER), add, LETTER), "lda-letters")
+    own = letters.filter((F.col("kind") == "counts") & (F.col("block") == F.col("sender")))
+    named = words.select(F.col("owner").alias("block"), "owned", "term")
+    words = materialise(_together(named, own, partial(_named, k=k), "term string, counts array<double>"), "lda-words")
+    rows_of = _packed_docs(blocks).select("block", "chunk", "row")
+    shared = _together(rows_of, letters.filter("kind = 'weights'"), partial(_shares, k=k), "row bigint, _shares array<double>")
     totals = [x or 0.0 for x in _totals(words, k)]
     spread = F.array(*[(F.lit(eta) + F.get("counts", F.lit(i))) / F.lit(n_terms * eta + t) for i, t in enumerate(totals)])
     topic_term = words.select("term", F.posexplode(spread).alias("topic", "weight")).select("topic", "term", "weight")
-    fitted = state.filter(F.col("row").isNotNull()).select("row", F.col("weights").alias("_shares"))
     equal = F.array_repeat(F.lit(1.0 / k), k)
     shares = materialise(
-        every.select(key, "row").join(fitted, "row", "left").select(
+        every.select(key, "row").join(shared, "row", "left").select(
             key, F.coalesce("_shares", equal).alias("shares"), F.col("_shares").isNotNull().alias("known")
         ),
         "lda-shares",
     )
+    for table in (held, owned):
+        table.unpersist()
+    for table in (letters, index, blocks):
+        forget(docs.sparkSession, stored_at(table))
     doc_topic = shares.select(key, F.posexplode("shares").alias("topic", "weight"))
     return LdaResult(topic_term, doc_topic, shares, words, totals, n_terms, alpha, eta)
 
@@ -266,20 +378,36 @@ def fit_lda(
 
 
 def _completed(docs: pa.Table, route: pa.Table, n_terms: int, totals: np.ndarray, alpha: float, eta: float, steps: int) -> pa.Table:
-    """Topics of each document from its observed words, and the log-likelihood of the others."""
-    k = len(totals)
-    words = _word_shares(route, n_terms, totals, eta)
-    sizes, places, counts, scored = _columns(docs)
-    likelihood = np.zeros(len(sizes))
-    weights = np.full((len(sizes), k), 1.0 / k)
-    for rows, span in _slices(sizes, k):
-        for _ in range(steps):
-            _, weights[rows] = _topics_of(places[span], counts[span], sizes[rows], weights[rows], words, alpha)
-        owner = np.repeat(np.arange(rows.start, rows.stop), sizes[rows])
-        each = scored[span] * np.log((weights[owner] * words[places[span]]).sum(axis=1))
-        likelihood[rows] = np.add.reduceat(each, np.cumsum(sizes[rows]) - sizes[rows])
-    n_scored = np.add.reduceat(scored, np.cumsum(sizes) - sizes)
-    return pa.table({"row": docs.column("row"), "log_likelihood": pa.array(likelihood), "n_words": pa.array(n_scored.astype("i8"))})
+    """Topics of each document from its observed words, and the log-likelihood of the others; unknown words are left out."""
+    at = route.column("at").to_numpy()
+    k, v = len(totals), int(at.max()) + 1 if len(at) else 0
+    known, words = np.zeros(v, bool), np.empty((v, k))
+    known[at] = True
+    counts_of = route.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, k)
+    words[at] = (eta + counts_of) / (n_terms * eta + totals)
+    parts = []
+    packed = docs.to_pylist()
+    for one, (sizes, places, counts, scored) in zip(packed, _columns(packed)):
+        kept = np.flatnonzero(places < v)
+        kept = kept[known[places[kept]]]
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+        row, sizes = np.frombuffer(one["row"], "i8")[sizes > 0], sizes[sizes > 0]
+        places, counts, scored = places[kept], counts[kept], scored[kept]
+        likelihood = np.zeros(len(sizes))
+        weights = np.full((len(sizes), k), 1.0 / k)
+        for rows, span in _slices(sizes, CELLS // k):
+            for _ in range(steps):
+                _, weights[rows] = _topics_of(places[span], counts[span], sizes[rows], weights[rows], words, alpha)
+            owner = np.repeat(np.arange(rows.start, rows.stop), sizes[rows])
+            each = scored[span] * np.log((weights[owner] * words[places[span]]).sum(axis=1))
+            likelihood[rows] = np.add.reduceat(each, np.cumsum(sizes[rows]) - sizes[rows])
+        if len(row):
+            n_scored = np.add.reduceat(scored, np.cumsum(sizes) - sizes)
+            parts.append((row, likelihood, n_scored.astype("i8")))
+    schema = _arrow("row bigint, log_likelihood double, n_words bigint")
+    if not parts:
+        return schema.empty_table()
+    return pa.table([pa.array(np.concatenate(column)) for column in zip(*parts)], schema)
 
 
 def completion(result: LdaResult, docs: DataFrame, steps: int = 20, key: str = "doc_id") -> DataFrame:
@@ -292,8 +420,8 @@ def completion(result: LdaResult, docs: DataFrame, steps: int = 20, key: str = "
     even = _bag(F.filter("tokens", lambda w, i: i % 2 == 0))
     odd = _bag(F.filter("tokens", lambda w, i: i % 2 == 1))
     listed = F.concat(
-        F.transform(even, lambda b: F.struct(b["term"].alias("term"), b["n"].cast("double").alias("counts"), F.lit(0.0).alias("scored"))),
-        F.transform(odd, lambda b: F.struct(b["term"].alias("term"), F.lit(0.0).alias("counts"), b["n"].cast("double").alias("scored"))),
+        F.transform(even, lambda b: F.struct(b["term"].alias("term"), b["n"].cast("int").alias("counts"), F.lit(0).alias("scored"))),
+        F.transform(odd, lambda b: F.struct(b["term"].alias("term"), F.lit(0).alias("counts"), b["n"].cast("int").alias("scored"))),
     )
     every = materialise(
         docs.select(key, F.monotonically_increasing_id().alias("row"), listed.alias("_both")).select(
@@ -301,13 +429,13 @@ def completion(result: LdaResult, docs: DataFrame, steps: int = 20, key: str = "
         ),
         "held-out",
     )
-    rows = materialise(_in_vocabulary(every.drop(key), result.words.select("term")), "held-out-rows")
-    state = _blocks(rows, "held-out-blocks")
+    blocks, _ = _blocks(every.drop(key), "held-out-blocks")
+    # A word is in a block once, so none is hot.
+    routed = blocks.filter(F.col("term").isNotNull()).select("block", "at", "term").join(result.words, "term").select("block", "at", "counts")
     work = partial(
         _completed, n_terms=result.n_terms, totals=np.array(result.totals), alpha=result.alpha, eta=result.eta, steps=steps
     )
-    both = state.filter(F.col("row").isNotNull()).groupBy("block").cogroup(_routed(state, result.words).groupBy("block"))
-    found = both.applyInArrow(lambda docs, route: work(docs, route), "row bigint, log_likelihood double, n_words bigint")
+    found = _together(_packed_docs(blocks), routed, work, "row bigint, log_likelihood double, n_words bigint")
     return every.select(key, "row").join(found, "row", "left").select(
         key, F.coalesce("log_likelihood", F.lit(0.0)).alias("log_likelihood"), F.coalesce("n_words", F.lit(0)).alias("n_words")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -65,6 +66,17 @@ def forget(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def stored_at(stored: DataFrame) -> str:
+    """The folder of a table that ``materialise`` returned."""
+    return stored.inputFiles()[0].rpartition("/")[0]
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done: it does so for what the driver's JVM has collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def begin_stage(spark: SparkSession, name: str) -> None:
     """Tables stored from now on belong to a stage of this name; those of the stage before are deleted.
 
