@@ -1,5 +1,6 @@
 """Fitted models: shapes, sums, numbering and repeatability."""
 
+import os
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from themeloom.operators import cleaning, lda
 from themeloom.plans import models
-from themeloom.session import materialise
+from themeloom.session import materialise, scratch_folder
 
 
 @pytest.fixture(scope="module")
@@ -129,6 +130,15 @@ def test_lda_keeps_nothing_on_the_driver(docs, monkeypatch):
     assert rows and all(len(found) == 1 and len(found[0]) <= 4 for found in rows)
 
 
+def test_lda_keeps_no_round_on_disk(spark):
+    """What the rounds wrote, and the blocks, are gone when the fit is done; several blocks took part."""
+    before = set(os.listdir(scratch_folder(spark)))
+    fitted = lda.fit_lda(planted(spark), k=3, iterations=2)
+    left = {name.rpartition("-")[0] for name in set(os.listdir(scratch_folder(spark))) - before}
+    assert left == {"lda-docs", "lda-vocabulary", "lda-words", "lda-shares"}
+    assert fitted.shares.count() == 150
+
+
 def test_lda_model(docs):
     model = models.lda_topics(docs, k=4, iterations=3, max_vocab=1_000)
     assert model.keywords(5).count() == 4

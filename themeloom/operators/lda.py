@@ -5,8 +5,8 @@ zero without the exclusion of a word's own count). Word k's share of topic t is
 ``(eta + count) / (terms * eta + total)``, a document's ``(alpha + count) / (k * alpha + words)``,
 and a word in a document is dealt to the topics in proportion to the product of both.
 
-Documents lie in blocks of up to ``WORDS_PER_BLOCK`` (document, word) pairs, one for each core if
-they are fewer; inside a block a word is a number. Blocks stay where they are, packed and kept on
+Documents become blocks where they are read, of about ``WORDS_PER_BLOCK`` (document, word) pairs, one
+for each core if they are fewer; inside a block a word is a number. Blocks stay where they are, packed and kept on
 local disk. Each word has an owner among the blocks that hold it. A round has two halves, in which
 blocks write to each other: ``_dealt`` works through a block as matrices and sends what it has
 counted to the owners, ``_added`` adds that up and sends the new counts to the holders. Both sides
@@ -24,7 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +35,7 @@ from themeloom.session import forget, materialise, release_shuffles, stored_at
 WORDS_PER_BLOCK = 16_000_000  # (document, word) pairs that one task holds, 8 bytes each
 LEAST_IN_BLOCK = 20_000  # fewer aren't worth a task
 PAIRS_PER_ROW = 1_000_000  # of a block, packed into one row
+MOST_OF_TASK = 10_000  # blocks
 CELLS = 4_000_000  # numbers worked on at once
 BLOCK = "block int, chunk int, row binary, sizes binary, places binary, counts binary, scored binary, at int, term string, n bigint"
 INDEX = "owner int, holder int, owned binary, held binary"
@@ -75,9 +76,8 @@ def _in_vocabulary(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     return kept.select("row", *[F.col(f"_kept.{old}").alias(new) for old, new in (("term", "terms"), ("counts", "counts"), ("scored", "scored"))])
 
 
-def _numbered_words(table: pa.Table) -> pa.Table:
+def _numbered_words(block: int, table: pa.Table) -> pa.Table:
     """One block: its documents packed, the words as numbers, and a row that says which word has which."""
-    block = table.column("block")[0].as_py()
     terms = table.column("terms").combine_chunks()
     words = terms.flatten().dictionary_encode()
     sizes = terms.value_lengths().to_numpy().astype("i4")
@@ -106,22 +106,38 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
 
 
-def _block_ids(rows: DataFrame, n: int) -> Column:
-    """``n`` numbers that a hash partitioning into ``n`` parts puts into one part each, as an array."""
-    numbers = rows.sparkSession.range(64 * n + 64).select(F.col("id").cast("int").alias("id"))
-    firsts = numbers.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("id"))
-    return F.array(*[F.lit(i) for i in firsts.agg(F.array_sort(F.collect_list("id"))).head()[0]])
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The documents of a task in blocks of about ``most`` pairs, numbered so that no other task uses the number."""
+    part, number, held, pairs = TaskContext.get().partitionId(), 0, [], 0
+    for batch in batches:
+        held.append(batch)
+        pairs += len(batch.column("terms").flatten())
+        if pairs >= most:
+            yield from _numbered_words(part * MOST_OF_TASK + number, pa.Table.from_batches(held)).to_batches()
+            number, held, pairs = number + 1, [], 0
+    if pairs:
+        yield from _numbered_words(part * MOST_OF_TASK + number, pa.Table.from_batches(held)).to_batches()
 
 
-def _blocks(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Stored blocks of ``rows(row, terms, counts, scored)`` that have words, and how many there are at most."""
+def _blocks(rows: DataFrame, name: str) -> tuple[DataFrame, list[int]]:
+    """Stored blocks of ``rows(row, terms, counts, scored)`` that have words, and their numbers.
+
+    Documents become blocks where they are read. The numbers are such that a hash partitioning into
+    as many parts as there are blocks puts one into each, so that blocks are dealt evenly.
+    """
     pairs = rows.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n")).head()["n"]
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    n = max(1, -(-pairs // WORDS_PER_BLOCK), min(cores, -(-pairs // LEAST_IN_BLOCK)))
-    at = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
-    dealt = rows.filter(F.size("terms") > 0).withColumn("block", F.get(_block_ids(rows, n), at))
-    # One number for each part: the blocks are dealt evenly, and no part holds two.
-    return materialise(dealt.repartition(n, "block").groupBy("block").applyInArrow(_numbered_words, BLOCK), name), n
+    spark = rows.sparkSession
+    n = max(1, -(-pairs // WORDS_PER_BLOCK), min(spark.sparkContext.defaultParallelism, -(-pairs // LEAST_IN_BLOCK)))
+    docs = rows.filter(F.size("terms") > 0).select("row", "terms", "counts", "scored").coalesce(n)
+    most = WORDS_PER_BLOCK
+    blocks = materialise(docs.mapInArrow(lambda batches: _cut(batches, most), BLOCK), name, compression="zstd")
+    cut = blocks.filter(F.col("chunk") == 0).agg(F.array_sort(F.collect_set("block"))).head()[0]
+    parts = max(1, len(cut))
+    firsts = spark.range(64 * parts + 64).select(F.col("id").cast("int").alias("id"))
+    firsts = firsts.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.min("id").alias("id"))
+    numbers = firsts.agg(F.array_sort(F.collect_list("id"))).head()[0][: len(cut)]
+    place = F.array_position(F.array(*[F.lit(x).cast("int") for x in cut]), F.col("block")).cast("int") - 1
+    return blocks.withColumn("block", F.get(F.array(*[F.lit(x).cast("int") for x in numbers]), place)), numbers
 
 
 def _packed_docs(blocks: DataFrame) -> DataFrame:
@@ -255,12 +271,11 @@ def _together(table: DataFrame, letters: DataFrame, work: Callable[[pa.Table, pa
     return table.groupBy("block").cogroup(letters.groupBy("block")).applyInArrow(lambda rows, sent: work(rows, sent), schema)
 
 
-def _replaced(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
-    """``new``, stored; ``old`` and the shuffled letters that led from it are deleted."""
-    stored = materialise(new, name)
-    forget(stored.sparkSession, stored_at(old))
-    release_shuffles(stored.sparkSession)
-    return stored
+def _forgotten(letters: DataFrame | None) -> None:
+    """Delete stored letters that have been answered, and the shuffled ones between them and the answers."""
+    if letters is not None:
+        forget(letters.sparkSession, stored_at(letters))
+        release_shuffles(letters.sparkSession)
 
 
 def _totals(words: DataFrame, k: int) -> list[float]:
@@ -329,6 +344,7 @@ def fit_lda(
             key, "row", F.col("_bag.term").alias("terms"), F.col("_bag.n").cast("array<int>").alias("counts")
         ),
         "lda-docs",
+        compression="zstd",
     ).withColumn("scored", F.array_repeat(F.lit(0), F.size("terms")))
     rows = every.drop(key)
     if min_df > 1 or max_vocab is not None:
@@ -336,7 +352,8 @@ def fit_lda(
         if max_vocab is not None:
             vocab = vocab.orderBy(F.desc("cf"), "term").limit(max_vocab)
         rows = materialise(_in_vocabulary(rows.filter(F.size("terms") > 0), vocab), "lda-rows")
-    blocks, n_blocks = _blocks(rows, "lda-blocks")
+    blocks, numbers = _blocks(rows, "lda-blocks")
+    n_blocks = max(1, len(numbers))
     words = _owned_words(blocks)
     n_terms = words.count()
     index = _index(words)
@@ -345,12 +362,13 @@ def fit_lda(
     owned = _held(index.select(F.col("owner").alias("block"), "holder", "owned"), n_blocks)
     started = _start(words.withColumnRenamed("owner", "block"), k, "block", "owned")
     first = started.groupBy("block").applyInArrow(lambda table: _first_letters(table, k), LETTER)
-    holders = list(blocks.agg(F.array_sort(F.collect_set("block"))).head()[0])
-    add = partial(_added, blocks=holders, k=k)
+    add = partial(_added, blocks=numbers, k=k)
     deal = partial(_dealt, n_terms=n_terms, k=k, alpha=alpha, eta=eta, inner=inner)
-    letters = materialise(_together(owned, first, add, LETTER), "lda-letters")
+    letters, stored = _together(owned, first, add, LETTER), None
     for _ in range(iterations if n_terms else 0):
-        letters = _replaced(letters, _together(owned, _together(held, letters, deal, LETTER), add, LETTER), "lda-letters")
+        letters = materialise(_together(owned, _together(held, letters, deal, LETTER), add, LETTER), "lda-letters")
+        _forgotten(stored)
+        stored = letters
     own = letters.filter((F.col("kind") == "counts") & (F.col("block") == F.col("sender")))
     named = words.select(F.col("owner").alias("block"), "owned", "term")
     words = materialise(_together(named, own, partial(_named, k=k), "term string, counts array<double>"), "lda-words")
@@ -368,8 +386,8 @@ def fit_lda(
     )
     for table in (held, owned):
         table.unpersist()
-    for table in (letters, index, blocks):
-        forget(docs.sparkSession, stored_at(table))
+    for table in (stored, index, blocks):
+        _forgotten(table)
     doc_topic = shares.select(key, F.posexplode("shares").alias("topic", "weight"))
     return LdaResult(topic_term, doc_topic, shares, words, totals, n_terms, alpha, eta)
 
@@ -428,6 +446,7 @@ def completion(result: LdaResult, docs: DataFrame, steps: int = 20, key: str = "
             key, "row", *[F.col(f"_both.{old}").alias(new) for old, new in (("term", "terms"), ("counts", "counts"), ("scored", "scored"))]
         ),
         "held-out",
+        compression="zstd",
     )
     blocks, _ = _blocks(every.drop(key), "held-out-blocks")
     # A word is in a block once, so none is hot.
