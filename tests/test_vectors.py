@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,23 @@ def test_learned_words(spark):
     assert em.learned_words(alone, length="length").count() == 0  # a word that never has company
 
 
+def test_learned_words_in_pieces(spark, monkeypatch):
+    """Words are added up in each task before they move: copies of a document send no further rows."""
+    texts = ["gato gato perro sol", "perro luna sol", "luna gato"] * 20
+    docs = em.hashed_embedding(spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "doc_id bigint, tokens array<string>"), length="length")
+    whole = {r["term"]: (r["n"], r["embedding"]) for r in em.learned_words(docs, length="length").collect()}
+    one = pa.Table.from_pylist([{"tokens": r["tokens"], "x": r["embedding"], "length": r["length"]} for r in docs.collect()])
+    assert em._company(one, 64).num_rows == 4
+    monkeypatch.setattr(em, "TOKENS_AT_ONCE", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        pieces = {r["term"]: (r["n"], r["embedding"]) for r in em.learned_words(docs, length="length").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(whole) == set(pieces) == {"gato", "perro", "sol", "luna"}
+    assert all(whole[w][0] == pieces[w][0] and np.allclose(whole[w][1], pieces[w][1]) for w in whole)
+
+
 def test_learned_words_of_given_vectors(spark):
     docs = spark.createDataFrame(
         [(["ab", "cd"], [1.0, 0.0, 0.0]), (["cd", "cd"], [0.0, 2.0, 0.0]), (["ef"], None)],

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -17,6 +20,8 @@ from themeloom.operators.vocabulary import MIN_LENGTH
 
 MAX_PCA_DIM = 1_000
 ALONE = 1e-9  # a sum of neighbours no longer than this is a rounding error
+TOKENS_AT_ONCE = 4_000_000  # whose words' vectors a task adds up before they are shuffled
+WORDS_PER_BATCH = 20_000
 MAX_DRIVER_WEIGHTS = 50_000_000  # words x dim held by the driver while Word2Vec trains
 
 
@@ -45,30 +50,103 @@ def learned_words(
     ``1 + ln n``, at length 1 (random indexing). With ``length``, the column that
     ``hashed_embedding`` adds, the word's own sign vector is taken out of every one of them, so
     that only its neighbours count; vectors of an encoder have no such part. A word that never
-    stands beside another, or is found fewer than ``min_count`` times, has no row. One aggregate
-    by word over numbers that each task adds up first; nothing is held by the driver.
+    stands beside another, or is found fewer than ``min_count`` times, has no row. Tasks
+    add up their own documents as matrices and send a row for each of their words; those of a word
+    meet by a shuffle and are added in the order of the words. Nothing is held by the driver.
     """
     known = docs.filter(F.col(embedding).isNotNull())
     first = known.select(F.size(embedding).alias("d")).head()
     dim = first["d"] if first else 1
-    rows = known.select(
-        F.inline(_bag(tokens)), F.col(embedding).alias("_x"), (F.col(length) if length else F.lit(None).cast("double")).alias("_length")
+    own_length = F.col(length).cast("double") if length else F.lit(None).cast("double")
+    rows = known.select(F.col(tokens).alias("tokens"), v.as_doubles(F.col(embedding)).alias("x"), own_length.alias("length"))
+    most = TOKENS_AT_ONCE
+    parts = rows.mapInArrow(lambda batches: _company_of_task(batches, dim, most), "term string, n bigint, own double, company binary")
+    together = parts.repartition("term").sortWithinPartitions("term")
+    hashed = length is not None
+    return together.mapInArrow(lambda batches: _learned(batches, dim, min_count, hashed), "term string, n bigint, embedding array<double>")
+
+
+def _company_of_task(batches: Iterator[pa.RecordBatch], dim: int, most: int) -> Iterator[pa.RecordBatch]:
+    """``(term, n, own, company)`` of the words of some ``most`` tokens at a time."""
+    held, tokens = [], 0
+    for batch in batches:
+        held.append(batch)
+        tokens += len(batch.column("tokens").flatten())
+        if tokens >= most:
+            yield from _company(pa.Table.from_batches(held), dim).to_batches(WORDS_PER_BATCH)
+            held, tokens = [], 0
+    if tokens:
+        yield from _company(pa.Table.from_batches(held), dim).to_batches(WORDS_PER_BATCH)
+
+
+def _company(table: pa.Table, dim: int) -> pa.Table:
+    lists = table.column("tokens").combine_chunks()
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    long_enough = pc.fill_null(pc.greater_equal(pc.utf8_length(flat), MIN_LENGTH), False)
+    doc = np.repeat(np.arange(len(sizes)), sizes)[long_enough.to_numpy(zero_copy_only=False)]
+    words = flat.filter(long_enough).dictionary_encode()
+    # Each (word, document) once, by word.
+    pairs, n = np.unique(words.indices.to_numpy().astype("i8") * len(sizes) + doc, return_counts=True)
+    word, doc = pairs // max(1, len(sizes)), pairs % max(1, len(sizes))
+    weight = 1.0 + np.log(n)
+    x = v.matrix_of(table.column("x").combine_chunks())
+    lengths = table.column("length").to_numpy(zero_copy_only=False).astype("f8")
+    found = len(words.dictionary)
+    sums = np.zeros((found, dim))
+    for s in v.slices(len(pairs), dim):
+        begins = np.flatnonzero(np.diff(word[s], prepend=-1))
+        sums[word[s][begins]] += np.add.reduceat(x[doc[s]] * weight[s, None], begins, axis=0)
+    own = np.bincount(word, weight * weight / lengths[doc], found)
+    return pa.table(
+        {
+            "term": words.dictionary.cast(pa.string()),
+            "n": pa.array(np.bincount(word, n, found).astype("i8")),
+            "own": pa.array(own),
+            "company": _packed(sums),
+        }
     )
-    weight = 1.0 + F.log(F.col("n").cast("double"))
-    rows = rows.withColumn("_w", weight)
-    sums = rows.groupBy("term").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("_w") * F.col("_w") / F.col("_length")).alias("_own"),
-        *[F.sum(F.col("_w") * F.get("_x", F.lit(j))).alias(f"_s{j}") for j in range(dim)],
-    )
-    company = F.array(*[f"_s{j}" for j in range(dim)])
-    if length is not None:
-        # word_vector is at length 1, the sign vector in a document's sum at length sqrt(dim).
-        own = F.col("_own") * F.lit(math.sqrt(dim))
-        company = F.zip_with(company, v.word_vector(F.col("term"), dim), lambda x, s: x - own * s)
-    learned = sums.filter(F.col("n") >= min_count).select("term", "n", company.alias("_company"))
-    squares = F.aggregate("_company", F.lit(0.0), lambda s, x: s + x * x)
-    return learned.filter(F.sqrt(squares) > ALONE).select("term", "n", v.unit(F.col("_company")).alias("embedding"))
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
+def _learned(batches: Iterator[pa.RecordBatch], dim: int, min_count: int, hashed: bool) -> Iterator[pa.RecordBatch]:
+    """The words of one task, whose parts lie together; the last word of a batch may go on in the next."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        terms = batch.column("term").to_pylist()
+        begins = np.flatnonzero([True, *(a != b for a, b in zip(terms, terms[1:]))])
+        n = np.add.reduceat(batch.column("n").to_numpy(), begins)
+        own = np.add.reduceat(batch.column("own").to_numpy(zero_copy_only=False), begins)
+        company = np.frombuffer(b"".join(batch.column("company").to_pylist()), "f8").reshape(-1, dim)
+        company = np.add.reduceat(company, begins, axis=0)
+        names = [terms[i] for i in begins]
+        if last is not None and last[0][0] == names[0]:
+            n[0], own[0], company[0] = n[0] + last[1][0], own[0] + last[2][0], company[0] + last[3][0]
+        elif last is not None:
+            yield _units(*last, min_count, hashed)
+        if len(names) > 1:
+            yield _units(names[:-1], n[:-1], own[:-1], company[:-1], min_count, hashed)
+        last = names[-1:], n[-1:], own[-1:], company[-1:]
+    if last is not None:
+        yield _units(*last, min_count, hashed)
+
+
+def _units(terms: list[str], n: np.ndarray, own: np.ndarray, company: np.ndarray, min_count: int, hashed: bool) -> pa.RecordBatch:
+    """Vectors at length 1 of the words that are frequent enough and have company."""
+    if hashed:
+        # The sign vector in a document's sum is at length sqrt(dim), not at length 1.
+        digests = pa.array([hashlib.md5(term.encode()).digest() for term in terms], pa.binary())
+        company = company - own[:, None] * v.signs(digests, company.shape[1])
+    kept = (n >= min_count) & (np.sqrt((company * company).sum(axis=1)) > ALONE)
+    vectors = v.lists_of(v.unit_rows(company[kept]), np.ones(int(kept.sum()), bool))
+    names = pa.array([term for term, k in zip(terms, kept) if k], pa.string())
+    return pa.RecordBatch.from_arrays([names, pa.array(n[kept]), vectors], names=["term", "n", "embedding"])
 
 
 def encoded(
