@@ -142,6 +142,18 @@ def test_learned_words(spark):
     assert em.learned_words(alone, length="length").count() == 0  # a word that never has company
 
 
+def test_document_vector_hashes_a_word_once(spark):
+    """However many documents of a batch hold a word; nulls, empty lists and short words are none."""
+    lists = pa.array([["sol", "luna", "sol", "a", None], [], None, ["sol"] * 3, ["luna", "sol"]], pa.list_(pa.string()))
+    words, word, owner = v.words_of(lists, 2)
+    assert words.to_pylist() == ["luna", "sol"] and word.tolist() == [1, 0, 1, 1, 1, 1, 0, 1] and owner.tolist() == [0, 0, 0, 3, 3, 3, 4, 4]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lists.to_pylist())], "doc_id int, tokens array<string>")
+    found = {r["doc_id"]: r["embedding"] for r in em.hashed_embedding(docs).collect()}
+    assert found[1] is None and found[2] is None
+    assert np.allclose(found[0], unit(sign_vector("luna", 64) + (1 + math.log(2)) * sign_vector("sol", 64)))
+    assert np.allclose(found[3], unit(sign_vector("sol", 64)))
+
+
 def test_learned_words_in_pieces(spark, monkeypatch):
     """Words are added up in each task before they move: copies of a document send no further rows."""
     texts = ["gato gato perro sol", "perro luna sol", "luna gato"] * 20

@@ -7,10 +7,12 @@ most a small matrix (the topic vectors) and is narrow. A null vector gives a nul
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -183,30 +185,58 @@ def word_vector(word: Column, dim: int = HASH_DIM) -> Column:
     return vector(digest(word))
 
 
-def document_vector(bag: Column, dim: int = HASH_DIM) -> Column:
+def words_of(lists: pa.Array, min_length: int, ordered: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a batch of token lists, and the word's number and the list of each token.
+
+    Null and shorter tokens are left out. Words are in order, or as they are first found.
+    """
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    kept = pc.fill_null(pc.greater_equal(pc.utf8_length(flat), min_length), False)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[kept.to_numpy(zero_copy_only=False)]
+    coded = flat.filter(kept).dictionary_encode()
+    if not ordered:
+        return coded.dictionary, coded.indices.to_numpy().astype("i8"), owner
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), "i8")
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()], owner
+
+
+def digests_of(words: pa.Array) -> pa.Array:
+    return pa.array([hashlib.md5(word.encode()).digest() for word in words.to_pylist()], pa.binary())
+
+
+def document_vector(tokens: Column, dim: int = HASH_DIM, min_length: int = 1) -> Column:
     """``struct<vector, length>``: the sum of the sign vectors of a document's words, each times
     ``1 + ln n``, scaled to length 1, and the length it had.
 
     A random projection of the document's log-count vector: cosines are kept up to noise of
-    about ``1 / sqrt(dim)``, and documents and words share one space. Null without words.
+    about ``1 / sqrt(dim)``, and documents and words share one space. Null without words. A
+    batch counts its tokens as numbers and hashes a word once.
     """
     check_hash_dim(dim)
 
     @vector_function("struct<vector:array<double>,length:double>")
-    def vector(digests: pa.Array, weights: pa.Array) -> pa.Array:
-        sizes = digests.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes)
-        words, weight = digests.flatten(), weights.flatten().to_numpy(zero_copy_only=False)
-        out = np.zeros((len(sizes), dim))
+    def vector(lists: pa.Array) -> pa.Array:
+        words, word, owner = words_of(lists, min_length)
+        # Each (document, word) once, a document's words in order.
+        pairs, n = np.unique(owner * max(1, len(words)) + word, return_counts=True)
+        owner, word = pairs // max(1, len(words)), pairs % max(1, len(words))
+        weight = 1.0 + np.log(n)
+        digests = digests_of(words)
+        out = np.zeros((len(lists), dim))
+        ends = np.searchsorted(owner, np.arange(len(lists)), side="right")
+        begins = np.concatenate([[0], ends[:-1]])
         first = 0
-        while first < len(sizes):
-            begin = ends[first] - sizes[first]
-            last = max(first + 1, int(np.searchsorted(ends, begin + _CELLS // dim, side="right")))
-            span = slice(begin, ends[last - 1])
-            filled = first + np.flatnonzero(sizes[first:last])
+        while first < len(lists):
+            last = max(first + 1, int(np.searchsorted(ends, begins[first] + _CELLS // dim, side="right")))
+            span = slice(begins[first], ends[last - 1])
+            filled = first + np.flatnonzero(ends[first:last] > begins[first:last])
             if len(filled):
-                rows = signs(words[span.start : span.stop], dim) * weight[span, None]
-                out[filled] = np.add.reduceat(rows, ends[filled] - sizes[filled] - begin, axis=0)
+                used, at = np.unique(word[span], return_inverse=True)
+                rows = signs(digests.take(pa.array(used)), dim)[at] * weight[span, None]
+                out[filled] = np.add.reduceat(rows, begins[filled] - begins[first], axis=0)
             first = last
         nonzero = out.any(axis=1)
         length = pa.array(np.sqrt((out * out).sum(axis=1)))
@@ -214,7 +244,4 @@ def document_vector(bag: Column, dim: int = HASH_DIM) -> Column:
             [lists_of(unit_rows(out[nonzero]), nonzero), length], names=["vector", "length"], mask=pa.array(~nonzero)
         )
 
-    return vector(
-        F.transform(bag, lambda b: digest(b["term"])),
-        F.transform(bag, lambda b: 1.0 + F.log(b["n"].cast("double"))),
-    )
+    return vector(tokens)

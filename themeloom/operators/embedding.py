@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import vectors as v
-from themeloom.functions.arrays import bag_of_words
 from themeloom.operators.vocabulary import MIN_LENGTH
 
 MAX_PCA_DIM = 1_000
@@ -25,17 +22,13 @@ WORDS_PER_BATCH = 20_000
 MAX_DRIVER_WEIGHTS = 50_000_000  # words x dim held by the driver while Word2Vec trains
 
 
-def _bag(tokens: str) -> Column:
-    return bag_of_words(F.filter(F.col(tokens), lambda w: F.length(w) >= MIN_LENGTH))
-
-
 def hashed_embedding(docs: DataFrame, dim: int = v.HASH_DIM, tokens: str = "tokens", length: str | None = None) -> DataFrame:
     """Add ``embedding``: a unit vector made of the words alone, no model and no shuffle.
 
     Null for a document without words. ``length`` names a further column for the length the
     vector had, which ``learned_words`` needs to tell a word's own part in it.
     """
-    found = docs.withColumn("_bag", _bag(tokens)).withColumn("_hashed", v.document_vector(F.col("_bag"), dim)).drop("_bag")
+    found = docs.withColumn("_hashed", v.document_vector(F.col(tokens), dim, MIN_LENGTH))
     if length is not None:
         found = found.withColumn(length, F.col("_hashed.length"))
     return found.withColumn("embedding", F.col("_hashed.vector")).drop("_hashed")
@@ -80,19 +73,15 @@ def _company_of_task(batches: Iterator[pa.RecordBatch], dim: int, most: int) ->
 
 
 def _company(table: pa.Table, dim: int) -> pa.Table:
-    lists = table.column("tokens").combine_chunks()
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = lists.flatten()
-    long_enough = pc.fill_null(pc.greater_equal(pc.utf8_length(flat), MIN_LENGTH), False)
-    doc = np.repeat(np.arange(len(sizes)), sizes)[long_enough.to_numpy(zero_copy_only=False)]
-    words = flat.filter(long_enough).dictionary_encode()
+    # As first found: rare words of one document have one vector and stay together, which packs well.
+    words, word, doc = v.words_of(table.column("tokens").combine_chunks(), MIN_LENGTH, ordered=False)
     # Each (word, document) once, by word.
-    pairs, n = np.unique(words.indices.to_numpy().astype("i8") * len(sizes) + doc, return_counts=True)
-    word, doc = pairs // max(1, len(sizes)), pairs % max(1, len(sizes))
+    pairs, n = np.unique(word * table.num_rows + doc, return_counts=True)
+    word, doc = pairs // table.num_rows, pairs % table.num_rows
     weight = 1.0 + np.log(n)
     x = v.matrix_of(table.column("x").combine_chunks())
     lengths = table.column("length").to_numpy(zero_copy_only=False).astype("f8")
-    found = len(words.dictionary)
+    found = len(words)
     sums = np.zeros((found, dim))
     for s in v.slices(len(pairs), dim):
         begins = np.flatnonzero(np.diff(word[s], prepend=-1))
@@ -100,7 +89,7 @@ def _company(table: pa.Table, dim: int) -> pa.Table:
     own = np.bincount(word, weight * weight / lengths[doc], found)
     return pa.table(
         {
-            "term": words.dictionary.cast(pa.string()),
+            "term": words.cast(pa.string()),
             "n": pa.array(np.bincount(word, n, found).astype("i8")),
             "own": pa.array(own),
             "company": _packed(sums),
@@ -123,7 +112,8 @@ def _learned(batches: Iterator[pa.RecordBatch], dim: int, min_count: int, hashed
         begins = np.flatnonzero([True, *(a != b for a, b in zip(terms, terms[1:]))])
         n = np.add.reduceat(batch.column("n").to_numpy(), begins)
         own = np.add.reduceat(batch.column("own").to_numpy(zero_copy_only=False), begins)
-        company = np.frombuffer(b"".join(batch.column("company").to_pylist()), "f8").reshape(-1, dim)
+        packed = batch.column("company").cast(pa.binary(8 * dim))
+        company = np.frombuffer(packed.buffers()[1], "f8", dim * len(packed), 8 * dim * packed.offset).reshape(-1, dim)
         company = np.add.reduceat(company, begins, axis=0)
         names = [terms[i] for i in begins]
         if last is not None and last[0][0] == names[0]:
@@ -141,8 +131,7 @@ def _units(terms: list[str], n: np.ndarray, own: np.ndarray, company: np.ndarray
     """Vectors at length 1 of the words that are frequent enough and have company."""
     if hashed:
         # The sign vector in a document's sum is at length sqrt(dim), not at length 1.
-        digests = pa.array([hashlib.md5(term.encode()).digest() for term in terms], pa.binary())
-        company = company - own[:, None] * v.signs(digests, company.shape[1])
+        company = company - own[:, None] * v.signs(v.digests_of(pa.array(terms)), company.shape[1])
     kept = (n >= min_count) & (np.sqrt((company * company).sum(axis=1)) > ALONE)
     vectors = v.lists_of(v.unit_rows(company[kept]), np.ones(int(kept.sum()), bool))
     names = pa.array([term for term, k in zip(terms, kept) if k], pa.string())
