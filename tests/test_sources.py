@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,30 @@ def test_text_folder_tasks(spark, tmp_path, monkeypatch):
     ]
 
 
+def test_short_files_make_few_tasks():
+    """A task of short files holds thousands of them: its start costs as much as they do."""
+    files = [(f"f{k:06d}", 3_000) for k in range(100_000)]
+    cut = folder_source.runs(files, 12)
+    assert len(cut) <= 20 and sum(len(run.paths) for run in cut) == 100_000
+
+
+def test_tasks_write_in_folders_of_their_own(tmp_path):
+    made = []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *args, **options: made.append((name, *args)) or getattr(local, name)(*args, **options)
+
+    local, path = folder_source.store(str(tmp_path))
+    batch = pa.RecordBatch.from_pydict({"name": ["a.txt", "b.txt"], "value": ["uno", None]})
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(folder_source, "store", lambda folder: (Store(), path))
+        folder_source.FolderWriter(str(tmp_path)).write(iter([batch]))
+    opened = [args[1] for args in made if args[0] == "open_output_stream"]
+    assert len(opened) == 2 and all(name.rpartition("/")[0] != path for name in opened)
+    assert sorted((f.name, f.read_text()) for f in tmp_path.iterdir()) == [("a.txt", "uno"), ("b.txt", "")]
+
+
 def test_text_folder_reads_once(spark, tmp_path):
     write(tmp_path, {"a.md": "x"})
     plan = corpus.read_text_folder(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()

@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 SCHEMA = "doc_id bigint, name string, value string"
 SPLIT_BYTES = 128 << 20  # cost of a task's files at most, but for a longer file alone
-OPEN_BYTES = 1 << 20  # opening a file costs as much as reading so many bytes
+OPEN_BYTES = 1 << 14  # opening a file costs as much as reading so many bytes
 BATCH_BYTES = 8 << 20
 
 
@@ -129,7 +129,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class FolderWriter(DataSourceArrowWriter):
-    """One file for each ``(name, value)``. A file appears whole, by a rename, so a task may run again."""
+    """One file for each ``(name, value)``. A file appears whole, by a rename, so a task may run again.
+
+    Tasks write in hidden folders of their own: in one folder they would wait for each other twice a file.
+    """
 
     def __init__(self, folder: str):
         self.folder = folder
@@ -137,12 +140,15 @@ class FolderWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         at, path = store(self.folder)
         at.create_dir(path, recursive=True)
-        unfinished = f"{path}/_{uuid.uuid4().hex}"
+        own = f"{path}/_{uuid.uuid4().hex}"
+        at.create_dir(own)
+        unfinished = f"{own}/text"
         for batch in iterator:
             for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist()):
                 with at.open_output_stream(unfinished, compression=None) as file:
                     file.write((value or "").encode())
                 at.move(unfinished, f"{path}/{name}")
+        at.delete_dir(own)
         return WriterCommitMessage()
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
