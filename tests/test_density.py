@@ -202,6 +202,27 @@ def test_stable_clusters_salted(spark, monkeypatch):
     assert topics == numbered(stable_clusters(points, 2)[0], points)
 
 
+def test_links_are_not_repeated_for_each_scale(spark, monkeypatch):
+    """Many tasks, so that neighbours lie on both sides of their borders; links kept a few at a time."""
+    rows = []
+
+    def counted(df, name, *more):
+        stored, n = joins.materialise_counted(df, name, *more)
+        rows.append((name, n))
+        return stored, n
+
+    monkeypatch.setattr(density, "materialise_counted", counted)
+    monkeypatch.setattr(density, "LINKS_AT_ONCE", 50, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        points = cloud(6, 3)
+        topics, _ = clustered(spark, points)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert topics == numbered(stable_clusters(points, 2)[0], points)
+    assert sum(n for name, n in rows if name == "edges") < 3 * len(points)
+
+
 def test_scale_is_that_of_the_data(spark):
     points = cloud(5)
     found = clustered(spark, points)
