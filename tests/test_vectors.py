@@ -78,6 +78,31 @@ def test_more_topics_than_one_slice(points, topics, monkeypatch):
     assert all(found[d] == t for d, (t, _) in nearest_by_hand().items())
 
 
+def test_rows_are_not_repeated_for_blocks_of_topics(spark, monkeypatch):
+    """Topics pass by held rows in several batches; both ways to find the nearest agree, ties included."""
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-2, 3, size=(60, 4)).astype(float)
+    topics = spark.createDataFrame([(i, [float(x) for x in vectors[(i * 7) % 50]]) for i in range(60)], "topic int, vector array<double>")
+    rows = [(f"d{i}", [float(x) for x in rng.integers(-2, 3, size=4)]) for i in range(80)] + [("none", None), ("zero", [0.0] * 4)]
+    docs = spark.createDataFrame(rows, "name string, embedding array<double>").repartition(3)
+    expected = {r["name"]: r for r in assign.nearest_topic(docs, topics, "name").collect()}
+
+    def refused(*_):
+        raise AssertionError("every row meets every block in a shuffle")
+
+    monkeypatch.setattr(assign, "_scores_in_blocks", refused)
+    monkeypatch.setattr(assign, "MAX_TASK_CELLS", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = assign.nearest_topic(docs, topics, "name", max_cells=16).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["topic"] == expected[r["name"]]["topic"] and r["score"] == pytest.approx(expected[r["name"]]["score"])
+    assert {r["topic"] for r in found if r["name"] in ("none", "zero")} == {-1}
+
+
 @pytest.mark.parametrize("max_cells", [assign.MAX_DRIVER_CELLS, 16])
 def test_word_scores(points, topics, monkeypatch, max_cells):
     monkeypatch.setattr(assign, "TOPICS_PER_BLOCK", 2)
