@@ -427,3 +427,25 @@ def test_block_max_bounds_lose_nothing():
 
 def test_word_pattern():
     assert features.tokens("Ab, c!!") == ["ab", ",", "c", "!!"] and re.findall(mixing.WORD, "a\tb  c\x85d") == ["a", "b", "c\x85d"]
+
+
+def test_checksums_of_stems_go_on_from_shorter_ones(monkeypatch):
+    """The same features as of whole names, without encoding every stem of a word anew."""
+    import zlib
+
+    from themeloom.llm import features
+
+    words = ["", "a", "four", "fives", "imbécile", "überflüssiges", "𐀀stems", "日本語の言葉です", "extraordinary"]
+    encoded = []
+
+    def counted(data, *start):
+        encoded.append(len(data))
+        return zlib.crc32(data, *start)
+
+    monkeypatch.setattr(features, "zlib", type("counting", (), {"crc32": staticmethod(counted)}))
+    for word in words:
+        names = [word, *("^" + word[:n] for n in features.STEMS if len(word) > n)]
+        expected = [(zlib.crc32(n.encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 44 for n in names]
+        encoded.clear()
+        assert features.word_features(word, 20) == expected
+        assert sum(encoded) <= 2 * len(word.encode("utf-8", "surrogatepass"))

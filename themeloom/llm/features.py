@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 STEMS = (4, 5, 6, 7, 8)  # letters of a word that count as its stem
+MARK = zlib.crc32(b"^")  # begins the name of a stem
 KEPT = 600_000  # words that a task remembers something of
 KEPT_HASHES = 150_000  # words whose hash it remembers; another one costs little
 
@@ -34,9 +35,17 @@ def tokens(text: str) -> list[str]:
 
 
 def word_features(word: str, bits: int) -> list[int]:
-    """The features of one word: itself and its first letters."""
-    names = [word, *("^" + word[:n] for n in STEMS if len(word) > n)]
-    return [(zlib.crc32(n.encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - bits) for n in names]
+    """The features of one word: itself and its first letters, whose checksum goes on from that of fewer."""
+    raw = word.encode("utf-8", "surrogatepass")
+    sums = [zlib.crc32(raw)]
+    so_far, at = MARK, 0
+    for n in STEMS:
+        if len(word) <= n:
+            break
+        part = raw[at:n] if len(raw) == len(word) else word[at:n].encode("utf-8", "surrogatepass")
+        so_far, at = zlib.crc32(part, so_far), n
+        sums.append(so_far)
+    return [(s * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - bits) for s in sums]
 
 
 class PerChunk(dict):

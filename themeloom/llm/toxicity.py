@@ -54,6 +54,7 @@ LISTS = {
 }
 WORDS = {name: frozenset(text.split()) for name, text in LISTS.items()}
 EVERY = frozenset().union(*WORDS.values()) - WORDS["hostility"]
+IN_LISTS = frozenset().union(*WORDS.values())
 ADDRESS = frozenset("you your you're u ur tú tu eres vous du dich".split())
 DISGUISED = re.compile(r"[a-z]+[0-9@$!|]+[a-z]+|[0-9@$]+[a-z]{2,}")
 PLAIN = str.maketrans("013457@$!|", "oieastasil")
@@ -78,12 +79,14 @@ class Voters:
     def _mark(self, chunk: str) -> tuple | None:
         """What a chunk adds: lists it is in, listed words, disguise, stretch, address, induced groups."""
         found = tokens(chunk)
-        lists = tuple(i for i, words in enumerate(WORDS.values()) if not words.isdisjoint(found))
-        listed = tuple(w for w in found if w in EVERY)
-        hidden = any(w.translate(PLAIN) in EVERY for w in DISGUISED.findall(chunk))
+        lists = () if IN_LISTS.isdisjoint(found) else tuple(i for i, words in enumerate(WORDS.values()) if not words.isdisjoint(found))
+        listed = tuple(w for w in found if w in EVERY) if lists else ()
+        # Letters alone hide nothing.
+        hidden = not chunk.isalpha() and any(w.translate(PLAIN) in EVERY for w in DISGUISED.findall(chunk))
         drawn = STRETCHED.search(chunk) is not None and any(STRETCHED.sub(r"\1", w) in EVERY for w in found if w not in EVERY)
         address = not ADDRESS.isdisjoint(found) or chunk in ADDRESS
-        groups = tuple({self.group[f] for w in found for f in word_features(w, BITS) if f in self.group}) if self.group else ()
+        marked = [f for w in found for f in word_features(w, BITS) if f in self.group] if self.group else ()
+        groups = tuple({self.group[f] for f in marked}) if marked else ()
         mark = (lists, listed, hidden, drawn, address, groups)
         return mark if any(mark) else None
 
