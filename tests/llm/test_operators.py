@@ -287,6 +287,20 @@ def test_bands_of_lines_miss_few_pairs(spark):
         assert abs(np.mean(same) / line_dedup.BANDS - 0.8**line_dedup.ROWS) < 0.03
 
 
+def test_band_keys_of_a_megabyte_of_lines(spark):
+    pick, rows = np.random.default_rng(5), []
+    for i in range(2500):  # 400 characters each; of 1,500 letters, so that a bin of a long line is seldom empty
+        line = "".join(map(chr, pick.integers(0x4E00, 0x53DC, 400)))
+        rows += [(f"{i}/0", line), (f"{i}/1", line[:360])]
+    rows += [("many", "ab" * 5000), ("few", "ab" * 20), ("one", "a" * 300), ("same", "a" * 8), ("tiny", "a")]
+    lines = spark.createDataFrame(rows, "digest string, line string").repartition(8, "digest").localCheckpoint()
+    cut = line_dedup.band_keys(lines)
+    assert "regexp" not in cut._jdf.queryExecution().executedPlan().toString().lower()  # windows are not cut by a look-ahead
+    of = {r["digest"]: r[1:] for r in cut.collect()}
+    assert len(of) == len(rows) and of["many"] == of["few"] and of["one"] == of["same"] != of["tiny"]
+    assert all(any(x == y for x, y in zip(of[f"{i}/0"], of[f"{i}/1"])) for i in range(2500))
+
+
 def test_quality_learns_a_clear_sign(spark):
     good = [(i, prose(i, 40)) for i in range(0, 300)]
     bad = [(i, " ".join(w + "###" for w in prose(i, 40).split())) for i in range(300, 400)]

@@ -1,11 +1,11 @@
 """Near-duplicate lines by MinHash, in DataFrame functions only.
 
 A line is lower-cased and freed of white space at its ends. Its shingles are all its windows
-of ``WINDOW`` characters, one from each character on; a shorter line is its own shingle. Each of
-the ``ROWS`` places of a band has a permutation of its own, whose range is cut into one bin a
-band: the place takes the smallest hash in the bin, and where that is empty, the smallest of
-another hash that only this place uses. So no two places share a bin or a copied value, and two
-lines agree in each with a probability of their Jaccard similarity, whatever their length.
+of ``WINDOW`` characters, one from each character on; a shorter line is its own shingle. A
+shingle is hashed once, and the hash names one of ``PLACES`` bins and its value there; a bin keeps the
+smallest. A place of a signature takes its own bin or, where that is empty, the first one that
+isn't in a random order of all bins that only this place uses. So two lines agree in each place
+with a probability of their Jaccard similarity, whatever their length.
 ``BANDS`` bands bring candidates together, the exact similarity of the shingle sets is computed,
 and components of links of ``LEAST`` or more keep their first line by document and place.
 
@@ -17,6 +17,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ from themeloom.session import materialise
 WINDOW = 8
 LEAST = 0.8
 BANDS, ROWS = 14, 5
-BOUNDS = [-(1 << 31) + (k << 32) // BANDS for k in range(BANDS)]  # where the bin of each band begins
+PLACES = BANDS * ROWS
+PROBED = 8  # bins of a place's order that are looked at one by one; sparse lines look through the rest
 BLANKS = " \t\r\f\x0b\xa0"
 _SHINGLE = rf"(?s)(?=(.{{{WINDOW}}}|^.{{1,{WINDOW - 1}}}\z))."
 
@@ -43,36 +46,42 @@ def shingles(line: str) -> Column:
     return F.regexp_extract_all(line, F.lit(_SHINGLE), F.lit(1))
 
 
-def _hashes(strings: str, number: int) -> Column:
-    """The hashes of an array of strings; each ``number`` is another permutation."""
-    return F.transform(strings, lambda s: F.hash(s, F.lit(number)))
-
-
-def _least_in_bins(ordered: str) -> Column:
-    """For each bin the first hash at or after its bound, of hashes sorted together with the bounds."""
-    return F.array(*[F.get(ordered, F.array_position(ordered, F.lit(bound)).cast("int")) for bound in BOUNDS])
+def _orders() -> list[list[int]]:
+    """For each place the bins from its own on, in an order of its own."""
+    deal = random.Random(1)
+    return [[own, *deal.sample([b for b in range(PLACES) if b != own], PLACES - 1)] for own in range(PLACES)]
 
 
 def band_keys(all_lines: DataFrame) -> DataFrame:
-    """``(digest, key0 … )`` of ``all_lines(digest, line)``."""
-    bounds = F.array(*[F.lit(bound) for bound in BOUNDS])
-    cut = all_lines.select("digest", shingles("line").alias("s"))
-    hashed = cut.select("digest", "s", *[_hashes("s", p).alias(f"h{p}") for p in range(ROWS)])
-    ordered = hashed.select("digest", "s", *[F.sort_array(F.concat(f"h{p}", bounds)).alias(f"o{p}") for p in range(ROWS)])
-    staged = ordered.select("digest", "s", *[_least_in_bins(f"o{p}").alias(f"f{p}") for p in range(ROWS)])
-
-    def place(k: int, p: int) -> Column:
-        found = F.get(f"f{p}", F.lit(k))
-        held = found.isNotNull() if k + 1 == BANDS else found < BOUNDS[k + 1]
-        return F.when(held, found).otherwise(F.array_min(_hashes("s", ROWS + k * ROWS + p)))
-
-    return staged.select("digest", *[F.xxhash64(F.lit(k), *[place(k, p) for p in range(ROWS)]).alias(f"key{k}") for k in range(BANDS)])
+    """``(digest, key0 … )`` of ``all_lines(digest, line)``, which names each digest once.
+
+    Nothing is shuffled where rows are in partitions by ``digest``.
+    """
+    # Four bytes a character, so that a window is cut without counting characters from the line's begin.
+    cut = all_lines.select("digest", F.encode("line", "UTF-32").alias("wide"), F.greatest(F.length("line") - WINDOW, F.lit(0)).alias("last"))
+    at = cut.select("digest", "wide", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at"))
+    hashed = at.select("digest", F.xxhash64(F.substring("wide", F.col("at") * 4 + 1, F.lit(4 * WINDOW))).alias("h"))
+    binned = hashed.withColumn("bin", F.pmod("h", F.lit(PLACES)).cast("int"))
+    banded = binned.select("digest", "h", (F.col("bin") % BANDS).alias("band"), F.floor(F.col("bin") / BANDS).cast("int").alias("row"))
+    least = banded.groupBy("digest", "band").agg(*[F.min(F.when(F.col("row") == r, F.col("h"))).alias(f"m{r}") for r in range(ROWS)])
+    # Written as SQL: as columns these are some ten thousand calls to the JVM.
+    bins = [F.expr(f"max(CASE WHEN band = {b % BANDS} THEN m{b // BANDS} END)") for b in range(PLACES)]
+    found = least.groupBy("digest").agg(*[b.alias(f"b{k}") for k, b in enumerate(bins)])
+    found = found.select("digest", F.expr(f"array({', '.join(f'b{b}' for b in range(PLACES))})").alias("bins"))
+
+    def place(order: list[int]) -> str:
+        first = ", ".join(f"get(bins, {b})" for b in order[:PROBED])
+        further = f"transform(array({', '.join(map(str, order[PROBED:]))}), b -> get(bins, b))"
+        return f"coalesce({first}, get(filter({further}, h -> h IS NOT NULL), 0))"
+
+    orders = _orders()
+    keys = [", ".join(place(orders[k + r * BANDS]) for r in range(ROWS)) for k in range(BANDS)]
+    return found.select("digest", *[F.expr(f"xxhash64({k}, {places})").alias(f"key{k}") for k, places in enumerate(keys)])
 
 
 def signed(all_lines: DataFrame) -> DataFrame:
     """``(id, digest, key0 … )``: each distinct line once with its band keys."""
-    first = [F.first(f"key{k}").alias(f"key{k}") for k in range(BANDS)]
-    one = band_keys(all_lines).groupBy("digest").agg(*first)
+    one = band_keys(all_lines.select("digest", "line").dropDuplicates(["digest"]))
     return materialise(one.withColumn("id", F.monotonically_increasing_id()), "line-signatures")
 
 
