@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom.llm import (
-    decontaminate, features, fingerprints, line_dedup, mixing, near_dedup, quality, sharding, token_counts, token_files, tokens, toxicity,
+    decontaminate, features, fingerprints, line_dedup, links, mixing, near_dedup, quality, sharding, token_counts, token_files, tokens, toxicity,
 )
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -301,6 +301,34 @@ def test_band_keys_of_a_megabyte_of_lines(spark):
     assert all(any(x == y for x, y in zip(of[f"{i}/0"], of[f"{i}/1"])) for i in range(2500))
 
 
+def test_lines_are_compared_by_hashed_windows(spark):
+    some = ["abcdefghij", "abc", "a\u20ac\U0001f600defgh\u2028", "ab" * 50, "x" * 8, "the same words and the same words"]
+    lines = spark.createDataFrame(list(enumerate(some)), "id bigint, line string")
+    for r in lines.select(line_dedup.bag("line").alias("bag"), F.array_distinct(line_dedup.shingles("line")).alias("windows")).collect():
+        assert len(r["bag"]) == len(set(r["bag"])) == len(r["windows"])
+    texts = spark.createDataFrame([(0, "abcdefghij"), (1, "bcdefghijk"), (2, "zz")], "id bigint, line string")
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "a bigint, b bigint")
+    found = line_dedup._compared(pairs, texts)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 0.5), (0, 2, 0.0)]
+    assert "regexp" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_pairs_of_small_buckets_are_compared_as_they_are(spark, monkeypatch):
+    # 4 is the leader of both buckets by its fullness; 1 and 2 are alike, but neither is like 4, and 7 is only with 4.
+    buckets = spark.createDataFrame([(10, i, 4) for i in (1, 2, 3, 4)] + [(11, i, 2) for i in (4, 7)], "key bigint, id bigint, n bigint")
+    bags = spark.createDataFrame([(i, [i]) for i in (1, 2, 3, 4, 7)], "id bigint, bag array<bigint>")
+    met = []
+
+    def verify(pairs):
+        met.append({tuple(r) for r in pairs.collect()})
+        return pairs.withColumn("sim", F.when(F.expr("(a = 1 AND b = 2) OR (a = 3 AND b = 4)"), 1.0).otherwise(0.0))
+
+    monkeypatch.setattr(links, "prefix_pairs", lambda *_: pytest.fail("buckets of few members need no sets"))
+    found = {r["id"]: r["label"] for r in links.linked_components(buckets, 6, bags, verify, 0.8, 8).collect()}
+    assert found[1] == found[2] != found[3] == found[4] and 7 not in found
+    assert met == [{(1, 4), (2, 4), (3, 4), (4, 7)}, {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4)}]
+
+
 def test_quality_learns_a_clear_sign(spark):
     good = [(i, prose(i, 40)) for i in range(0, 300)]
     bad = [(i, " ".join(w + "###" for w in prose(i, 40).split())) for i in range(300, 400)]

@@ -32,6 +32,7 @@ LEAST = 0.8
 BANDS, ROWS = 14, 5
 PLACES = BANDS * ROWS
 PROBED = 8  # bins of a place's order that are looked at one by one; sparse lines look through the rest
+FEW = 8  # lines of a bucket that are all compared with each other, 28 pairs at most
 BLANKS = " \t\r\f\x0b\xa0"
 _SHINGLE = rf"(?s)(?=(.{{{WINDOW}}}|^.{{1,{WINDOW - 1}}}\z))."
 
@@ -43,9 +44,20 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def shingles(line: str) -> Column:
+    """The windows as text, for a look at them; the steps below use their hashes."""
     return F.regexp_extract_all(line, F.lit(_SHINGLE), F.lit(1))
 
 
+def bag(line: str) -> Column:
+    """The 64-bit hashes of the line's distinct windows, cut at places as ``band_keys`` does.
+
+    Two windows of a pair of lines have one hash by chance in one of 10**14 pairs of lines of 350 windows.
+    """
+    # The outer list holds one encoded line, so that it isn't encoded again for each window.
+    hashed = f"transform(sequence(0, greatest(int(octet_length(wide) / 4) - {WINDOW}, 0)), i -> xxhash64(substring(wide, i * 4 + 1, {4 * WINDOW})))"
+    return F.expr(f"get(transform(array(encode({line}, 'UTF-32')), wide -> array_distinct({hashed})), 0)")
+
+
 def _orders() -> list[list[int]]:
     """For each place the bins from its own on, in an order of its own."""
     deal = random.Random(1)
@@ -94,9 +106,9 @@ def _texts(all_lines: DataFrame, wanted: DataFrame) -> DataFrame:
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda end: texts.select(F.col("id").alias(end), F.col("line").alias(f"line_{end}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    sets = both.select("a", "b", *[F.array_distinct(shingles(f"line_{end}")).alias(f"bag_{end}") for end in "ab"])
-    counted = sets.withColumn("common", F.size(F.array_intersect("bag_a", "bag_b")))
-    return counted.select("a", "b", (F.col("common") / (F.size("bag_a") + F.size("bag_b") - F.col("common"))).alias("sim"))
+    sets = both.select("a", "b", *[bag(f"line_{end}").alias(f"bag_{end}") for end in "ab"])
+    counted = sets.select("a", "b", F.size("bag_a").alias("n_a"), F.size("bag_b").alias("n_b"), F.size(F.array_intersect("bag_a", "bag_b")).alias("common"))
+    return counted.select("a", "b", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("sim"))
 
 
 def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -107,8 +119,8 @@ def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     buckets, rows = shared_buckets(places)
     wanted = found.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "digest")
     texts = _texts(every, wanted)
-    bags = texts.select("id", F.array_distinct(F.transform(shingles("line"), lambda s: F.xxhash64(s))).alias("bag"))
-    labels = linked_components(buckets, rows, bags, lambda pairs: _compared(pairs, texts), least)
+    bags = texts.select("id", bag("line").alias("bag"))
+    labels = linked_components(buckets, rows, bags, lambda pairs: _compared(pairs, texts), least, FEW)
     of_line = found.select("digest", "id")
     if labels is None:
         of_line = of_line.select("digest", F.col("id").alias("label"))

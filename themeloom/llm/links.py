@@ -2,8 +2,9 @@
 
 In each bucket every member is compared with one leader: the member whose buckets are the
 fullest, which in a group of edited copies is one that was edited little, so that most of the
-group links to it. Buckets whose members are then of one component are settled. The members of
-the others are joined exactly, by what a pair of Jaccard similarity ``least`` must share:
+group links to it. Buckets whose members are then of one component are settled. Where the caller
+names a small number ``few``, a bucket of one pair is settled too, and the members of other buckets up
+to that size are all compared with each other. The members of the others are joined exactly, by what a pair of Jaccard similarity ``least`` must share:
 
 - elements are ordered from rare to frequent, the same way for all sets; two such sets share
   an element among the first ``n - ceil(least * n) + 1`` of each, and among the first
@@ -18,6 +19,7 @@ one of an element are not even looked at. No bound on partners or candidates is
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,11 +103,18 @@ def prefix_pairs(sets: DataFrame, least: float) -> DataFrame:
     return _ordered(pairs, "id_x", "id_y")
 
 
-def linked_components(buckets: DataFrame, rows: int, bags: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float) -> DataFrame | None:
+def _pairs_of_few(named: DataFrame) -> DataFrame:
+    """``(a, b)`` of two labels in a bucket of ``named(key, id, label)``; a bucket has few members."""
+    other = named.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"))
+    return _ordered(named.join(other, "key").filter((F.col("id") < F.col("other")) & (F.col("label") != F.col("other_label"))), "id", "other")
+
+
+def linked_components(buckets: DataFrame, rows: int, bags: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float, few: int = 0) -> DataFrame | None:
     """``(id, label)`` of all ids that have a link; None where there is no link.
 
     ``buckets`` and ``rows`` come from ``shared_buckets``, ``bags(id, bag)`` holds the set of
     each of its ids, and ``verify`` takes distinct pairs ``(a, b)`` and gives ``(a, b, sim)``.
+    With ``few``, a small number, the pairs of buckets of at most so many members are formed as they are.
     """
 
     def linked(pairs: DataFrame) -> tuple[DataFrame, int]:
@@ -114,12 +123,15 @@ def linked_components(buckets: DataFrame, rows: int, bags: DataFrame, verify: Ca
     links, n = linked(leader_pairs(buckets, rows))
     labels = components(links) if n else None
     named = materialise(_labelled(buckets.select("key", "id"), labels, "id", "label"), "named", rows)
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    members = named.join(mixed.select("key"), "key", "left_semi").select("id", "label").distinct()
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high")
+    members = named.join(mixed.filter(F.col("n") > few).select("key"), "key", "left_semi").select("id", "label").distinct()
     sets, n_sets = materialise_counted(bags.join(members, "id").select("id", "label", "bag"), "sets")
-    if not n_sets:
+    undecided = [prefix_pairs(sets, least)] if n_sets else []
+    if few > 2:
+        undecided.append(_pairs_of_few(named.join(mixed.filter(F.col("n").between(3, few)).select("key"), "key")))
+    if not undecided:
         return labels
-    more, n_more = linked(prefix_pairs(sets, least))
+    more, n_more = linked(reduce(DataFrame.union, undecided).distinct())
     if not n_more:
         return labels
     if labels is None:
