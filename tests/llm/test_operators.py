@@ -153,6 +153,25 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(tokens.read_file(PATH)).encode(texts)] == whole(texts)
 
 
+def test_encoder_gives_letters_to_the_model_once():
+    encoder, asked = tokens.Encoder(tokens.read_file(PATH)), []
+
+    class Counting:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, letters):
+            asked.append(letters)
+            return self.model.tokenize(letters)
+
+    encoder.model = Counting(encoder.model)
+    texts = ["x thing thing, thing. thing.\nthing thing\nx", "x thing; thing\nx", "x,\n thing", "x\r\nthing thing\n\nx \u00e9\u00e9!\n\u00e9\u00e9 \u00aax thing\x85x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == whole(texts)
+    assert len(asked) == len(set(asked)) == 5  # x, and thing and \u00e9\u00e9 with and without a blank before them
+    encoder.old, encoder.new, encoder.cores = encoder.new, {}, {}
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[::-1])] == whole(texts[::-1])
+
+
 def test_counts_and_cache(spark, tmp_path):
     docs, cache = awkward(spark), f"file://{tmp_path}/cache"
     first = sorted(map(tuple, token_counts.count_tokens(docs, PATH, cache).collect()), key=str)
