@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from themeloom.operators import density, joins
+from themeloom.session import materialise
 
 
 class Sets:
@@ -223,6 +224,37 @@ def test_links_are_not_repeated_for_each_scale(spark, monkeypatch):
     assert sum(n for name, n in rows if name == "edges") < 3 * len(points)
 
 
+def test_runs_of_levels():
+    assert density._runs({9: 5, 7: 6, 6: 1, 4: 30, 3: 2, 1: 2}, 11) == [[9, 7], [6], [4], [3, 1]]
+    assert density._runs({2: 5, 1: 1}, -1) == [[2], [1]] and density._runs({}, 5) == []
+
+
+@pytest.mark.parametrize("few", [10, 60])
+def test_runs_find_what_levels_find(spark, monkeypatch, few):
+    monkeypatch.setattr(density, "FEW_EDGES", few)
+    points = cloud(7, 3)
+    topics, strength = clustered(spark, points)
+    groups, expected = stable_clusters(points, 2)
+    assert topics == numbered(groups, points) and strength == pytest.approx(expected)
+
+
+def test_levels_cost_the_driver_little(spark, monkeypatch):
+    """Few links need no rounds for each level, and the tree is read from what the levels stored, not from one plan of them all."""
+    scans = []
+
+    def counted(df, name, *more, **options):
+        if name == "tree":
+            scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return materialise(df, name, *more, **options)
+
+    monkeypatch.setattr(density, "materialise", counted)
+    monkeypatch.setattr(density, "components", None)
+    points = cloud(6, 3)
+    topics, _ = clustered(spark, points)
+    assert topics == numbered(stable_clusters(points, 2)[0], points)
+    assert max(scans) <= 2
+
+
 def test_scale_is_that_of_the_data(spark):
     points = cloud(5)
     found = clustered(spark, points)
