@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,22 @@ def test_lda_finds_planted_topics(spark, monkeypatch, pairs):
     assert done[5] == done[6] == done[7] == 0 and len(done) == 33
 
 
+def test_lda_looks_at_documents_topic_by_topic():
+    """A row for each topic and all looks in one call, as counted word by word."""
+    rng = np.random.default_rng(4)
+    k, sizes, alpha = 3, np.array([2, 1, 4], "i4"), 0.1
+    places, counts = rng.integers(0, 5, 7), rng.integers(1, 4, 7).astype("f8")
+    words, start = rng.random((k, 5)), np.full((k, 3), 1.0 / k)
+    dealt, weights = lda._topics_of(places, counts, sizes, start, words, alpha, 2)
+    owner, expected = np.repeat(np.arange(3), sizes), start.T
+    for _ in range(2):
+        shares = [[expected[d][t] * words[t][w] for t in range(k)] for d, w in zip(owner, places)]
+        numbers = [[n * x / sum(row) for x in row] for n, row in zip(counts, shares)]
+        sums = [[alpha + sum(numbers[i][t] for i in range(7) if owner[i] == d) for t in range(k)] for d in range(3)]
+        expected = [[x / sum(row) for x in row] for row in sums]
+    assert np.allclose(dealt.T, numbers, rtol=1e-12) and np.allclose(weights.T, expected, rtol=1e-12)
+
+
 def test_lda_of_nothing(spark):
     fitted = lda.fit_lda(spark.createDataFrame([(1, []), (2, None)], "doc_id bigint, tokens array<string>"), k=2, iterations=2)
     assert fitted.topic_term.count() == 0

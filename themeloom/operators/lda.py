@@ -36,7 +36,7 @@ WORDS_PER_BLOCK = 16_000_000  # (document, word) pairs that one task holds, 8 by
 LEAST_IN_BLOCK = 20_000  # fewer aren't worth a task
 PAIRS_PER_ROW = 1_000_000  # of a block, packed into one row
 MOST_OF_TASK = 10_000  # blocks
-CELLS = 4_000_000  # numbers worked on at once
+CELLS = 800_000  # numbers worked on at once, few enough to stay in a core's cache from one step to the next
 BLOCK = "block int, chunk int, row binary, sizes binary, places binary, counts binary, scored binary, at int, term string, n bigint"
 INDEX = "owner int, holder int, owned binary, held binary"
 LETTER = "block int, kind string, sender int, numbers binary"
@@ -182,14 +182,21 @@ def _columns(docs: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield np.frombuffer(one["sizes"], "i4"), np.frombuffer(one["places"], "i4"), counts, scored
 
 
-def _topics_of(places: np.ndarray, counts: np.ndarray, sizes: np.ndarray, weights: np.ndarray, words: np.ndarray, alpha: float):
-    """Expected counts of words by topic, and the documents' shares that follow from them."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    dealt = weights[owner] * words[places]
-    dealt *= (counts / dealt.sum(axis=1))[:, None]
+def _topics_of(places: np.ndarray, counts: np.ndarray, sizes: np.ndarray, weights: np.ndarray, words: np.ndarray, alpha: float, looks: int):
+    """Expected counts of words by topic after so many looks at the documents, and the documents' shares that follow from them.
+
+    ``weights``, ``words`` and both results have a row for each topic, so that every step runs along a row.
+    """
+    of_word = words.take(places, axis=1)
+    dealt = np.empty_like(of_word)
     begins = np.cumsum(sizes) - sizes
-    sums = np.add.reduceat(dealt, begins, axis=0) + alpha
-    return dealt, sums / sums.sum(axis=1, keepdims=True)
+    for _ in range(looks):
+        for share, numbers, out in zip(weights, of_word, dealt):
+            np.multiply(numbers, np.repeat(share, sizes), out=out)
+        dealt *= counts / dealt.sum(axis=0)
+        sums = np.add.reduceat(dealt, begins, axis=1) + alpha
+        weights = sums / sums.sum(axis=0)
+    return dealt, weights
 
 
 def _slices(sizes: np.ndarray, pairs: int):
@@ -227,16 +234,18 @@ def _dealt(held: pa.Table, letters: pa.Table, n_terms: int, k: int, alpha: float
     words = np.empty((sum(len(at) for at in index.values()), k))
     for owner, at in index.items():
         words[at] = (eta + found["counts"][owner]) / (n_terms * eta + totals)
+    words = np.ascontiguousarray(words.T)
     given = found.get("weights", {})
     sums, out = np.zeros_like(words), []
     for one, (sizes, places, counts, _) in zip(docs, _columns(docs)):
-        weights = given[one["chunk"]].copy() if given else np.full((len(sizes), k), 1.0 / k)
+        weights = np.array(given[one["chunk"]].T if given else np.full((k, len(sizes)), 1.0 / k), order="C")
+        dealt = np.empty((k, len(places)))
         for rows, span in _slices(sizes, CELLS // k):
-            for _ in range(inner):
-                dealt, weights[rows] = _topics_of(places[span], counts[span], sizes[rows], weights[rows], words, alpha)
-            for topic in range(k):
-                sums[:, topic] += np.bincount(places[span], dealt[:, topic], len(words))
-        out.append((me, "weights", one["chunk"], weights.tobytes()))
+            dealt[:, span], weights[:, rows] = _topics_of(places[span], counts[span], sizes[rows], weights[:, rows], words, alpha, inner)
+        for topic in range(k):
+            sums[topic] += np.bincount(places, dealt[topic], words.shape[1])
+        out.append((me, "weights", one["chunk"], weights.T.tobytes()))
+    sums = np.ascontiguousarray(sums.T)
     out += [(owner, "sums", me, sums[at].tobytes()) for owner, at in index.items()]
     return _letters(out)
 
@@ -403,6 +412,7 @@ def _completed(docs: pa.Table, route: pa.Table, n_terms: int, totals: np.ndarray
     known[at] = True
     counts_of = route.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, k)
     words[at] = (eta + counts_of) / (n_terms * eta + totals)
+    words = np.ascontiguousarray(words.T)
     parts = []
     packed = docs.to_pylist()
     for one, (sizes, places, counts, scored) in zip(packed, _columns(packed)):
@@ -412,13 +422,12 @@ def _completed(docs: pa.Table, route: pa.Table, n_terms: int, totals: np.ndarray
         row, sizes = np.frombuffer(one["row"], "i8")[sizes > 0], sizes[sizes > 0]
         places, counts, scored = places[kept], counts[kept], scored[kept]
         likelihood = np.zeros(len(sizes))
-        weights = np.full((len(sizes), k), 1.0 / k)
         for rows, span in _slices(sizes, CELLS // k):
-            for _ in range(steps):
-                _, weights[rows] = _topics_of(places[span], counts[span], sizes[rows], weights[rows], words, alpha)
-            owner = np.repeat(np.arange(rows.start, rows.stop), sizes[rows])
-            each = scored[span] * np.log((weights[owner] * words[places[span]]).sum(axis=1))
-            likelihood[rows] = np.add.reduceat(each, np.cumsum(sizes[rows]) - sizes[rows])
+            of_docs = sizes[rows]
+            equal = np.full((k, len(of_docs)), 1.0 / k)
+            _, weights = _topics_of(places[span], counts[span], of_docs, equal, words, alpha, steps)
+            each = scored[span] * np.log((np.repeat(weights, of_docs, axis=1) * words.take(places[span], axis=1)).sum(axis=0))
+            likelihood[rows] = np.add.reduceat(each, np.cumsum(of_docs) - of_docs)
         if len(row):
             n_scored = np.add.reduceat(scored, np.cumsum(sizes) - sizes)
             parts.append((row, likelihood, n_scored.astype("i8")))
